@@ -155,6 +155,31 @@ def with_measures(
     return together.select(*df.columns, _ROW, *outputs).filter(_ROW).drop(_ROW)
 
 
+def trailing(
+    df: DataFrame,
+    keys: Sequence[str],
+    position: Column,
+    width: int,
+    measures: dict[str, Callable[[WindowSpec], Column]],
+) -> DataFrame:
+    """Window columns over the rows of the key from ``position - width`` to ``position``.
+
+    ``position`` is a whole number, such as microseconds. Such a frame reaches at most one
+    step of ``width`` back, so each row is also listed in the step after its own, where it
+    serves as context only.
+    """
+    keys = list(keys)
+    at = df.withColumn(_O, position).withColumn("__own", F.floor(F.col(_O) / width))
+    listed = at.withColumn(_B, F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
+    frame = Window.partitionBy(*keys, _B).orderBy(_O).rangeBetween(-width, Window.currentRow)
+    outputs = [fn(frame).alias(out) for out, fn in measures.items()]
+    return (
+        listed.select(*df.columns, "__own", _B, *outputs)
+        .filter(F.col(_B) == F.col("__own"))
+        .select(*df.columns, *measures)
+    )
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -251,12 +276,11 @@ def exact_quantile(
         .filter((F.floor("__at") < F.col("__base") + F.col("__n")) & (F.ceil("__at") >= F.col("__base")))
         .drop("__n")
     )
+    wanted = wanted.withColumnsRenamed({_B: "__kb", **{k: f"__k{i}" for i, k in enumerate(keys)}})
+    match = F.col(_B) == F.col("__kb")
     for i, k in enumerate(keys):
-        wanted = wanted.withColumnRenamed(k, f"__k{i}")
-    match = rows[_B] == wanted[_B]
-    for i, k in enumerate(keys):
-        match = match & rows[k].eqNullSafe(F.col(f"__k{i}"))
-    held = rows.join(wanted, match).select(*keys, "__v", rows[_B], "__base", "__at")
+        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    held = rows.join(wanted, match).select(*keys, "__v", _B, "__base", "__at")
     position = F.col("__base") + F.row_number().over(Window.partitionBy(*keys, _B).orderBy("__v")) - 1
     low, high = F.floor("__at"), F.ceil("__at")
     return (

@@ -186,7 +186,7 @@ def run_pipeline(
     are counted as they pass, at the price of filters no longer moving between steps.
     """
     spec = parse_spec(spec)
-    problems = check_spec(spec)
+    problems = check_spec(spec, tables or ())
     if problems:
         raise SpecError(problems)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterable
 from dataclasses import dataclass, field, fields
 from typing import Any
 
@@ -129,8 +130,11 @@ def parse_spec(raw: dict | Spec) -> Spec:
     return spec
 
 
-def check_spec(spec: Spec) -> list[str]:
-    """Problems that would make a run fail; an empty list means the spec is sound."""
+def check_spec(spec: Spec, given: Iterable[str] = ()) -> list[str]:
+    """Problems that would make a run fail; an empty list means the spec is sound.
+
+    ``given`` names the tables the caller supplies.
+    """
     problems: list[str] = []
     if not spec.steps:
         problems.append("a pipeline needs at least one step")
@@ -140,7 +144,7 @@ def check_spec(spec: Spec) -> list[str]:
             problems.append(f"step {step.step_id}: Duplicate step_id")
         position.setdefault(step.step_id, index)
 
-    produced: set[str] = set()
+    produced = {*given, *[item.name for item in spec.inputs]}
     for index, step in enumerate(spec.steps):
         where = f"step {step.step_id}"
         if step.driver not in NO_SOURCE and step.driver not in SOURCES:

@@ -61,6 +61,11 @@ def _enrich(step: Step, request: Request, rows: DataFrame, keys: list[str]) -> D
             f"step {step.step_id}: the responses have no column among {sorted(request.row_columns)}"
         )
     asked = request.driving.select(*[request.row_columns[n].alias(_ROW + n) for n in shared])
+    # A request carries text, so values of unlike types meet as text.
+    for n in shared:
+        if asked.schema[_ROW + n].dataType != rows.schema[f"__key_{n}"].dataType:
+            asked = asked.withColumn(_ROW + n, F.col(_ROW + n).cast("string"))
+            rows = rows.withColumn(f"__key_{n}", F.col(f"__key_{n}").cast("string"))
     match = reduce(lambda a, b: a & b, [F.col(_ROW + n) == F.col(f"__key_{n}") for n in shared])
     return asked.join(rows, match).drop(*[_ROW + n for n in shared])
 

@@ -12,6 +12,7 @@ Every value is text. An empty element is ``""``; an absent ``Col`` is NULL.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,9 @@ DEFAULT_DATASET = "ds_out"
 COLUMN_TYPE = "STRING"
 COLUMN_SIZE = "256"
 
+# Requests too large for one envelope are broadcast only up to this many.
+BROADCAST_ROWS = 10_000
+
 _ITEM = "struct<_id: string, _VALUE: string>"
 _PARAMETERS = f"struct<Parameter: array<{_ITEM}>>"
 _DATASETS = (
@@ -162,42 +166,48 @@ def datasets_join(
     datasets: Mapping[str, Sequence[str]],
     on: Sequence[str],
     request: Sequence[str],
+    body: str = "body",
 ) -> DataFrame:
     """Columns of several datasets of one response side by side.
 
     The first dataset leads; the others are left-joined to it on ``on`` within the same
-    response. ``request`` names the columns that identify a response. Each document is
-    parsed once and its rows meet in one shuffle by response and key, so a group never
-    reaches past one document.
+    response. Each document is parsed once and its rows meet in one shuffle. A group is a
+    key within a document; copies of a document share one, so it also tells apart the
+    input partition, which bounds a group however often a document is repeated.
     """
     request, on, ids = list(request), list(on), list(datasets)
-    wanted = [F.struct(F.lit(i).alias("ds"), _dataset(F.lit(i)).alias("set")) for i in ids]
-    sets = df.select(*request, F.explode(F.array(*wanted)).alias("__e"))
-    rows = sets.select(*request, F.col("__e.ds").alias("__id"), "__e", F.explode("__e.set.Rows.Row").alias("__row"))
-    cells = rows.select(*request, "__id", _cells(F.col("__e.set"), F.col("__row")).alias("__cells"))
-    keyed = cells.select(
+    document = ["__part", "__digest"]
+    wanted = [F.struct(F.lit(i).alias("id"), _dataset(F.lit(i)).alias("set")) for i in ids]
+    sets = df.select(
         *request,
-        "__id",
-        *_outputs("__cells", on),
-        *[
-            F.when(F.col("__id") == i, F.struct(*_outputs("__cells", [c for c in datasets[i] if c not in on]))).alias(
-                f"__of_{n}"
-            )
-            for n, i in enumerate(ids)
-        ],
+        F.spark_partition_id().alias("__part"),
+        F.sha2(F.col(body), 256).alias("__digest"),
+        F.explode(F.array(*wanted)).alias("__e"),
+    )
+    rows = sets.select(*request, *document, "__e", F.posexplode("__e.set.Rows.Row").alias("__no", "__row"))
+    cells = rows.select(
+        *request, *document, "__e.id", "__no", _cells(F.col("__e.set"), F.col("__row")).alias("__cells")
+    )
+
+    def values(n: int, name: str) -> Column:
+        rest = [c for c in datasets[name] if c not in on]
+        return F.when(F.col("id") == name, F.struct("__no", *_outputs("__cells", rest))).alias(f"__of_{n}")
+
+    keyed = cells.select(
+        *request, *document, *_outputs("__cells", on), *[values(n, name) for n, name in enumerate(ids)]
     )
-    grouped = keyed.groupBy(*request, *on).agg(
-        *[F.collect_list(f"__of_{n}").alias(f"__of_{n}") for n in range(len(ids))]
+    # Copies of a document repeat the leading rows, not the rows joined to them.
+    collect = [F.collect_list] + [F.collect_set] * (len(ids) - 1)
+    grouped = keyed.groupBy(*request, *document, *on).agg(
+        *[fn(f"__of_{n}").alias(f"__of_{n}") for n, fn in enumerate(collect)]
     )
-    keys_set = F.lit(True)
-    for key in on:
-        keys_set = keys_set & F.col(key).isNotNull()
+    keys_set = reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in on], F.lit(True))
     joined = grouped.withColumn("__of_0", F.explode("__of_0"))
     for n in range(1, len(ids)):
         joined = joined.withColumn(f"__of_{n}", F.explode_outer(F.when(keys_set, F.col(f"__of_{n}"))))
-    outputs = []
-    for n, i in enumerate(ids):
-        outputs += [F.col(f"__of_{n}").getField(c).alias(c) for c in datasets[i] if c not in on]
+    outputs = [
+        F.col(f"__of_{n}").getField(c).alias(c) for n, name in enumerate(ids) for c in datasets[name] if c not in on
+    ]
     return joined.select(*request, *on, *outputs)
 
 
@@ -222,21 +232,31 @@ def build_xml_envelope(
 
     Rows are listed by ``order``. A request has one envelope, part 0, unless it has more
     than ``rows_per_envelope`` rows: it then gets as many parts as it needs, each row
-    assigned by a hash of its values, so no task ever assembles one giant document. Which
+    assigned by a hash, so no task ever assembles one giant document. Which
     requests are that large is counted first, with the counts combined in each map task.
     ``parameters`` are constants or expressions over ``keys``.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    parts = F.ceil(F.col("__n") / rows_per_envelope)
-    large = sizes.filter(F.col("__n") > rows_per_envelope).select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], parts.alias("__parts")
+    parts = F.ceil(F.col("__n") / rows_per_envelope).alias("__parts")
+    large = (
+        df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") > rows_per_envelope)
+        .select(*[f"__k{i}" for i in range(len(keys))], parts)
     )
-    same = F.lit(True)
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    spread = F.pmod(F.xxhash64(*order, *columns), F.coalesce("__parts", F.lit(1)))
-    placed = df.join(large, same, "left").withColumn("part", spread.cast("int"))
+    # A cheap look at the keys first: usually no request is large, and nothing is joined.
+    n_large = large.limit(BROADCAST_ROWS + 1).count()
+    if n_large == 0:
+        placed = df.withColumn("part", F.lit(0))
+    else:
+        same = reduce(
+            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.lit(True)
+        )
+        large = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+        # The input partition keeps copies of one row from all landing in one part.
+        digest = F.xxhash64(*order, *columns, F.spark_partition_id())
+        spread = F.pmod(digest, F.coalesce("__parts", F.lit(1)))
+        placed = df.join(large, same, "left").withColumn("part", spread.cast("int"))
 
     cells = F.array(*[_id_value(c, F.col(c)) for c in columns])
     listed = placed.groupBy(*keys, "part").agg(

@@ -13,8 +13,11 @@ PAYLOAD = "payload"
 
 
 def parse_json(df: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``payload variant``; NULL where the body is not JSON."""
-    return df.withColumn(PAYLOAD, F.try_parse_json(F.col(body)))
+    """Add ``payload variant``; NULL where the body is not JSON.
+
+    The one-element array keeps later filters and columns from parsing the body again.
+    """
+    return df.select("*", F.explode(F.array(F.try_parse_json(F.col(body)))).alias(PAYLOAD))
 
 
 def _is_object() -> Column:

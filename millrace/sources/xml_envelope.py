@@ -55,39 +55,37 @@ def parse_xml_envelope(df: DataFrame, body: str = "body", wrapper: Sequence[str]
             "columnNameOfCorruptRecord": _BAD,
         },
     )
+    # Taking the parsed struct out of a one-element array makes it a row of its own, so
+    # later filters and columns read it instead of parsing the body again.
+    once = df.select("*", F.explode(F.array(parsed)).alias("__xml"))
     inside = F.col("__xml")
     for element in wrapper:
         inside = inside.getField(element)
     readable = F.col("__xml").isNotNull() & F.col("__xml").getField(_BAD).isNull()
-    return (
-        df.withColumn("__xml", parsed)
-        .withColumn(
-            ENVELOPE,
-            F.struct(
-                readable.alias("readable"),
-                inside.getField("Parameters").alias("Parameters"),
-                inside.getField("Dataset").alias("Dataset"),
-            ),
-        )
-        .drop("__xml")
+    envelope = F.struct(
+        readable.alias("readable"),
+        inside.getField("Parameters").alias("Parameters"),
+        inside.getField("Dataset").alias("Dataset"),
     )
+    return once.withColumn(ENVELOPE, envelope).drop("__xml")
 
 
 def _text(item: Column) -> Column:
     return F.coalesce(item.getField("_VALUE"), F.lit(""))
 
 
-def _last(items: Column, name: Column | str) -> Column:
-    """The last element with this id, or NULL."""
+def _last_text(items: Column, name: Column | str) -> Column:
+    """Text of the last element with this id; NULL when there is none."""
     wanted = F.lit(name) if isinstance(name, str) else name
-    return F.try_element_at(F.filter(items, lambda x: x.getField("_id") == wanted), F.lit(-1))
+    texts = F.transform(F.filter(items, lambda x: x.getField("_id") == wanted), _text)
+    return F.try_element_at(texts, F.lit(-1))
 
 
 def _as_map(items: Column) -> Column:
     """id -> text; a later entry replaces an earlier one, entries without an id are left out."""
     named = F.filter(items, lambda x: x.getField("_id").isNotNull())
     ids = F.array_distinct(F.transform(named, lambda x: x.getField("_id")))
-    return F.map_from_arrays(ids, F.transform(ids, lambda i: _text(_last(named, i))))
+    return F.map_from_arrays(ids, F.transform(ids, lambda i: _last_text(named, i)))
 
 
 def envelope_parameters(df: DataFrame) -> DataFrame:
@@ -98,8 +96,7 @@ def envelope_parameters(df: DataFrame) -> DataFrame:
 
 def parameter(name: str) -> Column:
     """One parameter of ``envelope``; NULL when absent or without an id."""
-    found = _last(F.col(ENVELOPE).Parameters.Parameter, name)
-    return F.when(F.lit(name != "") & found.isNotNull(), _text(found))
+    return _last_text(F.col(ENVELOPE).Parameters.Parameter, name) if name else F.lit(None).cast("string")
 
 
 def _dataset_id(dataset: Column) -> Column:
@@ -147,11 +144,7 @@ def _outputs(cells: str, columns: Sequence[str] | None) -> list[Column]:
     if columns is None:
         empty = F.array().cast(f"array<{_ITEM}>")
         return [_as_map(F.coalesce(F.col(cells), empty)).alias("cells")]
-    outputs = []
-    for name in columns:
-        found = _last(F.col(cells), name)
-        outputs.append(F.when(found.isNotNull(), _text(found)).alias(name))
-    return outputs
+    return [_last_text(F.col(cells), name).alias(name) for name in columns]
 
 
 def discover_columns(df: DataFrame, dataset: str | None = None) -> list[str]:

@@ -23,7 +23,7 @@ def accumulate_data(df: DataFrame, params: dict, ctx: RunContext) -> DataFrame:
         f"{root}/{params.get('target_history_table', 'ds_history')}",
         keys=[keys] if isinstance(keys, str) else list(keys),
         order_by=params.get("order_by", "created_date DESC"),
-        buckets=int(params.get("buckets", 1)),
+        buckets=int(params["buckets"]) if params.get("buckets") else None,
     )
     history.merge(df, batch_id=params.get("batch_id"))
     return history.read()

@@ -88,17 +88,17 @@ def running_sum(column: str) -> Measure:
 
 def lag(column: str) -> Measure:
     return Measure(
-        F.max_by(F.struct(F.col(column).alias("v")), F.col(_O)),
+        F.max_by(column, _O),
         lambda report, f: F.lag(report).over(f.ordered),
-        lambda got, w: F.when(F.row_number().over(w) == 2, got["v"]).otherwise(F.lag(column).over(w)),
+        lambda got, w: F.when(F.row_number().over(w) == 2, got).otherwise(F.lag(column).over(w)),
     )
 
 
 def lead(column: str) -> Measure:
     return Measure(
-        F.min_by(F.struct(F.col(column).alias("v")), F.col(_O)),
+        F.min_by(column, _O),
         lambda report, f: F.lead(report).over(f.ordered),
-        lambda got, w: F.coalesce(F.lead(F.struct(F.col(column).alias("v"))).over(w), got)["v"],
+        lambda got, w: F.when(F.lead(_ROW).over(w), F.lead(column).over(w)).otherwise(got),
     )
 
 
@@ -109,18 +109,18 @@ def _edge(report: Column, pick: Callable[[Column], Column], frames: Frames) -> C
 
 def first_value(column: str) -> Measure:
     return Measure(
-        F.min_by(F.struct(F.col(column).alias("v")), F.col(_O)),
+        F.min_by(column, _O),
         lambda report, f: _edge(report, F.first, f),
-        lambda got, w: got["v"],
+        lambda got, w: got,
     )
 
 
 def last_value(column: str) -> Measure:
     """Value of the key's last row, as with a frame that reaches the end."""
     return Measure(
-        F.max_by(F.struct(F.col(column).alias("v")), F.col(_O)),
+        F.max_by(column, _O),
         lambda report, f: _edge(report, F.last, f),
-        lambda got, w: got["v"],
+        lambda got, w: got,
     )
 
 
@@ -138,7 +138,9 @@ def with_measures(
     ties are arbitrary, as in any window: give an order without ties where that matters.
     """
     keys = list(keys)
-    rows = df.withColumn(_B, bucket).withColumn(_O, F.struct(*[F.col(o) for o in order]))
+    # A single order column stays as it is: aggregates over plain values need no sort.
+    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
+    rows = df.withColumn(_B, bucket).withColumn(_O, position)
 
     by_bucket = rows.groupBy(*keys, _B).agg(*[m.report.alias(f"__{out}") for out, m in measures.items()])
     ordered = Window.partitionBy(*keys).orderBy(F.col(_B).asc_nulls_first())

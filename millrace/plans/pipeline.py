@@ -19,6 +19,7 @@ from millrace.functions.paths import nested_column, output_alias, split_index
 from millrace.plans.positions import value_at
 from millrace.plans.spec import END, NEXT, Input, Rule, Spec, Step, check_spec, parse_spec
 from millrace.registry import OPERATORS, SOURCES
+from millrace.session import written_table
 
 log = logging.getLogger(__name__)
 
@@ -179,7 +180,10 @@ def run_pipeline(
     run_id: str | None = None,
     audit: bool = False,
 ) -> PipelineRun:
-    """Compose the steps of ``spec``. Only conditions, error checks and history writes run jobs.
+    """Compose the steps of ``spec`` into lazy DataFrames.
+
+    Jobs run only for routing conditions, error checks, history writes and steps marked
+    ``materialize``.
 
     ``tables`` are given step tables, ``responses`` captured responses by endpoint,
     ``functions`` Python functions for ``python_script``. With ``audit`` each step's rows
@@ -256,13 +260,21 @@ def _run_step(step: Step, run: PipelineRun, audit: bool) -> bool:
         watch = Observation(f"{ctx.namespace}_{step.step_id}")
         rows = rows.observe(watch, F.count(F.lit(1)).alias("rows"))
         run._observed[step.step_id] = watch
-    ctx.register(step.output_dataset, rows)
+    ctx.register(step.output_dataset, written_table(rows) if step.materialize else rows)
     run.output_configs[step.output_dataset] = step.output_config
     run._outputs[step.step_id] = step.output_dataset
     run.last_output = step.output_dataset
     return paused
 
 
+def _whole_column(ctx: RunContext, path: str) -> tuple[str, str] | None:
+    """(table, column) when the path names a whole column of a step table."""
+    table, _, rest = path.partition(".")
+    column, index = split_index(rest.removeprefix("output."))
+    known = table in ctx.tables and column in ctx.tables[table].columns
+    return (table, column) if known and index is None else None
+
+
 def _request(step: Step, ctx: RunContext):
     """Request values from the step's variables.
 
@@ -279,9 +291,10 @@ def _request(step: Step, ctx: RunContext):
             request.row_columns[name] = nested_column(request.driving, path.removeprefix("loop_row").lstrip("."))
         elif path.split(".", 1)[0] in _VALUE_SCOPES:
             value = ctx.value(path)
-            if isinstance(value, list) and len(value) == 1:
-                value = value[0]
             request.constants[name] = default if value is None else value
+        elif _whole_column(ctx, path) and not order_by:
+            table, column = _whole_column(ctx, path)
+            request.lists[name] = ctx.table(table).select(F.col(f"`{column}`").alias(name))
         else:
             request.constants[name] = resolve_scalar(ctx, path, default, order_by)
 
@@ -294,7 +307,7 @@ def _request(step: Step, ctx: RunContext):
                     for column, cell in row.items():
                         lone = _LONE_PLACEHOLDER.match(str(cell))
                         if lone:
-                            add(column, lone[1])
+                            add(column, lone[1].strip())
                         else:
                             request.constants[column] = cell
         elif not isinstance(config, dict):
@@ -302,7 +315,7 @@ def _request(step: Step, ctx: RunContext):
         elif config.get("type") == "dataset":
             for column in config.get("columns") or []:
                 path = column.get("field") or column.get("name", "")
-                add(column.get("alias") or output_alias(path), path)
+                add(column.get("alias") or output_alias(path), path, order_by=column.get("order_by"))
         else:
             path = config.get("source") or config.get("jsonpath", "")
             if path:

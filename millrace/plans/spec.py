@@ -74,6 +74,8 @@ class Step:
     routing: Routing | None = None
     output_config: dict[str, Any] | None = None
     response: Response = Response()
+    # Write the output (and parsed responses) once; for steps that several others read.
+    materialize: bool = False
 
     @property
     def fetches(self) -> bool:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from millrace.errors import PipelineError
 
@@ -46,9 +47,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def reliable_checkpoint(df):
-    """Cut lineage with a checkpoint in the shared folder, so lost executors cost nothing."""
+def written_table(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of it, by default in the shared folder.
+
+    Later reads start from the files, whatever happens to executors meanwhile, and still
+    prune columns and push filters.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(f"{shared_folder(spark)}/checkpoints")
-    return df.checkpoint(eager=True)
+    path = path or f"{shared_folder(spark)}/millrace-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from millrace.context import RunContext
 from millrace.errors import MissingTable, PipelineError
+from millrace.operators.filters import optional_search
 from millrace.plans.spec import Step
 from millrace.registry import SOURCES
+from millrace.session import written_table
 from millrace.sources import json_records, outcomes, spreadsheet, xml_envelope
 
 _ROW = "__row_key_"
@@ -27,9 +29,10 @@ _ROW = "__row_key_"
 
 @dataclass
 class Request:
-    """Values a step sends: constants, and columns of the driving row in a loop."""
+    """Values a step sends: constants, columns of step tables, columns of a loop's driving row."""
 
     constants: dict[str, Any] = field(default_factory=dict)
+    lists: dict[str, DataFrame] = field(default_factory=dict)
     row_columns: dict[str, Column] = field(default_factory=dict)
     driving: DataFrame | None = None
 
@@ -47,8 +50,15 @@ def _responses(step: Step, request: Request, ctx: RunContext) -> tuple[DataFrame
         raise MissingTable(f"no captured responses for '{step.endpoint}'")
     table = ctx.responses[step.endpoint]
     for name, value in request.constants.items():
-        if name in table.columns and value is not None and not isinstance(value, (list, dict)):
+        if name not in table.columns or value is None or isinstance(value, dict):
+            continue
+        if isinstance(value, list):
+            table = optional_search(table, ids=(name, value))
+        else:
             table = table.filter(F.col(f"`{name}`") == F.lit(value))
+    for name, wanted in request.lists.items():
+        if name in table.columns:
+            table = optional_search(table, ids=(name, wanted))
     told_apart = [c for c in table.columns if c not in ("status_code", "body")]
     return table, told_apart
 
@@ -70,6 +80,11 @@ def _enrich(step: Step, request: Request, rows: DataFrame, keys: list[str]) -> D
     return asked.join(rows, match).drop(*[_ROW + n for n in shared])
 
 
+def _split(step: Step, tagged: DataFrame, strategy: str) -> outcomes.Split:
+    """Errors are looked for before rows are read; a materialized step parses only once."""
+    return outcomes.split_errors(written_table(tagged) if step.materialize else tagged, strategy)
+
+
 def _finish(step: Step, request: Request, split: outcomes.Split, rows_of, keys: list[str]) -> Fetched:
     renamed = {k: f"__key_{k}" for k in keys}
     if request.driving is not None:
@@ -85,7 +100,7 @@ def xml_source(step: Step, request: Request, ctx: RunContext) -> Fetched:
     table, keys = _responses(step, request, ctx)
     parsed = xml_envelope.parse_xml_envelope(table, wrapper=step.response.wrapper)
     handling, strategy = _handling(step)
-    split = outcomes.split_errors(outcomes.tag_xml(parsed, **handling), strategy)
+    split = _split(step, outcomes.tag_xml(parsed, **handling), strategy)
 
     def rows_of(ok: DataFrame, keep: list[str]) -> DataFrame:
         if step.response.join:
@@ -105,7 +120,7 @@ def json_source(step: Step, request: Request, ctx: RunContext) -> Fetched:
     parsed = json_records.parse_json(table)
     handling, strategy = _handling(step)
     tagged = outcomes.tag_json(parsed, check=step.error_handling is not None, **handling)
-    split = outcomes.split_errors(tagged, strategy)
+    split = _split(step, tagged, strategy)
 
     def rows_of(ok: DataFrame, keep: list[str]) -> DataFrame:
         columns = step.response.columns

@@ -1,7 +1,6 @@
 import pytest
-from pyspark.sql import functions as F
 
-from millrace.errors import MissingTable, PipelineError
+from millrace.errors import MissingTable
 from millrace.plans.history import History
 from millrace.session import shared_folder
 from millrace.streaming.accumulate import accumulate_stream
@@ -93,10 +92,41 @@ def test_only_touched_buckets_are_rewritten(spark, tmp_path):
     versions = history.state().data_versions
     assert sorted(versions.values()).count(2) == 1 and len(versions) == 16
     assert history.read().count() == 200
-    with pytest.raises(PipelineError):
-        History(spark, history.path, keys=["k"], order_by="at DESC", buckets=8).merge(batch(spark, (1, "a", 1)))
-    with pytest.raises(PipelineError):
-        History(spark, history.path, keys=["v"], order_by="at DESC", buckets=16).merge(batch(spark, (1, "a", 1)))
+
+
+@pytest.mark.parametrize("keys, buckets", [(["k"], 8), (["k"], 1), (["v"], 16), (["v"], 1)])
+def test_a_new_layout_rewrites_the_table(spark, tmp_path, keys, buckets):
+    first = History(spark, str(tmp_path / "h"), keys=["k"], order_by="at DESC", buckets=16)
+    first.merge(batch(spark, *[(i, f"v{i % 5}", i) for i in range(50)]))
+    second = History(spark, first.path, keys=keys, order_by="at DESC", buckets=buckets)
+    second.merge(batch(spark, (100, "v0", 100)))
+    assert second.state().buckets == buckets
+    assert second.read().count() == (51 if keys == ["k"] else 5)
+    second.merge(batch(spark, (101, "v1", 101)))
+    assert second.read().count() == (52 if keys == ["k"] else 5)
+
+
+def test_buckets_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("millrace.plans.history.BUCKET_BYTES", 4_000)
+    history = History(spark, str(tmp_path / "h"), keys=["k"], order_by="at DESC")
+    counts = []
+    for start in (0, 400, 800):
+        history.merge(spark.range(start, start + 400).selectExpr("id AS k", "uuid() AS v", "1 AS at"))
+        counts.append(history.state().buckets)
+        assert history.read().count() == start + 400
+    assert counts[0] == 1 and counts[0] < counts[1] < counts[2]
+
+
+def test_prune(spark, tmp_path):
+    history = History(spark, str(tmp_path / "h"), keys=["k"], order_by="at DESC", buckets=4)
+    history.merge(batch(spark, *[(i, "a", 1) for i in range(20)]))
+    for at in (2, 3, 4):
+        history.merge(batch(spark, (1, "b", at)))
+    assert history.prune(keep=2) == [1, 2]
+    assert [c.version for c in history.commits()] == [3, 4]
+    assert history.read().count() == 20 and history.read(3).filter("k = 1").first()["at"] == 3
+    with pytest.raises(MissingTable):
+        history.read(1)
 
 
 def test_hot_key(spark, history):

@@ -433,6 +433,44 @@ def test_json_source_with_loop(spark):
     assert run.errors["s"].count() == 2
 
 
+@pytest.mark.parametrize("driver, columns", [("json", {"v": "int"}), ("xml", ["v"])])
+def test_materialized_step(spark, driver, columns):
+    body = '{"v":1}' if driver == "json" else envelope(dataset("d", [{"v": 1}]))
+    spec = {
+        "workflow_id": "w",
+        "steps": [step(driver=driver, endpoint="e", response={"columns": columns}, materialize=True)],
+    }
+    responses = spark.createDataFrame([(200, body), (200, body)], "status_code int, body string")
+    out = run_pipeline(spark, spec, responses={"e": responses}).result()
+    assert [str(r.v) for r in out.collect()] == ["1", "1"]
+    assert "FileScan parquet" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_request_lists_pick_responses(spark):
+    responses = spark.createDataFrame(
+        [(str(i), "x" if i < 5 else "y", 200, f'{{"v":{i}}}') for i in range(10)],
+        "product_id string, kind string, status_code int, body string",
+    )
+    spec = {
+        "workflow_id": "w",
+        "inputs": [{"name": "kinds", "type": "table", "default": [{"kind": "x"}, {"kind": "z"}]}],
+        "steps": [
+            step(
+                driver="json",
+                endpoint="e",
+                variables={
+                    "ds_ids": {"type": "dataset", "columns": [{"field": "wanted.output.product_id"}]},
+                    "ds_kinds": {"type": "dataset", "columns": [{"field": "global_input.kinds.kind", "alias": "kind"}]},
+                },
+                response={"columns": {"v": "int"}},
+            )
+        ],
+    }
+    wanted = spark.createDataFrame([("1",), ("7",), ("3",)], "product_id string")
+    run = run_pipeline(spark, spec, tables={"wanted": wanted}, responses={"e": responses})
+    assert sorted(r.v for r in run.result().collect()) == [1, 3]
+
+
 def test_loop_without_a_shared_column(spark):
     spec = {"workflow_id": "w", "steps": [step(driver="json", mode="chained_loop", endpoint="e", inputs=["t"], variables={"q": {"source": "loop_row.id"}})]}
     responses = {"e": spark.createDataFrame([("0", 200, "{}")], "other string, status_code int, body string")}

@@ -17,7 +17,7 @@ from millrace.plans.ordered import (
     rank,
     row_number,
     running_sum,
-    trailing,
+    trailing_sum,
     with_measures,
 )
 
@@ -84,9 +84,7 @@ def sql_frames(spark: SparkSession, sf: str) -> DataFrame:
         {"running_cents": running_sum("cents")},
     )
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    both = trailing(
-        running, ["event_type"], micros, 3_600_000_000, {"hour_cents": lambda frame: F.sum("cents").over(frame)}
-    )
+    both = trailing_sum(running, ["event_type"], micros, 3_600_000_000, {"hour_cents": "cents"})
     return both.drop("ts", "cents")
 
 

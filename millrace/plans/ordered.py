@@ -157,29 +157,51 @@ def with_measures(
     return together.select(*df.columns, _ROW, *outputs).filter(_ROW).drop(_ROW)
 
 
-def trailing(
-    df: DataFrame,
-    keys: Sequence[str],
-    position: Column,
-    width: int,
-    measures: dict[str, Callable[[WindowSpec], Column]],
+def trailing_sum(
+    df: DataFrame, keys: Sequence[str], position: Column, width: int, sums: dict[str, str]
 ) -> DataFrame:
-    """Window columns over the rows of the key from ``position - width`` to ``position``.
-
-    ``position`` is a whole number, such as microseconds. Such a frame reaches at most one
-    step of ``width`` back, so each row is also listed in the step after its own, where it
-    serves as context only.
+    """Sums over the rows of the key from ``position - width`` to ``position``, ends included.
+
+    ``position`` is a whole number, such as microseconds, and ``sums`` maps outputs to
+    columns of whole numbers or decimals. A sliding frame would add up its rows again for
+    each row. Here every row also leaves: it counts against the sum past ``position +
+    width``, so one running sum over rows and departures gives the answer. The order is
+    cut into steps of ``width``; a step starts with the total of the step before it, whose
+    rows all leave within it.
     """
-    keys = list(keys)
-    at = df.withColumn(_O, position).withColumn("__own", F.floor(F.col(_O) / width))
-    listed = at.withColumn(_B, F.explode(F.array(F.col("__own"), F.col("__own") + 1)))
-    frame = Window.partitionBy(*keys, _B).orderBy(_O).rangeBetween(-width, Window.currentRow)
-    outputs = [fn(frame).alias(out) for out, fn in measures.items()]
-    return (
-        listed.select(*df.columns, "__own", _B, *outputs)
-        .filter(F.col(_B) == F.col("__own"))
-        .select(*df.columns, *measures)
+    keys, columns = list(keys), sorted(set(sums.values()))
+    kind, gone = "__kind", 1
+    at = df.withColumn(_O, position).withColumn(_B, F.floor(F.col(_O) / width))
+    deltas = [F.col(c).alias(f"__d_{c}") for c in columns]
+    counts = [F.col(c).isNotNull().cast("bigint").alias(f"__n_{c}") for c in columns]
+    arriving = at.select("*", F.lit(0).alias(kind), *deltas, *counts)
+    leaving = at.select(
+        *keys,
+        (F.col(_O) + width).alias(_O),
+        (F.col(_B) + 1).alias(_B),
+        F.lit(gone).alias(kind),
+        *[(-F.col(c)).alias(f"__d_{c}") for c in columns],
+        *[(-F.col(c).isNotNull().cast("bigint")).alias(f"__n_{c}") for c in columns],
+    )
+    heads = (
+        at.groupBy(*keys, _B)
+        .agg(
+            *[F.sum(c).alias(f"__d_{c}") for c in columns],
+            *[F.count(c).alias(f"__n_{c}") for c in columns],
+        )
+        .withColumn(_O, F.col(_B) * width + width)
+        .withColumn(_B, F.col(_B) + 1)
+        .withColumn(kind, F.lit(-1))
+    )
+    together = arriving.unionByName(leaving, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
+    # Rows at one position share a result, which a range frame to the current row gives.
+    sofar = (
+        Window.partitionBy(*keys, _B).orderBy(_O, kind).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    outputs = [
+        F.when(F.sum(f"__n_{c}").over(sofar) > 0, F.sum(f"__d_{c}").over(sofar)).alias(out) for out, c in sums.items()
+    ]
+    return together.select(*df.columns, kind, *outputs).filter(F.col(kind) == 0).drop(kind)
 
 
 def asof_join(

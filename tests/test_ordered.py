@@ -128,13 +128,16 @@ def test_exact_quantile(spark, fraction):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_trailing(spark):
+@pytest.mark.parametrize("width", [1, 50, 400])
+def test_trailing_sum(spark, width):
     rows, df = table(spark)
-    out = o.trailing(df, ["k"], F.col("t"), 50, {"near": lambda frame: F.count("id").over(frame)})
-    got = {r.id: r.near for r in out.collect()}
+    out = o.trailing_sum(df.withColumn("one", F.lit(1)), ["k"], F.col("t"), width, {"near": "one", "total": "v"})
+    got = {r.id: (r.near, r.total) for r in out.collect()}
     assert len(got) == len(rows)
     for i, k, t, _ in rows:
-        assert got[i] == sum(1 for r in rows if r[1] == k and t - 50 <= r[2] <= t)
+        frame = [r for r in rows if r[1] == k and t - width <= r[2] <= t]
+        values = [r[3] for r in frame if r[3] is not None]
+        assert got[i] == (len(frame), sum(values) if values else None)
 
 
 def test_a_hot_key_is_cut(spark):

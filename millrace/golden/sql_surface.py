@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.golden.catalog import context, golden, load
 from millrace.operators.sql import sql_transform
-from millrace.plans.ordered import exact_quantile, range_join
+from millrace.plans.ordered import exact_quantiles, range_join
 
 
 def _through_sql(name: str, tables: str, spark_sql: str, oracle: str | None) -> None:
@@ -121,17 +121,12 @@ for _name, _grouping in (
               quantile_cont(o_totalprice, 0.9) AS p90_price FROM orders GROUP BY o_orderpriority""",
 )
 def sql_median(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact quantiles that sort only the price steps holding the wanted positions.
+    """Exact quantiles from counts of distinct prices.
 
     Plain ``median()`` keeps every distinct value of a group in one task's memory.
     """
     orders = load(spark, sf, "orders").select("o_orderpriority", "o_totalprice")
-    step = F.floor(F.col("o_totalprice") / 1000)
-
-    def quantile(fraction: float, name: str) -> DataFrame:
-        return exact_quantile(orders, ["o_orderpriority"], "o_totalprice", fraction, step, name)
-
-    return quantile(0.5, "median_price").join(quantile(0.9, "p90_price"), "o_orderpriority")
+    return exact_quantiles(orders, ["o_orderpriority"], "o_totalprice", {"median_price": 0.5, "p90_price": 0.9})
 
 
 # Estimates differ between engines, so this one is checked by rows only.

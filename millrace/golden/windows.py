@@ -1,4 +1,4 @@
-"""Golden queries of window functions and the as-of join, cut into stretches of order."""
+"""Golden queries of window functions and the as-of join, cut into even stretches of order."""
 
 from __future__ import annotations
 
@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from millrace.golden.catalog import golden, load
 from millrace.plans.ordered import (
     asof_join,
-    dense_rank,
     first_value,
     lag,
     last_value,
     lead,
     ntile,
-    rank,
     row_number,
     running_sum,
     trailing_sum,
     with_measures,
+    with_ranks,
 )
 
 
@@ -32,15 +31,12 @@ from millrace.plans.ordered import (
               by_day AS (PARTITION BY l_returnflag ORDER BY l_shipdate)""",
 )
 def sql_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """Three flags hold all lines, so each flag is ranked month by month."""
+    """Three flags hold all lines and many lines share a day; neither decides who works."""
     columns = ["l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
     lines = load(spark, sf, "lineitem").select(*columns).distinct()
-    month = F.year("l_shipdate") * 12 + F.month("l_shipdate")
-    by_all = with_measures(
-        lines, ["l_returnflag"], columns[1:], month, {"rn": row_number(), "tile": ntile(7)}
-    )
-    by_day = with_measures(by_all, ["l_returnflag"], ["l_shipdate"], month, {"rk": rank(), "drk": dense_rank()})
-    return by_day.drop("l_shipdate")
+    ranked = with_ranks(lines, ["l_returnflag"], ["l_shipdate"], "rk", "drk")
+    placed = with_measures(ranked, ["l_returnflag"], columns[1:], {"rn": row_number(), "tile": ntile(7)})
+    return placed.drop("l_shipdate")
 
 
 @golden(
@@ -52,14 +48,13 @@ def sql_rank(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sql_lag_lead(spark: SparkSession, sf: str) -> DataFrame:
     events = load(spark, sf, "events").select("event_id", "event_type", "ts", "value")
-    hour = F.date_trunc("hour", "ts")
     measures = {
         "before": lag("value"),
         "after": lead("value"),
         "first": first_value("value"),
         "last": last_value("value"),
     }
-    return with_measures(events, ["event_type"], ["ts", "event_id"], hour, measures).drop("ts", "value")
+    return with_measures(events, ["event_type"], ["ts", "event_id"], measures).drop("ts", "value")
 
 
 @golden(
@@ -77,11 +72,7 @@ def sql_frames(spark: SparkSession, sf: str) -> DataFrame:
         "event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents")
     )
     running = with_measures(
-        events,
-        ["event_type"],
-        ["ts", "event_id"],
-        F.date_trunc("hour", "ts"),
-        {"running_cents": running_sum("cents")},
+        events, ["event_type"], ["ts", "event_id"], {"running_cents": running_sum("cents")}
     )
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     both = trailing_sum(running, ["event_type"], micros, 3_600_000_000, {"hour_cents": "cents"})
@@ -107,5 +98,4 @@ def asof(spark: SparkSession, sf: str) -> DataFrame:
         "ts",
         "bought_at",
         ["purchase_id", "purchase_value"],
-        lambda t: F.date_trunc("day", t),
     ).drop("ts")

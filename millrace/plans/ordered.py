@@ -1,21 +1,29 @@
 """Window functions, as-of and range joins that do not put one key into one task.
 
-A plain window sorts all rows of a key in a single task. Here a key's rows are cut into
-consecutive stretches by a *bucket* expression that never decreases along the order
-(the day of a timestamp, the step of a number). What earlier or later stretches contribute
-comes from a table with one row per key and bucket, built by partial aggregation. Its
-rows are put at the head of the stretch they belong to, so the data itself is shuffled
-and sorted once, by key and bucket.
+A plain window sorts all rows of a key in a single task. Here the rows are cut into
+consecutive stretches along keys and order. What other stretches of a key contribute comes
+from a table with one row per key and stretch, built by partial aggregation. Its rows are
+put at the head of the stretch they belong to, so one sort per stretch gives the result.
+
+Stretches come from a range partitioning over keys, order and a row hash, so they are of
+even size whatever the data looks like: one key, one day or one value may hold most rows.
+That partitioning is written to the shared folder, because it is read twice and a second
+sampling could cut elsewhere. Where the caller knows that a coarser value of the order (a
+day, a step) stays small for every key, a ``bucket`` expression saves that write.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from millrace.operators.latest import row_digest
+from millrace.session import written_table
+
 _B = "__bucket"
 _O = "__order"
 _ROW = "__is_row"
@@ -23,7 +31,7 @@ _CARRY = "__carry"
 
 
 class Frames(NamedTuple):
-    """Windows over the per-bucket table: in bucket order, earlier buckets, all buckets."""
+    """Windows over the per-stretch table: in order, earlier stretches, all stretches."""
 
     ordered: WindowSpec
     before: WindowSpec
@@ -33,7 +41,7 @@ class Frames(NamedTuple):
 class Measure(NamedTuple):
     """How one output column is put together.
 
-    ``report`` aggregates a bucket, ``carry`` turns reports into what a stretch receives,
+    ``report`` aggregates a stretch, ``carry`` turns reports into what a stretch receives,
     ``row`` computes the output over a stretch whose first row is the received one.
     """
 
@@ -42,6 +50,10 @@ class Measure(NamedTuple):
     row: Callable[[Column, WindowSpec], Column]
 
 
+def _so_far(window: WindowSpec) -> WindowSpec:
+    return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def _earlier(report: Column, frames: Frames) -> Column:
     return F.coalesce(F.sum(report).over(frames.before), F.lit(0))
 
@@ -50,15 +62,6 @@ def row_number() -> Measure:
     return Measure(F.count(F.lit(1)), _earlier, lambda got, w: got + F.row_number().over(w) - 1)
 
 
-def rank() -> Measure:
-    return Measure(F.count(F.lit(1)), _earlier, lambda got, w: got + F.rank().over(w) - 1)
-
-
-def dense_rank() -> Measure:
-    """Needs rows that tie to share a bucket, as they do when it derives from the order."""
-    return Measure(F.count_distinct(F.col(_O)), _earlier, lambda got, w: got + F.dense_rank().over(w) - 1)
-
-
 def ntile(tiles: int) -> Measure:
     """Near-equal shares in order; when they do not divide, the first take one row more."""
 
@@ -80,12 +83,16 @@ def running_sum(column: str) -> Measure:
     """Sum of the rows so far; NULL until the first value, as in SQL."""
 
     def row(got: Column, w: WindowSpec) -> Column:
-        here = F.sum(column).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        here = F.sum(column).over(_so_far(w))
         return F.coalesce(got + here, got, here)
 
     return Measure(F.sum(column), lambda report, f: F.sum(report).over(f.before), row)
 
 
+def total(column: str) -> Measure:
+    return Measure(F.sum(column), lambda report, f: F.sum(report).over(f.whole), lambda got, w: got)
+
+
 def lag(column: str) -> Measure:
     return Measure(
         F.max_by(column, _O),
@@ -102,53 +109,59 @@ def lead(column: str) -> Measure:
     )
 
 
+def last_known(column: str) -> Measure:
+    """The latest value so far that is not NULL."""
+    return Measure(
+        F.max_by(column, F.when(F.col(column).isNotNull(), F.col(_O))),
+        lambda report, f: F.last(report, ignorenulls=True).over(f.before),
+        lambda got, w: F.coalesce(F.last(column, ignorenulls=True).over(_so_far(w)), got),
+    )
+
+
 def _edge(report: Column, pick: Callable[[Column], Column], frames: Frames) -> Column:
     everything = frames.ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return pick(report).over(everything)
 
 
 def first_value(column: str) -> Measure:
-    return Measure(
-        F.min_by(column, _O),
-        lambda report, f: _edge(report, F.first, f),
-        lambda got, w: got,
-    )
+    return Measure(F.min_by(column, _O), lambda report, f: _edge(report, F.first, f), lambda got, w: got)
 
 
 def last_value(column: str) -> Measure:
     """Value of the key's last row, as with a frame that reaches the end."""
-    return Measure(
-        F.max_by(column, _O),
-        lambda report, f: _edge(report, F.last, f),
-        lambda got, w: got,
-    )
+    return Measure(F.max_by(column, _O), lambda report, f: _edge(report, F.last, f), lambda got, w: got)
+
+
+def _even_stretches(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *keys, *order, row_digest(df))
+    return written_table(ranged.withColumn(_B, F.spark_partition_id()))
 
 
 def with_measures(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    bucket: Column,
     measures: dict[str, Measure],
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add window columns over ``keys`` in ascending ``order`` (NULLs first).
 
-    ``bucket`` must not decrease along the order and should leave each stretch small
-    enough for one task. Rows with NULL keys form a group of their own. Positions among
-    ties are arbitrary, as in any window: give an order without ties where that matters.
+    A given ``bucket`` must not decrease along the order. Rows with NULL keys form a group
+    of their own. Positions among ties are arbitrary, as in any window: give an order
+    without ties where that matters.
     """
     keys = list(keys)
+    rows = _even_stretches(df, keys, order) if bucket is None else df.withColumn(_B, bucket)
     # A single order column stays as it is: aggregates over plain values need no sort.
     position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
-    rows = df.withColumn(_B, bucket).withColumn(_O, position)
+    rows = rows.withColumn(_O, position)
 
-    by_bucket = rows.groupBy(*keys, _B).agg(*[m.report.alias(f"__{out}") for out, m in measures.items()])
+    by_stretch = rows.groupBy(*keys, _B).agg(*[m.report.alias(f"__{out}") for out, m in measures.items()])
     ordered = Window.partitionBy(*keys).orderBy(F.col(_B).asc_nulls_first())
-    frames = Frames(
-        ordered, ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
-    )
+    frames = Frames(ordered, ordered.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys))
     received = F.struct(*[m.carry(F.col(f"__{out}"), frames).alias(out) for out, m in measures.items()])
-    heads = by_bucket.select(*keys, _B, F.lit(False).alias(_ROW), received.alias(_CARRY))
+    heads = by_stretch.select(*keys, _B, F.lit(False).alias(_ROW), received.alias(_CARRY))
 
     stretch = Window.partitionBy(*keys, _B).orderBy(_ROW, _O)
     got = F.first(_CARRY).over(stretch)
@@ -157,51 +170,67 @@ def with_measures(
     return together.select(*df.columns, _ROW, *outputs).filter(_ROW).drop(_ROW)
 
 
+def _null_safe(columns: Sequence[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in columns], F.lit(True))
+
+
+def _join_back(df: DataFrame, per_value: DataFrame, columns: Sequence[str], outputs: Sequence[str]) -> DataFrame:
+    """Give each row the outputs of its group; a crowded group is a skewed join, which AQE splits."""
+    named = per_value.select(*[F.col(c).alias(f"__r_{c}") for c in columns], *outputs)
+    return df.join(named, _null_safe(columns, "__r_")).select(*df.columns, *outputs)
+
+
+def with_ranks(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rank: str,
+    dense_rank: str,
+    bucket: Column | None = None,
+) -> DataFrame:
+    """Add ``rank`` and ``dense_rank`` over ``keys`` in ascending ``order``.
+
+    Ties are counted before anything is sorted, so any number of rows may tie.
+    """
+    values = df.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("__n"))
+    placed = with_measures(
+        values, keys, order, {dense_rank: row_number(), "__upto": running_sum("__n")}, bucket
+    ).withColumn(rank, F.col("__upto") - F.col("__n") + 1)
+    return _join_back(df, placed, [*keys, *order], [rank, dense_rank])
+
+
 def trailing_sum(
-    df: DataFrame, keys: Sequence[str], position: Column, width: int, sums: dict[str, str]
+    df: DataFrame, keys: Sequence[str], position: Column, width: int, sums: dict[str, str], bucket: bool = False
 ) -> DataFrame:
     """Sums over the rows of the key from ``position - width`` to ``position``, ends included.
 
     ``position`` is a whole number, such as microseconds, and ``sums`` maps outputs to
     columns of whole numbers or decimals. A sliding frame would add up its rows again for
     each row. Here every row also leaves: it counts against the sum past ``position +
-    width``, so one running sum over rows and departures gives the answer. The order is
-    cut into steps of ``width``; a step starts with the total of the step before it, whose
-    rows all leave within it.
+    width``, so a running sum over arrivals and departures gives the answer. Both are
+    summed per position first. ``bucket`` uses steps of ``width`` as stretches.
     """
     keys, columns = list(keys), sorted(set(sums.values()))
-    kind, gone = "__kind", 1
-    at = df.withColumn(_O, position).withColumn(_B, F.floor(F.col(_O) / width))
-    deltas = [F.col(c).alias(f"__d_{c}") for c in columns]
-    counts = [F.col(c).isNotNull().cast("bigint").alias(f"__n_{c}") for c in columns]
-    arriving = at.select("*", F.lit(0).alias(kind), *deltas, *counts)
-    leaving = at.select(
+    at, kind, arrives = "__at", "__kind", 0
+    placed = df.withColumn(at, position)
+    amounts = [F.sum(c).alias(f"__d_{c}") for c in columns] + [F.count(c).alias(f"__n_{c}") for c in columns]
+    arriving = placed.groupBy(*keys, at).agg(*amounts).withColumn(kind, F.lit(arrives))
+    leaving = arriving.select(
         *keys,
-        (F.col(_O) + width).alias(_O),
-        (F.col(_B) + 1).alias(_B),
-        F.lit(gone).alias(kind),
-        *[(-F.col(c)).alias(f"__d_{c}") for c in columns],
-        *[(-F.col(c).isNotNull().cast("bigint")).alias(f"__n_{c}") for c in columns],
-    )
-    heads = (
-        at.groupBy(*keys, _B)
-        .agg(
-            *[F.sum(c).alias(f"__d_{c}") for c in columns],
-            *[F.count(c).alias(f"__n_{c}") for c in columns],
-        )
-        .withColumn(_O, F.col(_B) * width + width)
-        .withColumn(_B, F.col(_B) + 1)
-        .withColumn(kind, F.lit(-1))
+        (F.col(at) + width).alias(at),
+        *[(-F.col(f"__{part}_{c}")).alias(f"__{part}_{c}") for part in ("d", "n") for c in columns],
+        F.lit(arrives + 1).alias(kind),
     )
-    together = arriving.unionByName(leaving, allowMissingColumns=True).unionByName(heads, allowMissingColumns=True)
-    # Rows at one position share a result, which a range frame to the current row gives.
-    sofar = (
-        Window.partitionBy(*keys, _B).orderBy(_O, kind).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.floor(F.col(at) / width) if bucket else None
+    running = {f"__{part}_{c}_now": running_sum(f"__{part}_{c}") for part in ("d", "n") for c in columns}
+    swept = with_measures(arriving.unionByName(leaving), keys, [at, kind], running, step).filter(
+        F.col(kind) == arrives
     )
-    outputs = [
-        F.when(F.sum(f"__n_{c}").over(sofar) > 0, F.sum(f"__d_{c}").over(sofar)).alias(out) for out, c in sums.items()
+    results = [
+        F.when(F.col(f"__n_{c}_now") > 0, F.col(f"__d_{c}_now")).alias(out) for out, c in sums.items()
     ]
-    return together.select(*df.columns, kind, *outputs).filter(F.col(kind) == 0).drop(kind)
+    joined = _join_back(placed, swept.select(*keys, at, *results), [*keys, at], list(sums))
+    return joined.select(*df.columns, *sums)
 
 
 def asof_join(
@@ -211,49 +240,34 @@ def asof_join(
     left_time: str,
     right_time: str,
     values: Sequence[str],
-    bucket: Callable[[Column], Column],
+    bucket: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Each left row with the ``values`` of the last right row at or before its time.
 
-    ``bucket`` maps a time to a stretch of time. Both sides are merged by key and stretch;
-    the last right row of earlier stretches heads each stretch. Left rows without a match
-    keep NULLs. Right rows of one key should have distinct times; among equal times the
-    greatest values win.
+    Both sides are put in one order of key and time, and each left row takes the last right
+    row known by then. Left rows without a match keep NULLs. Right rows of one key should
+    have distinct times; among equal times the greatest values win. ``bucket`` maps a time
+    to a stretch known to be small.
     """
     on, values = list(on), list(values)
-    t, b, side, pick = "__time", _B, "__side", "__right"
-    kind = F.struct(*[F.col(v) for v in values])
+    t, side, pick = "__time", "__side", "__right"
+    known = F.struct(*[F.col(v) for v in values])
     right_rows = right.filter(F.col(right_time).isNotNull()).select(
-        *on, F.col(right_time).alias(t), bucket(F.col(right_time)).alias(b), F.lit(1).alias(side), kind.alias(pick)
-    )
-    left_rows = left.withColumn(t, F.col(left_time)).withColumn(b, bucket(F.col(left_time))).withColumn(side, F.lit(2))
-
-    # One row per key and stretch: the last right row in it, NULL where only left rows are.
-    last_in = right_rows.groupBy(*on, b).agg(F.max_by(pick, F.struct(t, pick)).alias(pick))
-    asked = left_rows.select(*on, b).distinct()
-    earlier = (
-        Window.partitionBy(*on).orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    heads = (
-        last_in.unionByName(asked, allowMissingColumns=True)
-        .groupBy(*on, b)
-        .agg(F.first(pick, ignorenulls=True).alias(pick))
-        .select(*on, b, F.lit(0).alias(side), F.last(pick, ignorenulls=True).over(earlier).alias(pick))
-        .filter(F.col(pick).isNotNull())
+        *on, F.col(right_time).alias(t), F.lit(1).alias(side), known.alias(pick)
     )
-    stretch = (
-        Window.partitionBy(*on, b)
-        .orderBy(F.col(t).asc_nulls_first(), side, pick)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    left_rows = left.withColumn(t, F.col(left_time)).withColumn(side, F.lit(2))
+    found = with_measures(
+        left_rows.unionByName(right_rows, allowMissingColumns=True),
+        on,
+        [t, side, pick],
+        {"__found": last_known(pick)},
+        bucket(F.col(t)) if bucket else None,
     )
-    together = left_rows.unionByName(right_rows, allowMissingColumns=True).unionByName(
-        heads, allowMissingColumns=True
-    )
-    found = F.when(F.col(left_time).isNotNull(), F.last(pick, ignorenulls=True).over(stretch))
-    return (
-        together.select(*left.columns, side, found.alias("__found"))
-        .filter(F.col(side) == 2)
-        .select(*left.columns, *[F.col("__found").getField(v).alias(v) for v in values])
+    matches = F.col(left_time).isNotNull()
+    for key in on:
+        matches = matches & F.col(key).isNotNull()
+    return found.filter(F.col(side) == 2).select(
+        *left.columns, *[F.when(matches, F.col("__found").getField(v)).alias(v) for v in values]
     )
 
 
@@ -281,40 +295,28 @@ def range_join(
     )
 
 
-def exact_quantile(
-    df: DataFrame, keys: Sequence[str], column: str, fraction: float, bucket: Column, name: str
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], column: str, fractions: dict[str, float], bucket: Column | None = None
 ) -> DataFrame:
-    """The interpolated quantile per key, sorting only the stretches that hold it.
+    """Interpolated quantiles per key, from counts of distinct values.
 
-    Counts per key and bucket locate the one or two positions wanted; only rows of the
-    buckets with those positions are ranked.
+    Spark's own exact percentile holds all distinct values of a group in one task.
     """
     keys = list(keys)
-    rows = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("__v"), bucket.alias(_B))
-    counts = rows.groupBy(*keys, _B).agg(F.count(F.lit(1)).alias("__n"))
-    ordered = Window.partitionBy(*keys).orderBy(_B)
-    target = (F.sum("__n").over(Window.partitionBy(*keys)) - 1) * F.lit(fraction)
-    base = F.sum("__n").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n")
-    wanted = (
-        counts.select(*keys, _B, "__n", base.alias("__base"), target.alias("__at"))
-        .filter((F.floor("__at") < F.col("__base") + F.col("__n")) & (F.ceil("__at") >= F.col("__base")))
-        .drop("__n")
-    )
-    wanted = wanted.withColumnsRenamed({_B: "__kb", **{k: f"__k{i}" for i, k in enumerate(keys)}})
-    match = F.col(_B) == F.col("__kb")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    held = rows.join(wanted, match).select(*keys, "__v", _B, "__base", "__at")
-    position = F.col("__base") + F.row_number().over(Window.partitionBy(*keys, _B).orderBy("__v")) - 1
-    low, high = F.floor("__at"), F.ceil("__at")
-    return (
-        held.withColumn("__p", position)
-        .filter((F.col("__p") == low) | (F.col("__p") == high))
-        .groupBy(*keys)
-        .agg(
-            F.max(F.when(F.col("__p") == low, F.col("__v"))).alias("__lo"),
-            F.max(F.when(F.col("__p") == high, F.col("__v"))).alias("__hi"),
-            F.max(F.col("__at") - low).alias("__part"),
-        )
-        .select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")).alias(name))
+    values = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("__n"))
+    placed = with_measures(
+        values, keys, [column], {"__upto": running_sum("__n"), "__total": total("__n")}, bucket
     )
+
+    def holds(position: Column) -> Column:
+        return (F.col("__upto") > position) & (F.col("__upto") - F.col("__n") <= position)
+
+    wanted, outputs = F.lit(False), []
+    for name, fraction in fractions.items():
+        at = (F.col("__total") - 1) * F.lit(fraction)
+        low, high = F.floor(at), F.ceil(at)
+        wanted = wanted | holds(low) | holds(high)
+        below = F.max(F.when(holds(low), F.col(column)))
+        above = F.max(F.when(holds(high), F.col(column)))
+        outputs.append((below + (above - below) * F.max(at - low)).alias(name))
+    return placed.filter(wanted).groupBy(*keys).agg(*outputs)

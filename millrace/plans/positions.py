@@ -23,12 +23,11 @@ def value_at(df: DataFrame, column: str, index: int, order: Sequence[str | Colum
 
 
 class Series(NamedTuple):
-    """A column of a table taken as a list: its order, and stretches of that order."""
+    """A column of a table taken as a list in a given order."""
 
     df: DataFrame
     column: str
     order: Sequence[str]
-    bucket: Column
 
 
 def _sql_type(values: list) -> str:
@@ -71,7 +70,7 @@ def zip_columns(spark: SparkSession, columns: dict[str, Series | list | Any]) ->
     frames = [spark.createDataFrame(list(given), ", ".join(types))]
     repeats: dict[str, Column] = {n: F.lit(v[0]) for n, v in literals.items() if len(v) == 1}
     for df, names, series in tables:
-        numbered = with_measures(df, [], series.order, series.bucket, {_POS: row_number()})
+        numbered = with_measures(df, [], series.order, {_POS: row_number()})
         frames.append(numbered.select((F.col(_POS) - 1).alias(_POS), *[F.col(c).alias(n) for n, c in names]))
         size = df.limit(2).agg(F.count(F.lit(1))).scalar()
         for name, column in names:

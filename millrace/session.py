@@ -51,9 +51,10 @@ def written_table(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of it, by default in the shared folder.
 
     Later reads start from the files, whatever happens to executors meanwhile, and still
-    prune columns and push filters.
+    prune columns and push filters. Tables stay until someone deletes the folder named
+    after the application, since lazy plans may still read them.
     """
     spark = df.sparkSession
-    path = path or f"{shared_folder(spark)}/millrace-tables/{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/millrace-tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -26,13 +26,21 @@ def groups(rows, order):
     return {k: sorted(g, key=order) for k, g in found.items()}
 
 
-def test_measures_over_a_total_order(spark):
+# Stretches of even size, and stretches named by the caller.
+BUCKETS = pytest.mark.parametrize("bucket", [None, "floor(t / 10)"])
+
+
+def expression(bucket):
+    return None if bucket is None else F.expr(bucket)
+
+
+@BUCKETS
+def test_measures_over_a_total_order(spark, bucket):
     rows, df = table(spark)
     out = o.with_measures(
         df,
         ["k"],
         ["t", "id"],
-        F.floor(F.col("t") / 10),
         {
             "rn": o.row_number(),
             "tile": o.ntile(4),
@@ -41,7 +49,10 @@ def test_measures_over_a_total_order(spark):
             "after": o.lead("v"),
             "first": o.first_value("v"),
             "last": o.last_value("v"),
+            "known": o.last_known("v"),
+            "whole": o.total("v"),
         },
+        expression(bucket),
     )
     got = {r.id: r for r in out.collect()}
     assert len(got) == len(rows)
@@ -58,11 +69,16 @@ def test_measures_over_a_total_order(spark):
             assert r.before == (group[i - 1][3] if i else None)
             assert r.after == (group[i + 1][3] if i + 1 < n else None)
             assert (r["first"], r["last"]) == (group[0][3], group[-1][3])
+            values = [g[3] for g in group if g[3] is not None]
+            assert r.whole == (sum(values) if values else None)
+            so_far = [g[3] for g in group[: i + 1] if g[3] is not None]
+            assert r.known == (so_far[-1] if so_far else None)
 
 
-def test_ranks_with_ties(spark):
+@BUCKETS
+def test_ranks_with_ties(spark, bucket):
     rows, df = table(spark)
-    out = o.with_measures(df, ["k"], ["t"], F.floor(F.col("t") / 100), {"rk": o.rank(), "drk": o.dense_rank()})
+    out = o.with_ranks(df, ["k"], ["t"], "rk", "drk", expression(bucket))
     got = {r.id: r for r in out.collect()}
     for group in groups(rows, lambda r: r[2]).values():
         times = [r[2] for r in group]
@@ -73,11 +89,12 @@ def test_ranks_with_ties(spark):
 
 def test_fewer_rows_than_tiles(spark):
     df = spark.createDataFrame([(i,) for i in range(3)], "t int")
-    out = o.with_measures(df, [], ["t"], F.col("t"), {"tile": o.ntile(5)})
+    out = o.with_measures(df, [], ["t"], {"tile": o.ntile(5)})
     assert sorted(r.tile for r in out.collect()) == [1, 2, 3]
 
 
-def test_asof_join(spark):
+@pytest.mark.parametrize("bucket", [None, lambda t: F.floor(t / 20)])
+def test_asof_join(spark, bucket):
     rng = random.Random(3)
     left = [(i, rng.choice(["hot", "hot", "a", None]), rng.choice([None, *range(0, 300)])) for i in range(200)]
     right = [(rng.choice(["hot", "a", "b"]), t, None if t % 7 == 0 else t * 10) for t in rng.sample(range(0, 300), 60)]
@@ -88,7 +105,7 @@ def test_asof_join(spark):
         "t",
         "at",
         ["at", "v"],
-        lambda t: F.floor(t / 20),
+        bucket,
     )
     got = {r.id: (r["at"], r.v) for r in out.collect()}
     assert len(got) == len(left)
@@ -116,22 +133,23 @@ def test_range_join(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("fraction", [0.0, 0.25, 0.5, 0.9, 1.0])
-def test_exact_quantile(spark, fraction):
-    rows, df = table(spark)
+@pytest.mark.parametrize("bucket", [None, "floor(x / 60)"])
+def test_exact_quantiles(spark, bucket):
+    _, df = table(spark)
     df = df.withColumn("x", F.col("t") * 1.5)
-    got = {
-        r.k: r.q for r in o.exact_quantile(df, ["k"], "x", fraction, F.floor(F.col("x") / 60), "q").collect()
-    }
-    want = {r.k: r.q for r in df.groupBy("k").agg(F.expr(f"percentile(x, {fraction})").alias("q")).collect()}
+    fractions = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q90": 0.9, "q100": 1.0}
+    got = {r.k: r for r in o.exact_quantiles(df, ["k"], "x", fractions, expression(bucket)).collect()}
+    plain = [F.expr(f"percentile(x, {fraction})").alias(name) for name, fraction in fractions.items()]
+    want = {r.k: r for r in df.groupBy("k").agg(*plain).collect()}
     assert got.keys() == want.keys()
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert all(abs(got[k][name] - want[k][name]) < 1e-9 for k in want for name in fractions)
 
 
+@pytest.mark.parametrize("bucket", [False, True])
 @pytest.mark.parametrize("width", [1, 50, 400])
-def test_trailing_sum(spark, width):
+def test_trailing_sum(spark, width, bucket):
     rows, df = table(spark)
-    out = o.trailing_sum(df.withColumn("one", F.lit(1)), ["k"], F.col("t"), width, {"near": "one", "total": "v"})
+    out = o.trailing_sum(df.withColumn("one", F.lit(1)), ["k"], F.col("t"), width, {"near": "one", "total": "v"}, bucket)
     got = {r.id: (r.near, r.total) for r in out.collect()}
     assert len(got) == len(rows)
     for i, k, t, _ in rows:
@@ -140,11 +158,12 @@ def test_trailing_sum(spark, width):
         assert got[i] == (len(frame), sum(values) if values else None)
 
 
-def test_a_hot_key_is_cut(spark):
-    """No shuffle is keyed by the key alone except over the per-bucket table."""
+@BUCKETS
+def test_a_hot_key_is_cut(spark, bucket):
+    """No shuffle is keyed by the key alone except over the per-stretch table."""
     _, df = table(spark)
     plan = (
-        o.with_measures(df, ["k"], ["t", "id"], F.floor(F.col("t") / 10), {"rn": o.row_number()})
+        o.with_measures(df, ["k"], ["t", "id"], {"rn": o.row_number()}, expression(bucket))
         ._jdf.queryExecution()
         .executedPlan()
         .toString()
@@ -153,6 +172,15 @@ def test_a_hot_key_is_cut(spark):
     assert len(by_key_only) == 1
 
 
+def test_one_order_value_is_cut_too(spark):
+    """All rows of a key tie, and still no stretch holds them all."""
+    df = spark.range(0, 4000, 1, 4).selectExpr("1 AS k", "7 AS t", "id")
+    cut = o._even_stretches(df, ["k"], ["t"])
+    assert cut.groupBy(o._B).count().agg(F.max("count")).first()[0] < 2000
+    out = o.with_measures(df, ["k"], ["t"], {"rn": o.row_number()})
+    assert sorted(r.rn for r in out.collect()) == list(range(1, 4001))
+
+
 def test_zip_columns(spark):
     a = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "n int, v string")
     b = spark.createDataFrame([(1, "x"), (2, "y")], "n int, w string")
@@ -160,9 +188,9 @@ def test_zip_columns(spark):
     out = zip_columns(
         spark,
         {
-            "v": Series(a, "v", ["n"], F.col("n")),
-            "w": Series(b, "w", ["n"], F.col("n")),
-            "u": Series(one, "u", ["n"], F.col("n")),
+            "v": Series(a, "v", ["n"]),
+            "w": Series(b, "w", ["n"]),
+            "u": Series(one, "u", ["n"]),
             "flag": [True],
             "nothing": None,
             "five": [1, None, 3, 4, 5],

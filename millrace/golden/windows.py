@@ -26,14 +26,14 @@ from millrace.plans.ordered import (
     """SELECT l_returnflag, l_orderkey, l_linenumber, l_quantity, l_partkey,
               row_number() OVER by_all AS rn, rank() OVER by_day AS rk, dense_rank() OVER by_day AS drk,
               ntile(7) OVER by_all AS tile
-       FROM (SELECT DISTINCT l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem)
+       FROM lineitem
        WINDOW by_all AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity),
               by_day AS (PARTITION BY l_returnflag ORDER BY l_shipdate)""",
 )
 def sql_rank(spark: SparkSession, sf: str) -> DataFrame:
     """Three flags hold all lines and many lines share a day; neither decides who works."""
     columns = ["l_returnflag", "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
-    lines = load(spark, sf, "lineitem").select(*columns).distinct()
+    lines = load(spark, sf, "lineitem").select(*columns)
     ranked = with_ranks(lines, ["l_returnflag"], ["l_shipdate"], "rk", "drk")
     placed = with_measures(ranked, ["l_returnflag"], columns[1:], {"rn": row_number(), "tile": ntile(7)})
     return placed.drop("l_shipdate")

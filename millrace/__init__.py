@@ -14,7 +14,7 @@ from millrace.registry import OPERATORS, SOURCES
 import millrace.operators  # noqa: F401  (registers the named operators)
 import millrace.sources  # noqa: F401  (registers the named sources)
 
-from millrace.plans.pipeline import PipelineRun, run_pipeline  # noqa: E402
+from millrace.plans.pipeline import PipelineRun, loop_requests, run_pipeline  # noqa: E402
 from millrace.plans.spec import check_spec, parse_spec  # noqa: E402
 
 __all__ = [
@@ -29,6 +29,7 @@ __all__ = [
     "SpecError",
     "TransportFailure",
     "check_spec",
+    "loop_requests",
     "parse_spec",
     "run_pipeline",
 ]

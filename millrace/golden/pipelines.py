@@ -12,6 +12,7 @@ from millrace.operators.sql import sql_transform
 from millrace.plans.history import History
 from millrace.plans.pipeline import (
     input_table,
+    loop_requests,
     present,
     resolve_scalar,
     run_pipeline,
@@ -327,6 +328,41 @@ def condition_branch(spark: SparkSession, sf: str) -> DataFrame:
     return run_pipeline(spark, spec, tables={"orders": load(spark, sf, "orders")}).result()
 
 
+@golden(
+    "loop_request_bodies",
+    """SELECT o_orderkey, '{"site":"EU","ds_condition":[{"customer":' || o_custkey || ',"status":"' || o_orderstatus
+              || '"}]}' AS body
+       FROM orders""",
+)
+def loop_request_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """The body a loop step would send for every order."""
+    spec = {
+        "workflow_id": "ask",
+        "steps": [
+            {
+                "step_id": "ask",
+                "driver": "json",
+                "mode": "chained_loop",
+                "endpoint": "customers/detail",
+                "inputs": ["orders"],
+                "variables": {
+                    "site": {"source": "session.site", "default": "EU"},
+                    "ds_condition": {
+                        "type": "dataset",
+                        "columns": [
+                            {"field": "loop_row.o_custkey", "alias": "customer"},
+                            {"field": "loop_row.o_orderstatus", "alias": "status"},
+                        ],
+                    },
+                },
+                "output_dataset": "ds_answers",
+            }
+        ],
+    }
+    bodies = loop_requests(spark, spec, "ask", tables={"orders": load(spark, sf, "orders")})
+    return bodies.select("o_orderkey", "body")
+
+
 # -- positional reads --------------------------------------------------------------------
 
 

@@ -282,44 +282,105 @@ def _request(step: Step, ctx: RunContext):
     ``{"type": "dataset", "columns": [{"field": path, "alias": name}]}``, or rows written
     out with lone ``{{ path }}`` cells.
     """
-    from millrace.sources.steps import Request
+    from millrace.sources.steps import Request, Sent
 
     request = Request(driving=ctx.table(step.inputs[0]) if step.mode == "chained_loop" else None)
 
-    def add(name: str, path: str, default: Any = None, order_by: list[str] | None = None) -> None:
+    def add(dataset: str | None, name: str, path: str, default: Any = None, order_by: list[str] | None = None) -> None:
         if path.startswith("loop_row") and request.driving is not None:
-            request.row_columns[name] = nested_column(request.driving, path.removeprefix("loop_row").lstrip("."))
-        elif path.split(".", 1)[0] in _VALUE_SCOPES:
-            value = ctx.value(path)
-            request.constants[name] = default if value is None else value
-        elif _whole_column(ctx, path) and not order_by:
+            value = nested_column(request.driving, path.removeprefix("loop_row").lstrip("."))
+            value = value if default is None else F.coalesce(value, F.lit(default))
+            request.row_columns[name] = value
+        elif path.split(".", 1)[0] not in _VALUE_SCOPES and not order_by and _whole_column(ctx, path):
+            # A column of a table, of any size, picks responses by a join; no body carries it.
             table, column = _whole_column(ctx, path)
             request.lists[name] = ctx.table(table).select(F.col(f"`{column}`").alias(name))
+            return
+        elif path.split(".", 1)[0] in _VALUE_SCOPES:
+            value = ctx.value(path)
+            value = default if value is None else value
+            request.constants[name] = value
+        else:
+            value = resolve_scalar(ctx, path, default, order_by)
+            request.constants[name] = value
+        request.sent.append(Sent(dataset, name, value))
+
+    def add_cell(dataset: str | None, name: str, cell: Any) -> None:
+        lone = _LONE_PLACEHOLDER.match(cell) if isinstance(cell, str) else None
+        if lone:
+            add(dataset, name, lone[1])
         else:
-            request.constants[name] = resolve_scalar(ctx, path, default, order_by)
+            request.constants[name] = cell
+            request.sent.append(Sent(dataset, name, cell))
+
+    def listed(cells: list) -> list | Column:
+        """Cells of a column written out row by row, their placeholders filled in."""
+        values = []
+        for cell in cells:
+            lone = _LONE_PLACEHOLDER.match(cell) if isinstance(cell, str) else None
+            if lone and lone[1].startswith("loop_row") and request.driving is not None:
+                cell = nested_column(request.driving, lone[1].removeprefix("loop_row").lstrip("."))
+            elif lone:
+                cell = ctx.value(lone[1])
+            values.append(cell)
+        if not any(isinstance(v, Column) for v in values):
+            return values
+        columns = [v if isinstance(v, Column) else F.lit(v) for v in values]
+        # One column has one type: beside text everything is text.
+        as_text = any(isinstance(v, str) for v in values)
+        return F.array(*[c.cast("string") if as_text else c for c in columns])
 
     for name, config in step.variables.items():
         if name == "headers":
             continue
-        if name in ("datasets", "parameters") and isinstance(config, dict) and "type" not in config:
-            for value in config.values():
-                for row in value if isinstance(value, list) else [config] if name == "parameters" else []:
-                    for column, cell in row.items():
-                        lone = _LONE_PLACEHOLDER.match(str(cell))
-                        if lone:
-                            add(column, lone[1].strip())
-                        else:
-                            request.constants[column] = cell
+        written_out = isinstance(config, dict) and "type" not in config
+        if name == "datasets" and written_out:
+            for dataset, rows in config.items():
+                if not isinstance(rows, list):
+                    add_cell(dataset, dataset, rows)
+                elif len(rows) == 1:
+                    for column, cell in rows[0].items():
+                        add_cell(dataset, column, cell)
+                else:
+                    for column in rows[0] if rows else ():
+                        add_cell(dataset, column, listed([row.get(column) for row in rows]))
+        elif name == "parameters" and written_out:
+            for parameter, cell in config.items():
+                add_cell(None, parameter, cell)
         elif not isinstance(config, dict):
-            request.constants[name] = config
+            add_cell(None, name, config)
         elif config.get("type") == "dataset":
             for column in config.get("columns") or []:
                 path = column.get("field") or column.get("name", "")
-                add(column.get("alias") or output_alias(path), path, order_by=column.get("order_by"))
+                alias = column.get("alias") or output_alias(path)
+                add(name, alias, path, order_by=column.get("order_by"))
+        elif config.get("source") or config.get("jsonpath"):
+            add(None, name, config.get("source") or config["jsonpath"], config.get("default"), config.get("order_by"))
         else:
-            path = config.get("source") or config.get("jsonpath", "")
-            if path:
-                add(name, path, config.get("default"), config.get("order_by"))
-            else:
-                request.constants[name] = config.get("default")
+            add_cell(None, name, config.get("default"))
     return request
+
+
+def loop_requests(
+    spark: SparkSession,
+    spec: dict | Spec,
+    step_id: str,
+    inputs: dict[str, Any] | None = None,
+    session: dict[str, Any] | None = None,
+    tables: dict[str, DataFrame] | None = None,
+) -> DataFrame:
+    """The request bodies a step sends: one per driving row, or one for a batch step.
+
+    The driving row's columns come first, then ``body``, in XML or JSON as the step's
+    source has it. ``tables`` holds the step's inputs.
+    """
+    from millrace.sources.requests import request_bodies
+
+    spec = parse_spec(spec)
+    step = next((s for s in spec.steps if s.step_id == step_id), None)
+    if step is None:
+        raise SpecError([f"no step '{step_id}'"])
+    ctx = RunContext(spark, inputs=_with_defaults(spec.inputs, inputs or {}), session=session)
+    for name, df in (tables or {}).items():
+        ctx.register(name, df)
+    return request_bodies(spark, step, _request(step, ctx))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +27,26 @@ from millrace.sources import json_records, outcomes, spreadsheet, xml_envelope
 _ROW = "__row_key_"
 
 
+class Sent(NamedTuple):
+    """One value of a request: a parameter, or a column of the named dataset.
+
+    ``value`` is a constant, a list, a column of the driving row or a scalar subquery.
+    """
+
+    dataset: str | None
+    name: str
+    value: Any
+
+
 @dataclass
 class Request:
-    """Values a step sends: constants, columns of step tables, columns of a loop's driving row."""
+    """What a step sends, and by which values its responses are found."""
 
+    driving: DataFrame | None = None
+    sent: list[Sent] = field(default_factory=list)
     constants: dict[str, Any] = field(default_factory=dict)
-    lists: dict[str, DataFrame] = field(default_factory=dict)
     row_columns: dict[str, Column] = field(default_factory=dict)
-    driving: DataFrame | None = None
+    lists: dict[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass

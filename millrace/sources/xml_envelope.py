@@ -11,7 +11,7 @@ Every value is text. An empty element is ``""``; an absent ``Col`` is NULL.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -251,36 +251,45 @@ def build_xml_envelope(
         spread = F.pmod(digest, F.coalesce("__parts", F.lit(1)))
         placed = df.join(large, same, "left").withColumn("part", spread.cast("int"))
 
-    cells = F.array(*[_id_value(c, F.col(c)) for c in columns])
     listed = placed.groupBy(*keys, "part").agg(
-        F.sort_array(F.collect_list(F.struct(*order, F.struct(cells.alias("Col")).alias("__row")))).alias("__rows")
-    )
-    info = F.array(
-        *[
-            F.struct(F.lit(c).alias("_id"), F.lit(COLUMN_TYPE).alias("_type"), F.lit(COLUMN_SIZE).alias("_size"))
-            for c in columns
-        ]
-    )
-    body = _document(
-        parameters,
-        F.array(
-            F.struct(
-                F.lit(dataset).alias("_id"),
-                F.struct(info.alias("Column")).alias("ColumnInfo"),
-                F.struct(F.transform("__rows", lambda r: r.getField("__row")).alias("Row")).alias("Rows"),
-            )
-        ),
-        namespace,
+        F.sort_array(F.collect_list(F.struct(*order, F.struct(*columns).alias("__row")))).alias("__rows")
     )
+
+    def rows(build) -> Column:
+        return F.transform("__rows", lambda r: build([r["__row"][c] for c in columns]))
+
+    body = envelope_document(parameters, F.array(dataset_struct(dataset, columns, rows)), namespace)
     return listed.select(*keys, "part", body.alias("body"))
 
 
 def build_parameters_envelope(df: DataFrame, keys: Sequence[str], parameters: Mapping[str, str | Column]) -> DataFrame:
     """An envelope per row that carries parameters only."""
-    return df.select(*keys, _document(parameters, None, None).alias("body"))
+    return df.select(*keys, envelope_document(parameters, None).alias("body"))
+
+
+def dataset_struct(
+    name: str, columns: Sequence[str], rows: Callable[[Callable[[list[Column]], Column]], Column]
+) -> Column:
+    """A dataset element. ``rows(build)`` returns the array of ``build(values)`` results."""
+    info = [
+        F.struct(F.lit(c).alias("_id"), F.lit(COLUMN_TYPE).alias("_type"), F.lit(COLUMN_SIZE).alias("_size"))
+        for c in columns
+    ]
+
+    def build(values: list[Column]) -> Column:
+        return F.struct(F.array(*[_id_value(c, v) for c, v in zip(columns, values)]).alias("Col"))
+
+    return F.struct(
+        F.lit(name).alias("_id"),
+        F.struct(F.array(*info).alias("Column")).alias("ColumnInfo"),
+        F.struct(rows(build).alias("Row")).alias("Rows"),
+    )
 
 
-def _document(parameters, datasets: Column | None, namespace: str | None) -> Column:
+def envelope_document(
+    parameters: Mapping[str, str | Column] | None, datasets: Column | None, namespace: str | None = None
+) -> Column:
+    """The XML text of an envelope."""
     fields = [F.lit(namespace).alias("_xmlns")] if namespace else []
     items = [
         _id_value(name, value if isinstance(value, Column) else F.lit(value))

@@ -1,4 +1,6 @@
+import json
 import logging
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from millrace import (
     RunContext,
     SpecError,
     check_spec,
+    loop_requests,
     parse_spec,
     run_pipeline,
 )
@@ -471,6 +474,68 @@ def test_request_lists_pick_responses(spark):
     assert sorted(r.v for r in run.result().collect()) == [1, 3]
 
 
+REQUEST_VARIABLES = {
+    "headers": {"Authorization": "{{ session.token }}"},
+    "user": {"source": "session.user"},
+    "mode": {"type": "parameter", "source": "inputs.mode", "default": "full"},
+    "ds": {
+        "type": "dataset",
+        "columns": [
+            {"field": "loop_row.id", "alias": "product_id"},
+            {"field": "loop_row.tags", "alias": "tag"},
+            {"field": "loop_row.more.x"},
+        ],
+    },
+    "datasets": {"ds_fixed": [{"a": "1"}, {"a": "{{ inputs.gone }}"}, {"a": "{{ loop_row.id }}"}], "ds_lone": [{"b": "{{ loop_row.id }}"}]},
+}
+
+
+def requests_of(spark, driver):
+    rows = spark.sql(
+        "SELECT 1 AS id, array('p', 'q') AS tags, named_struct('x', array(7, 8, 9)) AS more"
+        " UNION ALL SELECT 2, array(), NULL"
+    )
+    spec = {
+        "workflow_id": "w",
+        "steps": [step(driver=driver, mode="chained_loop", endpoint="e", inputs=["t"], variables=REQUEST_VARIABLES)],
+    }
+    out = loop_requests(spark, spec, "s", session={"user": "u", "token": "secret"}, tables={"t": rows})
+    bodies = {r.id: r.body for r in out.collect()}
+    assert "secret" not in str(bodies)
+    return bodies
+
+
+def test_json_requests(spark):
+    bodies = requests_of(spark, "json")
+    assert json.loads(bodies[1]) == {
+        "user": "u",
+        "mode": "full",
+        "ds": [
+            {"product_id": 1, "tag": "p", "x": 7},
+            {"product_id": 1, "tag": "q", "x": 8},
+            {"product_id": 1, "tag": None, "x": 9},
+        ],
+        "ds_fixed": [{"a": "1"}, {"a": None}, {"a": "1"}],
+        "ds_lone": [{"b": 1}],
+    }
+    assert json.loads(bodies[2])["ds"] == [{"product_id": 2, "tag": None, "x": None}]
+
+
+def test_xml_requests(spark):
+    root = ElementTree.fromstring(requests_of(spark, "xml")[1])
+    assert {p.get("id"): p.text for p in root.iter("Parameter")} == {"user": "u", "mode": "full"}
+    sets = {d.get("id"): [[c.text for c in row] for row in d.iter("Row")] for d in root.iter("Dataset")}
+    assert sets["ds"] == [["1", "p", "7"], ["1", "q", "8"], ["1", None, "9"]]
+    assert sets["ds_lone"] == [["1"]]
+
+
+def test_batch_request(spark):
+    spec = {"workflow_id": "w", "steps": [step(driver="json", endpoint="e", variables={"n": {"source": "inputs.n"}})]}
+    assert [r.body for r in loop_requests(spark, spec, "s", inputs={"n": 3}).collect()] == ['{"n":3}']
+    with pytest.raises(SpecError):
+        loop_requests(spark, spec, "gone")
+
+
 def test_loop_without_a_shared_column(spark):
     spec = {"workflow_id": "w", "steps": [step(driver="json", mode="chained_loop", endpoint="e", inputs=["t"], variables={"q": {"source": "loop_row.id"}})]}
     responses = {"e": spark.createDataFrame([("0", 200, "{}")], "other string, status_code int, body string")}

@@ -1,7 +1,15 @@
 """Declarative table pipelines expressed as lazy Spark DataFrames."""
 
-from millrace.context import RunContext
-from millrace.errors import (
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package that run in tasks travel with the task, so executors need no
+# copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from millrace.context import RunContext  # noqa: E402
+from millrace.errors import (  # noqa: E402
     BusinessFailure,
     ConditionError,
     MissingTable,
@@ -9,10 +17,10 @@ from millrace.errors import (
     SpecError,
     TransportFailure,
 )
-from millrace.registry import OPERATORS, SOURCES
+from millrace.registry import OPERATORS, SOURCES  # noqa: E402
 
-import millrace.operators  # noqa: F401  (registers the named operators)
-import millrace.sources  # noqa: F401  (registers the named sources)
+import millrace.operators  # noqa: E402, F401  (registers the named operators)
+import millrace.sources  # noqa: E402, F401  (registers the named sources)
 
 from millrace.plans.pipeline import PipelineRun, loop_requests, run_pipeline  # noqa: E402
 from millrace.plans.spec import check_spec, parse_spec  # noqa: E402

@@ -251,3 +251,18 @@ def test_registry():
         registry.get("c")
     for name in ("sql_transform", "accumulate_data", "python_script", "handle_nulls", "group_by", "add_date_column"):
         assert name in OPERATORS
+
+
+def test_task_functions_need_no_installed_package(tmp_path):
+    """An executor has only the pickled function, not this package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from millrace.sources.spreadsheet import _sheet_rows
+
+    (tmp_path / "fn.pkl").write_bytes(cloudpickle.dumps(_sheet_rows))
+    code = "import pickle; print(list(pickle.load(open('fn.pkl', 'rb'))(iter([]))))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "[]", done.stderr

@@ -164,7 +164,7 @@ def with_measures(
     heads = by_stretch.select(*keys, _B, F.lit(False).alias(_ROW), received.alias(_CARRY))
 
     stretch = Window.partitionBy(*keys, _B).orderBy(_ROW, _O)
-    got = F.first(_CARRY).over(stretch)
+    got = F.first(_CARRY).over(_so_far(stretch))
     together = rows.withColumn(_ROW, F.lit(True)).unionByName(heads, allowMissingColumns=True)
     outputs = [m.row(got[out], stretch).alias(out) for out, m in measures.items()]
     return together.select(*df.columns, _ROW, *outputs).filter(_ROW).drop(_ROW)

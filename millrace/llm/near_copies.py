@@ -10,11 +10,13 @@ is one row per document with the smallest id reachable over links.
    of which fewer than ``percent`` hundredths are shared can have no link and leaves.
 3. Similar sets are partitioned into groups: three times, sets with the same least shingle
    under another hash are compared to one of them, the centre. Connected sets form a group.
+   Sets that are still alone are grouped by their least shingle.
 4. The matrix has a row for each (shingle, group). A set asks it with the shingles that
    any partner must meet (all but the most frequent ``percent`` hundredths less one) and
    gets the groups it might link with. A pair of groups is judged from its smaller side.
-5. Groups come in slices of bounded size, each with the union of its shingles. A slice is
-   opened only if its union holds enough of the asking set; then its members are compared.
+5. Groups come in slices of bounded size, each with the union of its shingles, and asking
+   sets in blocks. A slice is opened to a set only if its union holds enough of the set;
+   then the set is compared with all its members at once.
 
 Hashes are 64 bits wide; equal hashes count as equal shingles.
 """
@@ -32,7 +34,9 @@ from millrace.llm import textbytes as tb
 from millrace.llm.shared import components, cut, table, union, width
 
 #: Shingles of a group's slice, about; a larger set is a slice by itself.
-SLICE = 1 << 15
+SLICE = 1 << 14
+#: Sets that ask about a class at a time, about.
+BLOCK = 64
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -177,14 +181,14 @@ def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
             rows = [(i, m, np.unique(np.concatenate([_tokens(b) for b in p]))) for i, m, p in zip(ids, n, parts, strict=True)]
             rows = [(i, m, t) for i, m, t in rows if 100 * len(t) >= percent * m]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary())],
-                ["set_id", "n", "tokens"],
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([int(r[2][0].view(np.int64)) for r in rows], pa.int64())],
+                ["set_id", "n", "tokens", "least"],
             )
 
     ways = width(docs.sparkSession)
     found = _shared_tokens(docs, size, ways).groupBy("set_id").agg(F.first("n").alias("n"), F.collect_list("tokens").alias("parts"), F.sum(F.octet_length("tokens")).alias("bytes"))
     found = found.where(F.lit(100) * F.col("bytes") >= F.lit(8 * percent) * F.col("n"))
-    return cut(found.select("set_id", "n", "parts").mapInArrow(gather, "set_id long, n long, tokens binary"))
+    return cut(found.select("set_id", "n", "parts").mapInArrow(gather, "set_id long, n long, tokens binary, least long"))
 
 
 def _centre_links(sets: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -206,7 +210,7 @@ def _centre_links(sets: DataFrame, turn: int, percent: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    keyed = sets.mapInArrow(least, "set_id long, n long, tokens binary, key long")
+    keyed = sets.select("set_id", "n", "tokens").mapInArrow(least, "set_id long, n long, tokens binary, key long")
     centre = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("set_id").alias("c")).where("members > 1").select("key", "c")
     centre = centre.join(sets.select(F.col("set_id").alias("c"), F.col("n").alias("c_n"), F.col("tokens").alias("c_tokens")), "c")
     pairs = keyed.join(centre, "key").where("set_id <> c").select("set_id", "n", "tokens", "c", "c_n", "c_tokens")
@@ -223,71 +227,96 @@ def _matrix_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
             take = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(tokens) if tokens else np.empty(0, np.int64)), ids.take(pa.array(take)), n.take(pa.array(take)), group.take(pa.array(take))],
-                ["token", "set_id", "n", "root"],
+                ["token", "set_id", "n", "class"],
             )
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each set, rarest first, the shingles beyond those a partner may lack."""
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                by = sorted((p["df"], p["token"]) for p in r["all"])
-                lead = len(by) - (percent * r["n"] + 99) // 100 + 1
-                out += [(t, r["set_id"], r["root"]) for _, t in by[: max(lead, 0)]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["token", "q", "q_root"])
+            n, held = (batch.column(i).to_numpy() for i in (1, 3))
+            flat = batch.column(4).flatten()
+            token, df = flat.field(1).to_numpy(), flat.field(0).to_numpy()
+            lengths = np.diff(batch.column(4).offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), lengths)
+            order = np.lexsort((token, df, row))
+            place = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            lead = held - (percent * n + 99) // 100 + 1
+            keep = place < lead[row]
+            row, token = row[keep], token[order][keep]
+            yield pa.RecordBatch.from_arrays([pa.array(token), *(batch.column(i).take(pa.array(row)) for i in (0, 2))], ["token", "q", "q_class"])
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            up: dict[int, int] = {}
             out = []
+
+            def root(x: int, up=up) -> int:
+                while up.setdefault(x, x) != x:
+                    up[x] = x = up[up[x]]
+                return x
+
             for r in batch.to_pylist():
-                q, n, need = _tokens(r["q_tokens"]), r["q_n"], (percent * r["q_n"] + 99) // 100
-                if len(np.intersect1d(q, _tokens(r["total"]), assume_unique=True)) < need:
-                    continue
-                for m in r["members"]:
-                    if m["n"] * 100 >= percent * n and n * 100 >= percent * m["n"] and _similar(q, n, _tokens(m["tokens"]), m["n"], percent):
-                        out.append((r["q"], m["set_id"]))
-                        break  # the rest of the slice's group is connected with this member
+                members = r["members"]
+                sizes = np.array([m["n"] for m in members])
+                parts = [_tokens(m["tokens"]) for m in members]
+                token = np.concatenate(parts)
+                owner = np.repeat(np.arange(len(parts)), [len(t) for t in parts])[order := np.argsort(token, kind="stable")]
+                total, first = np.unique(token[order], return_index=True)  # the slice's union
+                ends = np.r_[first[1:], len(token)]
+                for q in r["asking"]:
+                    tokens, n = _tokens(q["tokens"]), q["n"]
+                    at = np.minimum(np.searchsorted(total, tokens), len(total) - 1)
+                    at = at[total[at] == tokens]
+                    if 100 * len(at) < percent * n:
+                        continue
+                    lengths = ends[at] - first[at]
+                    flat = np.repeat(first[at] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+                    common = np.bincount(owner[flat], minlength=len(members))
+                    for k in np.flatnonzero(100 * common >= percent * (n + sizes - common)):
+                        x, y = root(q["root"]), root(members[k]["root"])
+                        if x != y:  # else this batch has said so already
+                            up[x] = y
+                            out.append((q["set_id"], members[k]["set_id"]))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("set_id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
-        for batch in batches:
-            members = batch.column(1).to_pylist()
-            total = [np.unique(np.concatenate([_tokens(m["tokens"]) for m in ms])).tobytes() for ms in members]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.binary()), pa.array(members, pa.list_(kind))], ["root", "total", "members"])
-
-    grouped = sets.join(groups, "set_id", "left").select("set_id", "n", "tokens", F.coalesce("root", "set_id").alias("root"))
-    grouped = cut(grouped)
-    sizes = grouped.groupBy("root").agg(F.count("*").alias("size"), F.sum(F.octet_length("tokens") / 8).alias("held"))
-    posts = grouped.mapInArrow(unpack, "token long, set_id long, n long, root long")
-    # shingles that one group alone has lead to no other group
-    cells = posts.groupBy("token", "root").agg(F.count("*").alias("df"))
-    cells = cells.join(sizes.select("root", "size"), "root")
-    rows = cells.groupBy("token").agg(F.sum("df").alias("df"), F.count("*").alias("groups"))
-    matrix = cut(cells.select("token", "root", "size").join(rows, "token"))
+    grouped = sets.join(groups, "set_id", "left").select("set_id", "n", "tokens", "least", F.coalesce("root", "set_id").alias("root"))
+    members = grouped.groupBy("root").agg(F.count("*").alias("size"))
+    # sets without a link so far are grouped by their least shingle
+    grouped = grouped.join(members, "root").select(
+        "set_id", "n", "tokens", "root", F.when(F.col("size") > 1, F.col("root")).otherwise(F.col("least")).alias("class"), (F.col("size") > 1).alias("linked")
+    )
+    grouped = cut(grouped.withColumn("class", F.xxhash64("class", "linked")))
+    sizes = grouped.groupBy("class").agg(F.count("*").alias("size"), F.sum(F.octet_length("tokens") / 8).alias("held"))
+    posts = grouped.select("set_id", "n", "tokens", "class").mapInArrow(unpack, "token long, set_id long, n long, class long")
+    cells = posts.groupBy("token", "class").agg(F.count("*").alias("df")).join(sizes.select("class", "size"), "class")
+    rows = cells.groupBy("token").agg(F.sum("df").alias("df"))
+    matrix = cut(cells.select("token", "class", "size"))
     asks = (
         posts.join(rows, "token")
-        .groupBy("set_id", "n", "root")
-        .agg(F.collect_list(F.struct("df", "token")).alias("all"))
-        .mapInArrow(ask, "token long, q long, q_root long")
-        .join(sizes.select(F.col("root").alias("q_root"), F.col("size").alias("q_size")), "q_root")
+        .groupBy("set_id", "n", "class")
+        .agg(F.count("*").alias("held"), F.collect_list(F.struct("df", "token")).alias("all"))
+        .mapInArrow(ask, "token long, q long, q_class long")
+        .join(sizes.select(F.col("class").alias("q_class"), F.col("size").alias("q_size")), "q_class")
     )
-    met = (
-        asks.join(matrix.where("groups > 1"), "token")
-        .where("size > q_size OR (size = q_size AND root > q_root)")
-        .select("q", "root")
-        .distinct()
+    # each pair of classes is asked about from its smaller side; a class of unlinked sets asks itself as well
+    met = asks.join(matrix, "token").where("size > q_size OR (size = q_size AND class >= q_class)")
+    met = met.select("q", "class").distinct().join(grouped.select(F.col("set_id").alias("q"), "n", "tokens", "root", F.col("class").alias("own"), "linked"), "q")
+    met = cut(met.where("NOT linked OR class <> own").select("class", "q", "n", "tokens", "root"))
+    counts = met.groupBy("class").agg(F.count("*").alias("asking"))
+    blocks = (
+        met.join(counts, "class")
+        .groupBy("class", F.pmod(F.xxhash64("q"), F.ceil(F.col("asking") / BLOCK).cast("long")).alias("block"))
+        .agg(F.collect_list(F.struct(F.col("q").alias("set_id"), "n", "tokens", "root")).alias("asking"))
+        .select("class", "asking")
     )
     pages = F.ceil(F.col("held") / SLICE).cast("long")
-    cells_of = (
-        grouped.join(sizes.select("root", "held"), "root")
-        .groupBy("root", F.pmod(F.xxhash64("set_id"), pages).alias("slice"))
-        .agg(F.collect_list(F.struct("set_id", "n", "tokens")).alias("members"))
-        .select("root", "members")
-        .mapInArrow(join_up, "root long, total binary, members array<struct<set_id:long,n:long,tokens:binary>>")
+    slices = (
+        grouped.join(sizes.select("class", "held"), "class")
+        .groupBy("class", F.pmod(F.xxhash64("set_id"), pages).alias("slice"))
+        .agg(F.collect_list(F.struct("set_id", "n", "tokens", "root")).alias("members"))
+        .select("class", "members")
     )
-    asking = met.join(sets.select(F.col("set_id").alias("q"), F.col("n").alias("q_n"), F.col("tokens").alias("q_tokens")), "q")
-    return asking.join(cells_of, "root").select("q", "q_n", "q_tokens", "total", "members").mapInArrow(slices, "a long, b long")
+    return blocks.join(slices, "class").select("asking", "members").mapInArrow(compare, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, turns: int = 3) -> DataFrame:

@@ -48,43 +48,31 @@ def n_words(text: Column) -> Column:
 def components(links: DataFrame) -> DataFrame:
     """Connected components of undirected ``links`` (a, b): rows (node, root).
 
-    Every node points at the neighbour of least rank, where ranks are hashes that change
-    with the round; pointers are followed twice and the links between what remains go
-    into the next round. A constant share of the nodes goes in each round, long chains
-    included. Nodes without a link to another node have no row.
+    In a round every node takes the node of least rank within two links, where ranks are
+    hashes that change with the round. Nodes of one label become one, and the links
+    between labels go into the next round. Stars vanish in one round, chains shrink by a
+    constant share. Nodes without a link to another node have no row.
     """
     edges = cut(links.where("a <> b").select("a", "b").distinct())
-    maps: list[DataFrame] = []
+    found: DataFrame | None = None
     turn = 0
     while not edges.isEmpty():
-        rank = lambda c, turn=turn: F.xxhash64(F.lit(turn), c)
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = (
-            both.groupBy("a")
-            .agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("to"))).alias("best"))
-            .select(
-                F.col("a").alias("node"),
-                F.when(F.col("best.r") < rank(F.col("a")), F.col("best.to")).otherwise(F.col("a")).alias("up"),
-            )
-        )
-        point = cut(point)
-        for _ in range(2):
-            above = point.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            point = point.join(above, "up").select("node", F.col("top").alias("up"))
-        point = cut(point)
-        maps.append(point)
+        both = edges.union(edges.select("b", "a"))
+        ranked = lambda c, turn=turn: F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("r"), F.col(c).alias("id"))
+        near = both.groupBy("a").agg(F.min(ranked("b")).alias("other")).select("a", F.least("other", ranked("a")).alias("best"))
+        far = both.join(near.select(F.col("a").alias("b"), "best"), "b").groupBy("a").agg(F.min("best").alias("best"))
+        label = cut(far.select(F.col("a").alias("node"), F.col("best.id").alias("up")))
+        if found is None:
+            found = label.select("node", F.col("up").alias("root"))
+        else:
+            up = label.select(F.col("node").alias("root"), "up")
+            found = found.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
         edges = cut(
-            edges.join(point.select(F.col("node").alias("a"), F.col("up").alias("x")), "a")
-            .join(point.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
+            edges.join(label.select(F.col("node").alias("a"), F.col("up").alias("x")), "a")
+            .join(label.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
             .where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
         turn += 1
-    if not maps:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = maps[0].select("node", F.col("up").alias("root"))
-    for point in maps[1:]:
-        up = point.select(F.col("node").alias("root"), "up")
-        found = found.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    return found
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found

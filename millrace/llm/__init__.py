@@ -1,0 +1 @@
+"""Operators for building training data at scale; nothing else in the package uses them."""

@@ -341,3 +341,15 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 75, turns: in
 
 def op9(spark, sf_dir) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near copies, with the columns it came with.
+
+    Rows that agree in doc_id and text are one document. Texts without words are linked
+    with nothing and stay.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"))
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").select(*docs.columns)

@@ -72,7 +72,8 @@ def _open(tag: str, attrs: str, above: Element | None, number: int) -> Element:
     dropped = (above is not None and above.dropped) or tag in _DROPPED or (tag == "header" and not inside)
     if not dropped and tag not in ("html", "body", "article", "main"):
         dropped = any(_WORDS.search(v) for v in names.values())
-    return Element(tag, f"{above.path}>{here}" if above else here, dropped, number, above)
+    path = "body" if tag in ("html", "body") else f"{above.path if above else 'body'}>{here}"
+    return Element(tag, path, dropped, number, above)
 
 
 def blocks(page: str) -> list[Block]:

@@ -165,12 +165,12 @@ def _under(block: Block, hit) -> bool:
 
 
 def main_text(page: str, path: str | None) -> str:
-    """The text under ``path``, else under the page's own best container."""
+    """The text under ``path``, else under the page's own best container, else of the whole page."""
     found = blocks(page)
     chosen = [b for b in found if path and _under(b, lambda e: e.path == path)]
     if not chosen and (own := best_container(found)):
         chosen = [b for b in found if _under(b, lambda e: e.number == own.number)]
-    return "\n\n".join(b.text for b in chosen)
+    return "\n\n".join(b.text for b in chosen or found)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -9,41 +9,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_TRAILING_INDEX = re.compile(r"^(?P<path>.*)\[(?P<index>\d+)\]$")
+_SEGMENT = re.compile(r"(?P<name>[^.\[\]]+)|\[(?P<at>\d+)\]")
 
 
-def split_index(path: str) -> tuple[str, int | None]:
-    """``a.b[2]`` -> (``a.b``, 2); a path without an index gives None."""
-    found = _TRAILING_INDEX.match(path)
-    return (found["path"], int(found["index"])) if found else (path, None)
+def steps(path: str) -> list[str | int]:
+    """``a[1].b`` as names and positions: ``["a", 1, "b"]``."""
+    return [int(m["at"]) if m["at"] else m["name"] for m in _SEGMENT.finditer(path)]
 
 
-def output_alias(path: str) -> str:
-    """The column name a path yields: its last segment without an index."""
-    return split_index(path)[0].rpartition(".")[2]
+def column_and_position(path: str) -> tuple[str, int | None]:
+    """``a.b[2]`` as ``("a.b", 2)``; without a position at the end, the path and None."""
+    name, bracket, rest = path.rpartition("[")
+    return (name, int(rest[:-1])) if bracket and rest.endswith("]") and rest[:-1].isdigit() else (path, None)
 
 
-def _pick(items: list, index: int) -> Any:
-    return items[index] if index < len(items) else None
+def output_alias(path: str) -> str:
+    """The column name a path yields: the last name on it."""
+    names = [s for s in _SEGMENT.findall(path) if s[0]]
+    return names[-1][0] if names else path
 
 
 def nested_value(data: Any, path: str) -> Any:
-    """Follow dict keys, list positions and list projections; None when absent."""
-    if not path:
-        return data
-    path, index = split_index(path)
-    for part in path.split("."):
-        if isinstance(data, list):
-            if part.isdigit():
-                data = _pick(data, int(part))
-            else:
-                data = [row[part] for row in data if isinstance(row, dict) and part in row]
-        elif isinstance(data, dict) and part in data:
-            data = data[part]
-        else:
-            return None
-    if index is not None and isinstance(data, list):
-        return _pick(data, index)
+    """The value at the end of a path.
+
+    On a list, a number is a position and a name is asked of each of its records. A
+    position in brackets leaves anything but a list as it is.
+    """
+    for step in steps(path):
+        match data:
+            case list() if isinstance(step, int) or step.isdigit():
+                data = data[int(step)] if int(step) < len(data) else None
+            case list():
+                data = [record[step] for record in data if isinstance(record, dict) and step in record]
+            case _ if isinstance(step, int):
+                continue
+            case dict():
+                data = data.get(step)
+            case _:
+                return None
     return data
 
 
@@ -53,16 +56,14 @@ def nested_column(df: DataFrame, path: str) -> Column:
     Positions outside an array and unknown map keys give NULL. An unknown struct field
     gives NULL too, as it does for a value.
     """
-    path, index = split_index(path)
-    head, *rest = path.split(".")
+    head, *rest = steps(path) or [""]
     by_name = {field.name: field.dataType for field in df.schema.fields}
-    if head not in by_name:
+    if str(head) not in by_name:
         return F.lit(None)
-    column, dtype = F.col(f"`{head}`"), by_name[head]
-    for part in rest:
-        column, dtype = _step(column, dtype, part)
-    if index is not None and isinstance(dtype, T.ArrayType):
-        return F.get(column, F.lit(index))
+    column, dtype = F.col(f"`{head}`"), by_name[str(head)]
+    for step in rest:
+        if isinstance(step, str) or isinstance(dtype, T.ArrayType):
+            column, dtype = _step(column, dtype, str(step))
     return column
 
 
@@ -89,4 +90,12 @@ def _step(column: Column, dtype: T.DataType, part: str) -> tuple[Column, T.DataT
 
 def json_path(column: Column | str, path: str) -> Column:
     """First match of a JSONPath in JSON text; no match, JSON null or a bad path give NULL."""
-    return F.get_json_object(F.col(column) if isinstance(column, str) else column, path)
+    column = F.col(column) if isinstance(column, str) else column
+    first, *rest = path.split("[*]")
+    if not rest:
+        return F.get_json_object(column, path)
+    found = F.try_variant_get(F.try_parse_json(column), first, "array<variant>")
+    for part in rest[:-1]:
+        found = F.flatten(F.transform(found, lambda x, part=part: F.coalesce(F.try_variant_get(x, f"${part}", "array<variant>"), F.array().cast("array<variant>"))))
+    texts = F.transform(found, lambda x: F.try_variant_get(x, f"${rest[-1]}", "string"))
+    return F.get(F.filter(texts, lambda x: x.isNotNull()), F.lit(0))

@@ -19,9 +19,6 @@ from millrace.registry import OPERATORS
 
 log = logging.getLogger(__name__)
 
-# Lists longer than this join as a table instead of growing the filter expression.
-INLINE_LIST = 200
-
 _COMPARE = {
     ">": operator.gt,
     "<": operator.lt,
@@ -81,8 +78,9 @@ def optional_search(
     """Restrict only by the arguments that are set.
 
     ``equals`` maps a (nested) column path to a value; an empty value restricts nothing.
-    ``ids`` pairs a column with a list, or with a one-column table that may be any size:
-    the planner broadcasts it only when its statistics allow.
+    ``ids`` pairs a column with a list or a one-column table, of any size: both join as a
+    table. NULL and empty ids are left out; without any other id nothing is restricted. Ids
+    of another type than the column meet it as text.
     """
     for path, value in (equals or {}).items():
         if value is not None and value != "":
@@ -90,14 +88,18 @@ def optional_search(
     if ids is None:
         return df
     column, wanted = ids
-    if isinstance(wanted, DataFrame):
-        return df.join(wanted.toDF("__id"), F.col(f"`{column}`") == F.col("__id"), "left_semi")
-    wanted = [w for w in wanted if w is not None and w != ""]
-    if not wanted:
+    if not isinstance(wanted, DataFrame):
+        wanted = [w for w in wanted if w is not None and w != ""]
+        if not wanted:
+            return df
+        if len({type(w) for w in wanted}) > 1:
+            wanted = [str(w) for w in wanted]
+        wanted = df.sparkSession.createDataFrame([(w,) for w in wanted], ["__id"])
+    wanted = wanted.toDF("__id").filter(F.col("__id").isNotNull() & (F.col("__id").cast("string") != ""))
+    if wanted.isEmpty():
         return df
-    if len(wanted) <= INLINE_LIST:
-        return df.filter(F.col(f"`{column}`").isin(wanted))
-    table = df.sparkSession.createDataFrame(
-        [(w,) for w in wanted], T.StructType([T.StructField("__id", df.schema[column].dataType)])
-    )
-    return df.join(table, F.col(f"`{column}`") == F.col("__id"), "left_semi")
+    kind, own = wanted.schema["__id"].dataType, df.schema[column].dataType
+    left, right = F.col(f"`{column}`"), F.col("__id")
+    if kind != own and not (isinstance(kind, T.NumericType) and isinstance(own, T.NumericType)):
+        left, right = left.cast("string"), right.cast("string")
+    return df.join(wanted, left == right, "left_semi")

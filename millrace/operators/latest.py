@@ -15,12 +15,24 @@ from millrace.registry import OPERATORS
 _ORDER_ITEM = re.compile(
     r"^\s*(?P<expr>.+?)(?:\s+(?P<way>asc|desc))?(?:\s+nulls\s+(?P<nulls>first|last))?\s*$", re.IGNORECASE
 )
-_COMMA_OUTSIDE_PARENS = re.compile(r",(?![^()]*\))")
+_ORDER_TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|.", re.DOTALL)
+
+
+def _items(order_by: str) -> list[str]:
+    """Cut at commas outside parentheses and quotes."""
+    items, depth = [""], 0
+    for token in _ORDER_TOKEN.findall(order_by):
+        depth += (token in "([") - (token in ")]")
+        if token == "," and depth == 0:
+            items.append("")
+        else:
+            items[-1] += token
+    return items
 
 
 def order_columns(order_by: str | Sequence[str | Column]) -> list[Column]:
     """Sort columns from ``"a DESC, b"``. NULLs come last either way unless said otherwise."""
-    items = _COMMA_OUTSIDE_PARENS.split(order_by) if isinstance(order_by, str) else order_by
+    items = _items(order_by) if isinstance(order_by, str) else order_by
     columns = []
     for item in items:
         if isinstance(item, Column):

@@ -153,8 +153,8 @@ def with_measures(
     """
     keys = list(keys)
     rows = _even_stretches(df, keys, order) if bucket is None else df.withColumn(_B, bucket)
-    # A single order column stays as it is: aggregates over plain values need no sort.
-    position = F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(o) for o in order])
+    # A struct also for one column: rows without an order value count as the first.
+    position = F.struct(*[F.col(o) for o in order])
     rows = rows.withColumn(_O, position)
 
     by_stretch = rows.groupBy(*keys, _B).agg(*[m.report.alias(f"__{out}") for out, m in measures.items()])

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from millrace.context import RunContext
 from millrace.errors import ConditionError, PipelineError, SpecError
-from millrace.functions.paths import nested_column, output_alias, split_index
+from millrace.functions.paths import nested_column, output_alias, column_and_position
 from millrace.plans.positions import value_at
 from millrace.plans.spec import END, NEXT, Input, Rule, Spec, Step, check_spec, parse_spec
 from millrace.registry import OPERATORS, SOURCES
@@ -74,11 +74,23 @@ def input_table(spark: SparkSession, rows: list[dict], columns: list[dict] | Non
         if value is None:
             return None
         kind = c.get("type", "string")
-        return int(value) if kind == "integer" else bool(value) if kind == "boolean" else str(value)
+        return int(value) if kind == "integer" else truth(value) if kind == "boolean" else str(value)
 
     return spark.createDataFrame([tuple(cell(r, c) for c in columns) for r in rows], schema)
 
 
+_TRUTH = {"true": True, "1": True, "yes": True, "false": False, "0": False, "no": False}
+
+
+def truth(value: Any) -> bool:
+    """A boolean from a boolean, a number or a word for one."""
+    if isinstance(value, str):
+        if value.strip().lower() not in _TRUTH:
+            raise PipelineError(f"'{value}' is no boolean")
+        return _TRUTH[value.strip().lower()]
+    return bool(value)
+
+
 def holds(ctx: RunContext, condition: str | None) -> bool:
     """Evaluate a routing condition. No condition holds; NULL and no row do not."""
     if not condition:
@@ -106,7 +118,7 @@ def resolve_scalar(ctx: RunContext, path: str, default: Any = None, order_by: li
     if table not in ctx.tables:
         return F.lit(default)
     rest = rest.removeprefix("output.")
-    column, index = split_index(rest)
+    column, index = column_and_position(rest)
     df = ctx.table(table)
     if column not in df.columns:
         return F.lit(default)
@@ -270,7 +282,7 @@ def _run_step(step: Step, run: PipelineRun, audit: bool) -> bool:
 def _whole_column(ctx: RunContext, path: str) -> tuple[str, str] | None:
     """(table, column) when the path names a whole column of a step table."""
     table, _, rest = path.partition(".")
-    column, index = split_index(rest.removeprefix("output."))
+    column, index = column_and_position(rest.removeprefix("output."))
     known = table in ctx.tables and column in ctx.tables[table].columns
     return (table, column) if known and index is None else None
 

@@ -24,6 +24,12 @@ def _is_object() -> Column:
     return F.schema_of_variant(PAYLOAD).startswith("OBJECT")
 
 
+def member(name: str) -> str:
+    """The path to a member whose name may hold dots, brackets or one kind of quote."""
+    quote = '"' if "'" in name else "'"
+    return f"$[{quote}{name}{quote}]"
+
+
 def json_records(df: DataFrame, columns: Mapping[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """One row per record: a list's elements, the first listed key holding a list, or the object.
 
@@ -36,7 +42,7 @@ def json_records(df: DataFrame, columns: Mapping[str, str] | None = None, keep:
     rows = df.select(*keep, F.posexplode(records).alias("row_no", "record"))
     if columns is None:
         return rows
-    fields = [F.try_variant_get("record", f"$.{name}", kind).alias(name) for name, kind in columns.items()]
+    fields = [F.try_variant_get("record", member(name), kind).alias(name) for name, kind in columns.items()]
     return rows.select(*keep, "row_no", *fields)
 
 

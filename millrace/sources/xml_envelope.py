@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the format.
@@ -22,9 +22,6 @@ DEFAULT_DATASET = "ds_out"
 COLUMN_TYPE = "STRING"
 COLUMN_SIZE = "256"
 
-# Requests too large for one envelope are broadcast only up to this many.
-BROADCAST_ROWS = 10_000
-
 _ITEM = "struct<_id: string, _VALUE: string>"
 _PARAMETERS = f"struct<Parameter: array<{_ITEM}>>"
 _DATASETS = (
@@ -219,37 +216,20 @@ def build_xml_envelope(
     order: Sequence[str],
     parameters: Mapping[str, str | Column] | None = None,
     namespace: str | None = None,
-    rows_per_envelope: int = 10_000,
+    rows_per_envelope: int | None = None,
 ) -> DataFrame:
     """One envelope per request: ``keys``, ``part`` and ``body``.
 
-    Rows are listed by ``order``. A request has one envelope, part 0, unless it has more
-    than ``rows_per_envelope`` rows: it then gets as many parts as it needs, each row
-    assigned by a hash, so no task ever assembles one giant document. Which
-    requests are that large is counted first, with the counts combined in each map task.
+    Rows are listed by ``order``. A request has one envelope, part 0. Only if
+    ``rows_per_envelope`` is given is it cut into parts of so many rows each, in order.
     ``parameters`` are constants or expressions over ``keys``.
     """
     keys = list(keys)
-    parts = F.ceil(F.col("__n") / rows_per_envelope).alias("__parts")
-    large = (
-        df.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .filter(F.col("__n") > rows_per_envelope)
-        .select(*[f"__k{i}" for i in range(len(keys))], parts)
-    )
-    # A cheap look at the keys first: usually no request is large, and nothing is joined.
-    n_large = large.limit(BROADCAST_ROWS + 1).count()
-    if n_large == 0:
+    if rows_per_envelope is None:
         placed = df.withColumn("part", F.lit(0))
     else:
-        same = reduce(
-            lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.lit(True)
-        )
-        large = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
-        # The input partition keeps copies of one row from all landing in one part.
-        digest = F.xxhash64(*order, *columns, F.spark_partition_id())
-        spread = F.pmod(digest, F.coalesce("__parts", F.lit(1)))
-        placed = df.join(large, same, "left").withColumn("part", spread.cast("int"))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+        placed = df.withColumn("part", F.floor(place / rows_per_envelope).cast("int"))
 
     listed = placed.groupBy(*keys, "part").agg(
         F.sort_array(F.collect_list(F.struct(*order, F.struct(*columns).alias("__row")))).alias("__rows")

@@ -105,9 +105,16 @@ def test_build_is_readable_by_any_xml_reader(spark):
     assert [tuple(r)[1:] for r in back.collect()] == [("Electronics", "10"), ("A & <B>", "")]
 
 
-@pytest.mark.parametrize("broadcast_rows", [10_000, 0])
-def test_a_large_request_is_cut_into_parts(spark, monkeypatch, broadcast_rows):
-    monkeypatch.setattr(xe, "BROADCAST_ROWS", broadcast_rows)
+def test_a_request_is_one_document_in_order_unless_told_otherwise(spark):
+    rows = spark.range(0, 12000, 1, 4).selectExpr("'k' AS k", "id")
+    whole = xe.envelope_rows(xe.parse_xml_envelope(xe.build_xml_envelope(rows, ["k"], "d", ["id"], ["id"])), "d", ["id"]).orderBy("row_no")
+    assert [int(r.id) for r in whole.collect()] == list(range(12000))
+    parts = xe.build_xml_envelope(rows, ["k"], "d", ["id"], ["id"], rows_per_envelope=5000)
+    back = xe.envelope_rows(xe.parse_xml_envelope(parts), "d", ["id"], keep=["part"]).orderBy("part", "row_no")
+    assert [(r.part, int(r.id)) for r in back.collect()] == [(n // 5000, n) for n in range(12000)]
+
+
+def test_a_large_request_is_cut_into_parts(spark):
     rows = spark.range(0, 3000, 1, 4).selectExpr("CASE WHEN id < 1000 THEN 'hot' ELSE concat('k', id % 300) END AS k", "id")
     built = xe.build_xml_envelope(rows, ["k"], "d", ["id"], ["id"], rows_per_envelope=100).cache()
     per_key = {r.k: r["count"] for r in built.groupBy("k").count().collect()}

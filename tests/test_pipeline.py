@@ -17,7 +17,7 @@ from millrace import (
     parse_spec,
     run_pipeline,
 )
-from millrace.functions.paths import nested_column, nested_value, output_alias, split_index
+from millrace.functions.paths import nested_column, nested_value, output_alias, column_and_position
 from millrace.plans.pipeline import holds, input_table, present, resolve_scalar, union_by_name
 
 
@@ -592,7 +592,7 @@ def test_nested_column(spark):
 
 
 def test_path_parts():
-    assert split_index("a.b[3]") == ("a.b", 3) and split_index("a[1].b") == ("a[1].b", None)
+    assert column_and_position("a.b[3]") == ("a.b", 3) and column_and_position("a[1].b") == ("a[1].b", None)
     assert output_alias("ds.output.col[2]") == "col"
 
 

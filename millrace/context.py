@@ -16,7 +16,10 @@ from millrace.functions.paths import nested_value
 _PLACEHOLDER = re.compile(r"\{\{\s*(.*?)\s*\}\}")
 _SCHEMA_PREFIX = re.compile(r"\{\{\s*schema\s*\}\}\.(\w+)")
 _TABLE_CALL = re.compile(r"""tables\(\s*['"]([^'"]+)['"]\s*\)""")
-_SQL_TEXT_LITERAL = re.compile(r"('(?:[^']|'')*')")
+# Quoted texts, quoted names and comments: what is inside them is not code.
+_SQL_QUOTED = re.compile(
+    r"""('(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`[^`]*`|--[^\n]*|/\*.*?\*/)""", re.DOTALL
+)
 
 
 class RunContext:
@@ -132,23 +135,26 @@ class RunContext:
             return _PLACEHOLDER.sub(lambda m: identifier(m.group(1)) or parameter(m.group(1)), part)
 
         def in_literal(part: str) -> str:
-            if not _PLACEHOLDER.search(part):
+            quote = part[0]
+            if not _PLACEHOLDER.search(part) or quote in "-/":
                 return part
+            if quote == "`":
+                raise PipelineError(f"a value cannot be a name: {part}")
             pieces, last = [], 0
             body = part[1:-1]
             for match in _PLACEHOLDER.finditer(body):
                 if match.start() > last:
-                    pieces.append("'" + body[last : match.start()] + "'")
+                    pieces.append(quote + body[last : match.start()] + quote)
                 pieces.append(f"CAST({parameter(match.group(1))} AS STRING)")
                 last = match.end()
             if last < len(body):
-                pieces.append("'" + body[last:] + "'")
+                pieces.append(quote + body[last:] + quote)
             return pieces[0] if len(pieces) == 1 else "concat(" + ", ".join(pieces) + ")"
 
         # A placeholder such as {{ tables('x') }} holds quotes of its own, so identifiers
         # are replaced before the text is cut at quoted literals.
         text = _PLACEHOLDER.sub(lambda m: identifier(m.group(1)) or m.group(0), text)
-        parts = _SQL_TEXT_LITERAL.split(text)
+        parts = _SQL_QUOTED.split(text)
         return "".join(in_literal(p) if i % 2 else in_code(p) for i, p in enumerate(parts))
 
     def _known_view(self, name: str) -> str:

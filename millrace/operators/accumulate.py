@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from millrace.context import RunContext
+from millrace.errors import PipelineError
 from millrace.plans.history import History
 from millrace.registry import OPERATORS
-from millrace.session import shared_folder
 
 
 @OPERATORS.register("accumulate_data")
 def accumulate_data(df: DataFrame, params: dict, ctx: RunContext) -> DataFrame:
     """Merge ``df`` into the named history and return the whole history.
 
-    The history outlives the run, so this operator writes; all others stay lazy.
+    The history outlives the run, so this operator writes; all others stay lazy. The run
+    must name a lasting ``history_root``.
     """
-    root = ctx.history_root or f"{shared_folder(ctx.spark)}/history"
+    root = ctx.history_root
+    if not root:
+        raise PipelineError("accumulate_data needs a history_root")
     keys = params.get("dedup_keys", ["product_id"])
     history = History(
         ctx.spark,

@@ -4,6 +4,7 @@ Layout under the table's folder::
 
     data/v=<version>/b=<bucket>/*.parquet     rows, by hash bucket of the keys
     commits/<version>[.<batch id>]/           which data version holds each bucket
+    applied/<batch id>/                       batches whose commits were pruned
 
 A merge reads and rewrites only the buckets its batch touches. Data files are written
 first and the commit folder last; a reader trusts only commits with ``_SUCCESS``, so a
@@ -141,6 +142,10 @@ class History:
             if done:
                 return done.version
         state = self.state()
+        if batch_id is not None and state is not None:
+            fs, applied = self._hadoop(f"{self.path}/applied/{batch_id}")
+            if fs.exists(applied):
+                return state.version
         version = 1 if state is None else state.version + 1
         buckets = self._bucket_count(state)
         same_layout = state is not None and (state.buckets, state.keys) == (buckets, self.keys)
@@ -178,6 +183,9 @@ class History:
         old, kept = commits[:-keep], commits[-keep:]
         needed = {v for c in kept for v in self.state(c.version).data_versions.values()}
         for commit in old:
+            if commit.batch_id is not None:
+                fs, applied = self._hadoop(f"{self.path}/applied/{commit.batch_id}")
+                fs.mkdirs(applied)
             for folder in [commit.path] + ([f"{self.path}/data/v={commit.version}"] * (commit.version not in needed)):
                 fs, path = self._hadoop(folder)
                 fs.delete(path, True)

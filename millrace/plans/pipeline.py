@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import re
 from collections.abc import Callable
@@ -249,11 +250,29 @@ def _with_defaults(declared: list[Input], given: dict[str, Any]) -> dict[str, An
                 values[item.name] = item.default
             elif item.required:
                 missing.append(item.name)
+        if values.get(item.name) is not None:
+            values[item.name] = _typed(item, values[item.name])
     if missing:
         raise SpecError([f"input '{name}' is required" for name in missing])
     return values
 
 
+def _typed(item: Input, value: Any) -> Any:
+    """An input in its declared type; a list is typed item by item."""
+    if isinstance(value, list) and item.type in ("integer", "boolean"):
+        return [_typed(item, v) for v in value]
+    try:
+        if item.type == "integer":
+            return int(value)
+        if item.type == "boolean":
+            return truth(value)
+        if item.type == "json" and isinstance(value, str):
+            return json.loads(value)
+    except ValueError as error:
+        raise SpecError([f"input '{item.name}' is no {item.type}: {value!r}"]) from error
+    return value
+
+
 def _run_step(step: Step, run: PipelineRun, audit: bool) -> bool:
     ctx = run.context
     paused = False

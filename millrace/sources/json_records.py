@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The keys under which an object may hold its list of records.
 RECORD_KEYS = ("data", "items", "results", "records")
@@ -46,6 +48,20 @@ def json_records(df: DataFrame, columns: Mapping[str, str] | None = None, keep:
     return rows.select(*keep, "row_no", *fields)
 
 
+def discover_fields(df: DataFrame) -> dict[str, str] | None:
+    """Fields of all records and their types, by name; one aggregate finds them.
+
+    Fields of several types, objects and lists are text. None when no record is an object.
+    """
+    shape = json_records(df).agg(F.schema_of_variant_agg("record")).first()[0]
+    struct = re.sub(r"`[^`]*`|\bOBJECT<", lambda m: "STRUCT<" if m[0] == "OBJECT<" else m[0], shape or "")
+    if not struct.startswith("STRUCT<"):
+        return None
+    plain = (T.LongType, T.BooleanType, T.DoubleType, T.DecimalType)
+    fields = T.DataType.fromDDL(struct).fields
+    return {f.name: f.dataType.simpleString() if isinstance(f.dataType, plain) else "string" for f in fields} or None
+
+
 def build_json_request(
     df: DataFrame,
     parameters: Mapping[str, Column],

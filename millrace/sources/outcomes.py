@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.errors import BusinessFailure, PipelineError, TransportFailure
-from millrace.sources.json_records import PAYLOAD
+from millrace.sources.json_records import PAYLOAD, member
 from millrace.sources.xml_envelope import ENVELOPE, parameter
 
 # Status codes that count as delivered, and the default fields and texts.
@@ -21,6 +21,7 @@ JSON_DELIVERED = (200, 201)
 XML_CODE_FIELD, XML_MESSAGE_FIELD, XML_SUCCESS = "ErrorCode", "ErrorMsg", 0
 JSON_CODE_FIELD, JSON_MESSAGE_FIELD, JSON_SUCCESS = "code", "message", 200
 NO_MESSAGE = "Unknown error"
+NO_RESPONSE = "no response"
 UNREADABLE_CODE = -1
 STRATEGIES = ("pause_for_manual", "skip_row", "continue", "fail")
 
@@ -66,18 +67,18 @@ def tag_json(
     A code counts only if the body is an object that has the field, and compares by type:
     text ``"200"`` and JSON null differ from the number 200, while 200.0 equals it.
     """
-    code = F.try_variant_get(PAYLOAD, f"$.{code_field}", "variant")
+    code = F.try_variant_get(PAYLOAD, member(code_field), "variant")
     kind = F.schema_of_variant(code)
-    text = F.try_variant_get(PAYLOAD, f"$.{code_field}", "string")
+    text = F.try_variant_get(PAYLOAD, member(code_field), "string")
     if isinstance(success_value, bool):
         equal = (kind == "BOOLEAN") & (text == str(success_value).lower())
     elif isinstance(success_value, (int, float)):
-        number = F.try_variant_get(PAYLOAD, f"$.{code_field}", "double")
+        number = F.try_variant_get(PAYLOAD, member(code_field), "double")
         equal = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (number == F.lit(float(success_value)))
     else:
         equal = (kind == "STRING") & (text == F.lit(success_value))
     failed = kind.isNotNull() & ~F.coalesce(equal, F.lit(False)) if check else F.lit(False)
-    message = F.try_variant_get(PAYLOAD, f"$.{msg_field}", "string")
+    message = F.try_variant_get(PAYLOAD, member(msg_field), "string")
     return _tag(
         df,
         F.col("status_code").isin(*JSON_DELIVERED),

@@ -33,7 +33,7 @@ def scan_spreadsheets(workbooks: DataFrame, columns: Sequence[str] | None = None
     """Rows of the first sheet of every workbook in ``(path, content)``.
 
     Headers are cleaned per workbook, text is stripped and rows without any value are
-    left out. Cells are text, as ``cells map<string,string>`` or as the named columns.
+    left out. Columns right of the last header are named by their place. Cells are text, as ``cells map<string,string>`` or as the named columns.
     Workbooks are read in parallel, each streamed row by row; a sheet cannot exceed the
     format's 1,048,576 rows.
     """
@@ -54,10 +54,12 @@ def _sheet_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             header = next(rows, None)
             if header is None:
                 continue
-            width = max(header, default=-1) + 1
-            names = clean_headers([header.get(i) or f"Unnamed: {i}" for i in range(width)])
+            width, names = -1, []
             batch: list[tuple] = []
             for number, row in enumerate(rows):
+                if max(row, default=-1) >= width:
+                    width = max([*header, *row, -1]) + 1
+                    names = clean_headers([header.get(i) or f"Unnamed: {i}" for i in range(width)])
                 texts = [row.get(i) for i in range(width)]
                 if any(t is not None for t in texts):
                     batch.append((path, number, names, texts))

@@ -75,13 +75,37 @@ def _responses(step: Step, request: Request, ctx: RunContext) -> tuple[DataFrame
     return table, told_apart
 
 
-def _enrich(step: Step, request: Request, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Repeat each response's rows for every driving row that asks for it."""
+def _asked_for(step: Step, request: Request, table: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The responses to the driving rows, and the request values without a response.
+
+    Responses nobody asked for leave before they are parsed. A NULL value has no response.
+    """
+    if request.driving is None:
+        return table, None
+    shared = _shared(step, request, keys)
+    asked = request.driving.select(*[request.row_columns[n].alias(_ROW + n) for n in shared]).distinct()
+    # A request carries text, so values of unlike types meet as text.
+    for n in shared:
+        if asked.schema[_ROW + n].dataType != table.schema[n].dataType:
+            asked = asked.withColumn(_ROW + n, F.col(_ROW + n).cast("string"))
+            table = table.withColumn(n, F.col(n).cast("string"))
+    match = reduce(lambda a, b: a & b, [F.col(_ROW + n) == F.col(n) for n in shared])
+    unanswered = asked.join(table.select(*shared), match, "left_anti")
+    return table.join(asked, match, "left_semi"), unanswered.select(*[F.col(_ROW + n).alias(n) for n in shared])
+
+
+def _shared(step: Step, request: Request, keys: list[str]) -> list[str]:
     shared = [name for name in request.row_columns if name in keys]
     if not shared:
         raise PipelineError(
             f"step {step.step_id}: the responses have no column among {sorted(request.row_columns)}"
         )
+    return shared
+
+
+def _enrich(step: Step, request: Request, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Repeat each response's rows for every driving row that asks for it."""
+    shared = _shared(step, request, keys)
     asked = request.driving.select(*[request.row_columns[n].alias(_ROW + n) for n in shared])
     # A request carries text, so values of unlike types meet as text.
     for n in shared:
@@ -92,8 +116,14 @@ def _enrich(step: Step, request: Request, rows: DataFrame, keys: list[str]) -> D
     return asked.join(rows, match).drop(*[_ROW + n for n in shared])
 
 
-def _split(step: Step, tagged: DataFrame, strategy: str) -> outcomes.Split:
-    """Errors are looked for before rows are read; a materialized step parses only once."""
+def _split(step: Step, tagged: DataFrame, unanswered: DataFrame | None, strategy: str) -> outcomes.Split:
+    """Errors are looked for before rows are read; a materialized step parses only once.
+
+    A request without a response counts as not delivered.
+    """
+    if unanswered is not None:
+        tags = {"outcome": F.lit("transport"), "err_code": F.lit(None).cast("string"), "err_msg": F.lit(outcomes.NO_RESPONSE)}
+        tagged = tagged.unionByName(unanswered.withColumns(tags), allowMissingColumns=True)
     return outcomes.split_errors(written_table(tagged) if step.materialize else tagged, strategy)
 
 
@@ -110,9 +140,10 @@ def _finish(step: Step, request: Request, split: outcomes.Split, rows_of, keys:
 @SOURCES.register("xml")
 def xml_source(step: Step, request: Request, ctx: RunContext) -> Fetched:
     table, keys = _responses(step, request, ctx)
+    table, unanswered = _asked_for(step, request, table, keys)
     parsed = xml_envelope.parse_xml_envelope(table, wrapper=step.response.wrapper)
     handling, strategy = _handling(step)
-    split = _split(step, outcomes.tag_xml(parsed, **handling), strategy)
+    split = _split(step, outcomes.tag_xml(parsed, **handling), unanswered, strategy)
 
     def rows_of(ok: DataFrame, keep: list[str]) -> DataFrame:
         if step.response.join:
@@ -129,14 +160,17 @@ def xml_source(step: Step, request: Request, ctx: RunContext) -> Fetched:
 @SOURCES.register("json", "rest")
 def json_source(step: Step, request: Request, ctx: RunContext) -> Fetched:
     table, keys = _responses(step, request, ctx)
+    table, unanswered = _asked_for(step, request, table, keys)
     parsed = json_records.parse_json(table)
     handling, strategy = _handling(step)
     tagged = outcomes.tag_json(parsed, check=step.error_handling is not None, **handling)
-    split = _split(step, tagged, strategy)
+    split = _split(step, tagged, unanswered, strategy)
 
     def rows_of(ok: DataFrame, keep: list[str]) -> DataFrame:
         columns = step.response.columns
-        if isinstance(columns, (list, tuple)):
+        if columns is None:
+            columns = json_records.discover_fields(ok)
+        elif isinstance(columns, (list, tuple)):
             columns = {name: "string" for name in columns}
         return json_records.json_records(ok, columns, keep)
 

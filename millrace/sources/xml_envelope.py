@@ -6,6 +6,8 @@ Shape::
     Root / Dataset[@id] / ColumnInfo / Column[@id,@type,@size]
     Root / Dataset[@id] / Rows / Row / Col[@id]
 
+``Parameters``, ``ColumnInfo`` and ``Rows`` may be repeated; their contents are one list.
+
 Every value is text. An empty element is ``""``; an absent ``Col`` is NULL.
 """
 
@@ -23,11 +25,11 @@ COLUMN_TYPE = "STRING"
 COLUMN_SIZE = "256"
 
 _ITEM = "struct<_id: string, _VALUE: string>"
-_PARAMETERS = f"struct<Parameter: array<{_ITEM}>>"
+_PARAMETERS = f"array<struct<Parameter: array<{_ITEM}>>>"
 _DATASETS = (
     "array<struct<_id: string,"
-    " ColumnInfo: struct<Column: array<struct<_id: string>>>,"
-    f" Rows: struct<Row: array<struct<Col: array<{_ITEM}>>>>>>"
+    " ColumnInfo: array<struct<Column: array<struct<_id: string>>>>,"
+    f" Rows: array<struct<Row: array<struct<Col: array<{_ITEM}>>>>>>>"
 )
 _BAD = "_corrupt"
 ENVELOPE = "envelope"
@@ -36,8 +38,9 @@ ENVELOPE = "envelope"
 def parse_xml_envelope(df: DataFrame, body: str = "body", wrapper: Sequence[str] = ()) -> DataFrame:
     """Add column ``envelope``: ``struct<readable, Parameters, Dataset>``.
 
-    A malformed, empty or NULL body is not ``readable``. ``wrapper`` names elements
-    between ``Root`` and the parameters and datasets, outermost first.
+    A malformed, empty or NULL body is not ``readable``, nor is one whose parameters and
+    datasets are all elsewhere. ``wrapper`` names elements between ``Root`` and the
+    parameters and datasets, outermost first.
     """
     content = f"Parameters: {_PARAMETERS}, Dataset: {_DATASETS}"
     for element in reversed(wrapper):
@@ -58,13 +61,28 @@ def parse_xml_envelope(df: DataFrame, body: str = "body", wrapper: Sequence[str]
     inside = F.col("__xml")
     for element in wrapper:
         inside = inside.getField(element)
-    readable = F.col("__xml").isNotNull() & F.col("__xml").getField(_BAD).isNull()
+    parameters, datasets = inside.getField("Parameters"), inside.getField("Dataset")
+    elsewhere = parameters.isNull() & datasets.isNull() & F.col(body).rlike(r"<(\w+:)?(Dataset|Parameter)\b")
+    readable = F.col("__xml").isNotNull() & F.col("__xml").getField(_BAD).isNull() & ~elsewhere
     envelope = F.struct(
         readable.alias("readable"),
-        inside.getField("Parameters").alias("Parameters"),
-        inside.getField("Dataset").alias("Dataset"),
+        _joined(parameters, "Parameters", "Parameter"),
+        F.transform(
+            datasets,
+            lambda d: F.struct(
+                d.getField("_id").alias("_id"),
+                _joined(d.getField("ColumnInfo"), "ColumnInfo", "Column"),
+                _joined(d.getField("Rows"), "Rows", "Row"),
+            ),
+        ).alias("Dataset"),
     )
-    return once.withColumn(ENVELOPE, envelope).drop("__xml")
+    return once.select("*", F.explode(F.array(envelope)).alias(ENVELOPE)).drop("__xml")
+
+
+def _joined(blocks: Column, name: str, item: str) -> Column:
+    """Repeated blocks as one, with the items of all in order."""
+    lists = F.filter(F.transform(blocks, lambda b: b.getField(item)), lambda x: x.isNotNull())
+    return F.struct(F.flatten(lists).alias(item)).alias(name)
 
 
 def _text(item: Column) -> Column:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import normalize_text
+from millrace.functions.text import ACCENTS, normalize_text
 from millrace.golden.catalog import context, fresh_folder, golden, load
 from millrace.operators.cleaning import add_date_column, drop_empty_rows, handle_nulls
 from millrace.operators.filters import apply_filters, optional_search
@@ -24,8 +24,8 @@ from millrace.sources.spreadsheet import scan_spreadsheets
 
 # Every character Python counts as whitespace, as a class body for RE2.
 SPACE = r"\t\n\v\f\r\x1c-\x1f \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-ACCENTED = "áàảãạăắằẳẵặâấầẩẫậéèẻẽẹêếềểễệíìỉĩịóòỏõọôốồổỗộơớờởỡợúùủũụưứừửữựýỳỷỹỵđ"
-PLAIN = "a" * 17 + "e" * 11 + "i" * 5 + "o" * 17 + "u" * 11 + "y" * 5 + "d"
+ACCENTED = "".join(ACCENTS.values())
+PLAIN = "".join(plain * len(accented) for plain, accented in ACCENTS.items())
 
 
 # -- spreadsheets and headers --------------------------------------------------------

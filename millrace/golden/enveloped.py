@@ -149,9 +149,9 @@ def xml_primary_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _PRODUCT_COLUMNS = {
-    "ds_master": ["product_id", "product_name", "brand"],
-    "ds_inventory": ["product_id", "stock_quantity"],
-    "ds_pricing": ["product_id", "sale_price"],
+    "names": ["product_id", "product_name", "brand"],
+    "stock": ["product_id", "stock_quantity"],
+    "prices": ["product_id", "sale_price"],
 }
 
 
@@ -164,15 +164,15 @@ def product_responses(spark: SparkSession, sf: str) -> DataFrame:
 
     key = _cell("product_id", "p_partkey")
     pricing = F.when(
-        F.col("p_size") <= 40, _xml(*dataset("ds_pricing", key, _cell("sale_price", "p_size")))
-    ).otherwise(F.lit('<Dataset id="ds_pricing"/>'))
+        F.col("p_size") <= 40, _xml(*dataset("prices", key, _cell("sale_price", "p_size")))
+    ).otherwise(F.lit('<Dataset id="prices"/>'))
     return load(spark, sf, "part").select(
         F.col("p_partkey").alias("product_id"),
         F.lit(200).alias("status_code"),
         _xml(
             '<Root><Parameters><Parameter id="ErrorCode">0</Parameter></Parameters>',
-            *dataset("ds_master", key, _cell("product_name", "p_name"), _cell("brand", "p_brand")),
-            *dataset("ds_inventory", key, _cell("stock_quantity", "p_size")),
+            *dataset("names", key, _cell("product_name", "p_name"), _cell("brand", "p_brand")),
+            *dataset("stock", key, _cell("stock_quantity", "p_size")),
             pricing,
             "</Root>",
         ),

@@ -53,8 +53,9 @@ class History:
     """Rows accumulated over runs: the latest row per key.
 
     ``buckets`` None lets the table grow its own: one while it is small, then twice as
-    many whenever buckets outgrow ``BUCKET_BYTES``. Changing the number or the keys
-    rewrites the table once.
+    many whenever buckets outgrow ``BUCKET_BYTES``. A given number is doubled likewise for
+    as long as the table is too large for it. Changing the number or the keys rewrites the
+    table once.
     """
 
     def __init__(
@@ -192,11 +193,9 @@ class History:
         return [c.version for c in old]
 
     def _bucket_count(self, state: State | None) -> int:
-        if self.buckets is not None:
-            return self.buckets
         if state is None:
-            return 1
-        buckets = state.buckets
+            return self.buckets or 1
+        buckets = self.buckets or state.buckets
         while state.n_bytes > buckets * BUCKET_BYTES:
             buckets *= 2
         return buckets

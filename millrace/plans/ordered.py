@@ -5,8 +5,10 @@ consecutive stretches along keys and order. What other stretches of a key contri
 from a table with one row per key and stretch, built by partial aggregation. Its rows are
 put at the head of the stretch they belong to, so one sort per stretch gives the result.
 
-Stretches come from a range partitioning over keys, order and a row hash, so they are of
-even size whatever the data looks like: one key, one day or one value may hold most rows.
+Stretches come from a range partitioning over keys, order, a row hash and the input
+partition, so they are of even size whatever the data looks like: one key, one day or one
+value may hold most rows, and copies of one row are kept together only as far as one input
+partition held them.
 That partitioning is written to the shared folder, because it is read twice and a second
 sampling could cut elsewhere. Where the caller knows that a coarser value of the order (a
 day, a step) stays small for every key, a ``bucket`` expression saves that write.
@@ -134,8 +136,11 @@ def last_value(column: str) -> Measure:
 
 def _even_stretches(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *keys, *order, row_digest(df))
-    return written_table(ranged.withColumn(_B, F.spark_partition_id()))
+    # Exact copies are told apart by the input partition they come from. Unlike a row id
+    # that does not change when a lost task runs again and reads its rows in another order.
+    origin = "__origin"
+    ranged = df.withColumn(origin, F.spark_partition_id()).repartitionByRange(count, *keys, *order, row_digest(df), origin)
+    return written_table(ranged.drop(origin).withColumn(_B, F.spark_partition_id()))
 
 
 def with_measures(

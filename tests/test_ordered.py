@@ -181,6 +181,23 @@ def test_one_order_value_is_cut_too(spark):
     assert sorted(r.rn for r in out.collect()) == list(range(1, 4001))
 
 
+def test_copies_of_one_row_are_cut_too(spark):
+    df = spark.range(0, 4000, 1, 32).selectExpr("1 AS k", "7 AS t")
+    cut = o._even_stretches(df, ["k"], ["t"])
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert cut.groupBy(o._B).count().agg(F.max("count")).first()[0] <= 2 * 4000 / count
+    out = o.with_measures(df, ["k"], ["t"], {"rn": o.row_number()})
+    assert sorted(r.rn for r in out.collect()) == list(range(1, 4001))
+
+
+def test_rows_without_an_order_value_come_first(spark):
+    df = spark.createDataFrame([(1, None, 5), (1, 1, 6), (1, 2, 7), (1, 3, 8)], "k int, t int, v int")
+    measures = {"first": o.first_value("v"), "last": o.last_value("v"), "before": o.lag("v"), "after": o.lead("v")}
+    out = o.with_measures(df, ["k"], ["t"], measures)
+    got = {r.t: (r["first"], r["last"], r.before, r.after) for r in out.collect()}
+    assert got == {None: (5, 8, None, 6), 1: (5, 8, 5, 7), 2: (5, 8, 6, 8), 3: (5, 8, 7, None)}
+
+
 def test_zip_columns(spark):
     a = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "n int, v string")
     b = spark.createDataFrame([(1, "x"), (2, "y")], "n int, w string")

@@ -7,8 +7,10 @@ source and whether it looks like a path or address itself) and its neighbouring
 
 The forest is trained from labelled findings (``finding``, ``before``, ``path``, ``secret``)
 and compiled into one column expression, so scanning is a projection: no shuffle, no
-Python, rows and copies alike stay where they are. At most ``FINDINGS`` findings, those of
-least hash, are used for training.
+Python, rows and copies alike stay where they are. At most ``FINDINGS`` distinct secrets
+and as many distinct harmless findings, those of least hash, are used for training. Where
+one of the two is wanting there is no forest, and the labelling rule alone says what is a
+secret.
 
 The given tables hold no labelled findings, so ``weak_findings`` labels the corpus' own
 candidates by format: assigned to a key name or of an issuer's prefix is a secret;
@@ -24,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import table
+from millrace.llm.shared import table, union
 
 LEAST = 12
 FINDINGS = 20_000
@@ -86,12 +88,16 @@ def candidates(text: Column) -> Column:
     return F.flatten(F.transform(F.array(words), found))
 
 
+def _secret_format(finding: Column, before: Column) -> Column:
+    """Whether the format of a finding and of the name before it says it is a secret."""
+    issued = finding.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abp]-")
+    return F.coalesce(issued | (before.rlike(KEY_NAMES) & finding.rlike("^[0-9A-Za-z+/_-]{16,}=*$")), F.lit(False))
+
+
 def weak_findings(docs: DataFrame) -> DataFrame:
     """Findings of ``docs`` (text, source) that their format labels."""
     found = docs.select(F.explode(candidates(F.col("text"))).alias("c"), F.col("source").alias("path")).select("c.finding", "c.before", "path")
-    secret = F.col("finding").rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abp]-") | (
-        F.col("before").rlike(KEY_NAMES) & F.col("finding").rlike("^[0-9A-Za-z+/_-]{16,}=*$")
-    )
+    secret = _secret_format(F.col("finding"), F.col("before"))
     harmless = F.col("finding").rlike(r"@|://|^[0-9.,:+()/-]+$|^[^0-9]+[0-9]{1,2}$") | (F.size(F.split("finding", "[0-9]+")) <= 2)
     return found.withColumn("secret", F.when(secret, 1.0).when(harmless, 0.0)).where("secret IS NOT NULL")
 
@@ -120,8 +126,9 @@ def _compiled(model: RandomForestClassificationModel) -> list[str]:
 def train(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 7) -> list[str] | None:
     """The forest's trees, from labelled findings; None without findings of both kinds."""
     chosen = findings.where("finding IS NOT NULL").select("finding", "before", "path", F.col("secret").cast("double").alias("label"))
-    order = F.xxhash64("finding", "before", "path")
-    chosen = chosen.orderBy(order, "finding", "before", "path", "label").limit(FINDINGS)
+    order = [F.xxhash64("finding", "before", "path"), "finding", "before", "path"]
+    # by label, as secrets are rare; copies of one finding count once
+    chosen = union([chosen.where(F.col("label") == label).distinct().orderBy(*order).limit(FINDINGS) for label in (0.0, 1.0)])
     columns = _features(F.col("finding"), F.col("before"), F.col("path"))
     rows = chosen.select("label", *(c.alias(k) for k, c in columns.items())).coalesce(1)
     data = VectorAssembler(inputCols=_FEATURES, outputCol="features").transform(rows).select("label", "features").cache()
@@ -137,13 +144,16 @@ def train(findings: DataFrame, trees: int = 15, depth: int = 6, seed: int = 7) -
 def secrets(text: Column, path: Column, trees: list[str] | None) -> Column:
     """Array of (finding, before, votes, secret) of a text.
 
-    NULL and empty texts have none. Without a forest every candidate counts as a secret.
+    NULL and empty texts have none. Without a forest the labelling rule has the only vote.
     """
 
     def judge(c: Column) -> Column:
+        if not trees:
+            rule = _secret_format(c["finding"], c["before"])
+            return F.struct(c["finding"].alias("finding"), c["before"].alias("before"), rule.cast("int").alias("votes"), rule.alias("secret"))
         f = F.struct(*(v.alias(k) for k, v in _features(c["finding"], c["before"], path).items()))
-        votes = F.transform(F.array(f), lambda f: sum((_tree(t, f) for t in trees), F.lit(0)))[0] if trees else F.lit(1)
-        return F.struct(c["finding"].alias("finding"), c["before"].alias("before"), votes.alias("votes"), (votes * 2 > (len(trees) if trees else 1)).alias("secret"))
+        votes = F.transform(F.array(f), lambda f: sum((_tree(t, f) for t in trees), F.lit(0)))[0]
+        return F.struct(c["finding"].alias("finding"), c["before"].alias("before"), votes.alias("votes"), (votes * 2 > len(trees)).alias("secret"))
 
     return F.transform(candidates(text), judge)
 

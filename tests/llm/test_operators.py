@@ -167,6 +167,27 @@ def test_secrets_are_found_and_masked(spark, docs, empty):
     assert secret_scan.scan(empty).count() == 0
 
 
+def test_training_findings_are_drawn_by_label(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "FINDINGS", 40)
+    key = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    rows = [(k, f"see mail{k}.long@host{k}.example.com or 45{k:014d} now", "s") for k in range(1500)]
+    rows += [(k, "call 49170123456789 now", "s") for k in range(1500, 2000)] + [(k, f'token = "{key(k)}" it', "s") for k in range(2000, 2003)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert secret_scan.train(secret_scan.weak_findings(table)) is not None
+    masked = {r.doc_id: r.m for r in secret_scan.scan(table).select("doc_id", secret_scan.redacted(F.col("text"), F.col("_found")).alias("m")).collect()}
+    assert [k for k, m in sorted(masked.items()) if secret_scan.MASK in m] == [2000, 2001, 2002]
+
+
+def test_without_both_labels_only_the_rule_marks(spark):
+    rows = [(1, "mail12.long@host12.example.com 4512345678901234 ord3r-n0-77x9a1", "s"), (2, "nothing", "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert secret_scan.train(secret_scan.weak_findings(table)) is None
+    found = {r.doc_id: r._found for r in secret_scan.scan(table).collect()}
+    assert len(found[1]) >= 3 and not any(c.secret for c in found[1])
+    keyed = spark.createDataFrame([(1, "token = 0123456789abcdef0123", "s")], "doc_id long, text string, source string")
+    assert [c.secret for c in secret_scan.scan(keyed).first()._found] == [True]
+
+
 def _removed(data: list[bytes], length: int) -> list[tuple]:
     count = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
     out = []

@@ -1,9 +1,11 @@
 """Secret scan: candidates judged by a random forest (operator 4, native).
 
-Words of ``LEAST`` characters or more that hold a digit are candidates; of ``name=value``
-the value is. Features of a candidate: its length, its character transitions and
-make-up, how much of its letters dictionary words cover, the path it comes from (the
-source and whether it looks like a path or address itself) and its neighbouring words.
+Words of ``LEAST`` characters or more that hold a digit are candidates (of ``name=value``
+the value is), and so is every run of such length and with a digit that quotes, brackets
+and ``= : , ; & ? @`` set off inside a word. What a key name is assigned to is a candidate
+whatever its length and characters. Features of a candidate: its length, its character
+transitions and make-up, how much of its letters dictionary words cover, the path it comes
+from (the source and whether it looks like a path or address itself) and the name before it.
 
 The forest is trained from labelled findings (``finding``, ``before``, ``path``, ``secret``)
 and compiled into one column expression, so scanning is a projection: no shuffle, no
@@ -33,7 +35,14 @@ FINDINGS = 20_000
 MASK = "[secret]"
 #: Words whose share of a candidate's letters is its dictionary coverage.
 DICTIONARY = "the|and|tion|ing|with|for|que|les|der|und|ich|ein|mail|example|test|com|org|net|http|www|index|version|page|file|data|user|name|date|time|item|order|number"
-KEY_NAMES = "(?i)^(.*[_.-])?(token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|auth|credential|bearer)s?[:=]?$"
+_KEY = "(token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|(s3|aws|secret|private|signing|encryption|account|storage|master)[_-]?key|auth|credential|bearer)s?[_-]?[0-9]*"
+KEY_NAMES = f"(?i)^(.*[_.-])?{_KEY}[:=]?$"
+
+#: What sets runs of a word apart.
+_SETS_OFF = r"[\"'`()\[\]<>{}=:,;&?@]"
+_RUN = _SETS_OFF.replace("[", "[^", 1)
+#: A word that may hold the end of a key name.
+_KEY_IN = rf"(?i){_KEY}({_SETS_OFF}|$)"
 
 _FEATURES = ["length", "transitions", "digits", "uppers", "hexes", "others", "variety", "coverage", "key_before", "assigned", "address", "number", "path"]
 
@@ -63,42 +72,77 @@ def _features(finding: Column, before: Column, path: Column) -> dict[str, Column
     }
 
 
+def _sign(text: Column) -> Column:
+    return F.when(text.contains("="), "=").when(text.contains(":"), ":").otherwise("")
+
+
+def _name(word: Column) -> Column:
+    """The last run of a word, with the sign of assignment after it."""
+    return F.concat(F.regexp_extract(word, f"({_RUN}*){_SETS_OFF}*$", 1), _sign(F.regexp_extract(word, f"({_SETS_OFF}*)$", 1)))
+
+
+def _keyed(before: Column) -> Column:
+    """Whether ``before`` is a key name that is assigned to."""
+    return before.rlike("[:=]$") & before.rlike(KEY_NAMES)
+
+
 def candidates(text: Column) -> Column:
-    """Array of (finding, before): candidates of a text and the words they follow."""
+    """Array of (finding, before): candidates of a text and the names they follow."""
     words = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
 
-    def found(all_words: Column) -> Column:
-        place = F.filter(
-            F.sequence(F.lit(1), F.size(all_words)),
-            lambda i: (F.length(F.element_at(all_words, i)) >= LEAST) & F.element_at(all_words, i).rlike("[0-9]"),
-        )
+    def found(all_words: Column, keys: Column) -> Column:
+        def worth(i: Column) -> Column:
+            word = F.element_at(all_words, i)
+            long = (F.length(word) >= LEAST) & word.rlike("[0-9]")
+            return long | F.element_at(keys, i) | ((i > 1) & F.element_at(keys, F.greatest(i - 1, F.lit(1)))) | ((i > 2) & F.element_at(keys, F.greatest(i - 2, F.lit(1))))
 
-        def one(i: Column) -> Column:
+        def of_word(i: Column) -> Column:
             word = F.element_at(all_words, i)
-            value = F.regexp_extract(word, r"^(?:[A-Za-z_.-]{2,40}[=:])?[\"'(\[<{]*([^\"'()\[\]<>{}]*?)[,;.!?#]*(?:[\"'()\[\]<>{}].*)?$", 1)
-            own = F.regexp_extract(word, r"^([A-Za-z_.-]{2,40}[=:])", 1)
             last = F.when(i > 1, F.element_at(all_words, F.greatest(i - 1, F.lit(1)))).otherwise("")
             last2 = F.when(i > 2, F.element_at(all_words, F.greatest(i - 2, F.lit(1)))).otherwise("")
-            before = F.when(own != "", own).when(last.isin("=", ":"), F.concat(last2, last)).otherwise(last)
-            return F.struct(value.alias("finding"), before.alias("before"))
+            lead = _sign(F.regexp_extract(word, f"^({_SETS_OFF}*)", 1))
+            before = F.when(last.rlike(f"^{_SETS_OFF}+$"), F.concat(F.regexp_replace(_name(last2), "[:=]$", ""), _sign(last))).otherwise(_name(last))
+            before = F.when((lead != "") & ~before.rlike("[:=]$"), F.concat(before, lead)).otherwise(before)
+            runs = F.regexp_extract_all(word, F.lit(f"{_RUN}+{_SETS_OFF}*"), 0)
+            return F.flatten(F.transform(F.array(F.struct(word.alias("word"), before.alias("before"), runs.alias("runs"))), in_word))
+
+        def in_word(w: Column) -> Column:
+            value = F.regexp_extract(w["word"], r"^(?:[A-Za-z_.-]{2,40}[=:])?[\"'(\[<{]*([^\"'()\[\]<>{}]*?)[,;.!?#]*(?:[\"'()\[\]<>{}].*)?$", 1)
+            own = F.regexp_extract(w["word"], r"^([A-Za-z_.-]{2,40}[=:])", 1)
+            whole = F.struct(value.alias("finding"), F.when(own != "", own).otherwise(w["before"]).alias("before"))
 
-        return F.filter(F.transform(place, one), lambda c: F.length(c["finding"]) >= LEAST)
+            def run(r: Column, k: Column) -> Column:
+                before = F.when(k > 0, _name(F.element_at(w["runs"], F.greatest(k, F.lit(1))))).otherwise(w["before"])
+                return F.struct(F.regexp_extract(r, f"^({_RUN}*?)[.!#]*(?:{_SETS_OFF}.*)?$", 1).alias("finding"), before.alias("before"))
 
-    # the words are bound once, as the only element of an array
-    return F.flatten(F.transform(F.array(words), found))
+            pieces = F.filter(F.transform(w["runs"], run), lambda c: c["finding"] != value)
+            judged = lambda c: c["finding"].rlike(_RUN) & (((F.length(c["finding"]) >= LEAST) & c["finding"].rlike("[0-9]")) | _keyed(c["before"]))
+            return F.filter(F.concat(F.array(whole), pieces), judged)
+
+        return F.flatten(F.transform(F.filter(F.sequence(F.lit(1), F.size(all_words)), worth), of_word))
+
+    # the words, and which of them may hold a key name, are bound once, as the only element of an array
+    with_keys = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: x.rlike(_KEY_IN)).alias("keys")))
+    return F.flatten(F.transform(with_keys, lambda b: found(b["words"], b["keys"])))
 
 
 def _secret_format(finding: Column, before: Column) -> Column:
     """Whether the format of a finding and of the name before it says it is a secret."""
     issued = finding.rlike("^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[0-9A-Za-z]{36}$|^xox[abp]-")
-    return F.coalesce(issued | (before.rlike(KEY_NAMES) & finding.rlike("^[0-9A-Za-z+/_-]{16,}=*$")), F.lit(False))
+    long = before.rlike(KEY_NAMES) & finding.rlike("^(?=.*[0-9])[0-9A-Za-z+/_-]{16,}=*$")
+    short = _keyed(before) & finding.rlike("^(?=.*[0-9])(?=.*[A-Za-z])[^@:/]{6,}$")
+    return F.coalesce(issued | long | short, F.lit(False))
 
 
 def weak_findings(docs: DataFrame) -> DataFrame:
     """Findings of ``docs`` (text, source) that their format labels."""
     found = docs.select(F.explode(candidates(F.col("text"))).alias("c"), F.col("source").alias("path")).select("c.finding", "c.before", "path")
     secret = _secret_format(F.col("finding"), F.col("before"))
-    harmless = F.col("finding").rlike(r"@|://|^[0-9.,:+()/-]+$|^[^0-9]+[0-9]{1,2}$") | (F.size(F.split("finding", "[0-9]+")) <= 2)
+    address = F.col("finding").rlike(r"@|://|^[0-9.,:+()/-]+$")
+    plain = F.col("finding").rlike(r"^[^0-9]+[0-9]{1,2}$") | (F.size(F.split("finding", "[0-9]+")) <= 2)
+    # few digits make no key harmless; words that stand for no key do
+    stands = F.col("finding").rlike("(?i)^(true|false|null|none|nil|yes|no|on|off|string|str|text|int|required|optional|basic|bearer|undefined|.{1,3})$")
+    harmless = address | F.when(_keyed(F.col("before")), stands).otherwise(plain)
     return found.withColumn("secret", F.when(secret, 1.0).when(harmless, 0.0)).where("secret IS NOT NULL")
 
 
@@ -185,10 +229,25 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, text: str = "text",
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """``text`` with every secret replaced by ``MASK``; the longest first, as one may hold another."""
-    values = F.array_distinct(F.transform(F.filter(found, lambda c: c["secret"]), lambda c: c["finding"]))
-    longest = F.transform(F.sort_array(F.transform(values, lambda v: F.struct(-F.length(v), v.alias("v")))), lambda s: s["v"])
-    return F.aggregate(longest, text, lambda acc, v: F.replace(acc, v, F.lit(MASK)))
+    """``text`` with every secret replaced by ``MASK``; the longest first, as one may hold another.
+
+    One of ``LEAST`` characters or more is replaced wherever it stands, a shorter one only
+    after its name, as it may be a common word elsewhere.
+    """
+
+    def of(c: Column) -> Column:
+        short = F.length(c["finding"]) < LEAST
+        return F.struct(-F.length(c["finding"]), c["finding"].alias("finding"), F.when(short, F.regexp_replace(c["before"], "[:=]$", "")).alias("name"))
+
+    quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+    def mask(acc: Column, s: Column) -> Column:
+        between = rf"(?:{_SETS_OFF}|[\x20\x09-\x0D])"
+        after = F.concat(F.lit("("), quoted(s["name"]), F.lit(f"{between}*[=:]{between}*)"), quoted(s["finding"]), F.lit(rf"(?=[.!#]*(?:{between}|$))"))
+        return F.when(s["name"].isNull(), F.replace(acc, s["finding"], F.lit(MASK))).otherwise(F.regexp_replace(acc, after, F.lit(f"$1{MASK}")))
+
+    longest = F.sort_array(F.array_distinct(F.transform(F.filter(found, lambda c: c["secret"]), of)))
+    return F.aggregate(longest, text, mask)
 
 
 def op4(spark, sf_dir) -> DataFrame:

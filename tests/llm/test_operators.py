@@ -188,6 +188,26 @@ def test_without_both_labels_only_the_rule_marks(spark):
     assert [c.secret for c in secret_scan.scan(keyed).first()._found] == [True]
 
 
+def test_secrets_inside_words(spark):
+    key = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    forms = ['{{"api_key":"{0}"}}', '{{"a":1,"token":"{0}","b":2}}', "connect(token='{0}')", "S3_KEY='{0}'", "https://x.example.com/a?id=7&token={0}&b=2", '{{"token": "{0}"}}']
+    rows = [(k, f"some words {forms[k % 6].format(key(k))} and more", "s") for k in range(140)]
+    rows += [(k, f'then token = "{key(k)}" and mail{k}.x@host{k}.example.com or 45{k:014d}', "s") for k in range(140, 400)]
+    plain = "the red car, hunter2 it is; {} and so on"
+    short = ["password=hunter2", 'password: "s3cret9"', "api_key=QwErTzUiOpAsDfGhYx", "pwd=ab12cd"]
+    rows += [(k, plain.format(short[k % 4]), "s") for k in range(400, 480)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    masked = {r.doc_id: r.m for r in secret_scan.scan(table).select("doc_id", secret_scan.redacted(F.col("text"), F.col("_found")).alias("m")).collect()}
+    url = spark.range(1).select(F.explode(secret_scan.candidates(F.lit(f"see https://bob:{key(0)}@host.example.com/"))).alias("c")).select("c.*")
+    assert (key(0), "//bob:") in [tuple(r) for r in url.collect()]  # the forest judges it
+    for k, text, _ in rows:
+        if k < 400:
+            assert masked[k] == text.replace(key(k), secret_scan.MASK), text
+        else:
+            value = re.search(r"[=:] ?\"?(\w+)", text)[1]
+            assert masked[k] == plain.format(short[k % 4].replace(value, secret_scan.MASK)), text
+
+
 def _removed(data: list[bytes], length: int) -> list[tuple]:
     count = collections.Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
     out = []

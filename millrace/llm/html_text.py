@@ -1,9 +1,11 @@
 """Main text of web pages by consensus host paths (operator 10).
 
 Each page's containers are scored by the text of their paragraphs, links counting against.
-The path of the best container, generalised to tags and class names without digits, is the
-page's vote. Votes are counted per host in Spark; then every page is read again and gives
-the text under its host's winning path, or under its own best container where it has none.
+Without an article or main element the best container is widened while the element around
+it adds text that is not dropped and is not mostly links. Its path, generalised to tags and class names without digits, is the page's vote. Votes
+are counted per host in Spark; then every page is read again and gives the text under its
+host's winning path, or under its own best container where it has none, or where that path
+is outside article and main and holds less than half of the text of the own container.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
 comments are left out by element and by words of class, id and role. A block's character
@@ -44,6 +46,7 @@ _WORDS = re.compile(
     r"|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|footer|complementary|contentinfo)(?=$|[\s_-]|\d)",
     re.I,
 )
+_ARTICLE = re.compile(r"(^|>)(article|main)\b")
 #: An element of the key closes an open one of the set.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -68,7 +71,7 @@ def _open(tag: str, attrs: str, above: Element | None, number: int) -> Element:
     names = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attrs)} if "=" in attrs else {}
     classes = sorted({re.sub(r"\d+", "", c) for c in names.get("class", "").lower().split()} - {""})
     here = ".".join([tag, *classes])
-    inside = above is not None and re.search(r"(^|>)(article|main)\b", above.path) is not None
+    inside = above is not None and _ARTICLE.search(above.path) is not None
     dropped = (above is not None and above.dropped) or tag in _DROPPED or (tag == "header" and not inside)
     if not dropped and tag not in ("html", "body", "article", "main"):
         dropped = any(_WORDS.search(v) for v in names.values())
@@ -152,6 +155,24 @@ def best_container(page: list[Block]) -> Element | None:
         if at.tag in ("article", "main"):
             best = at
         at = at.parent
+    return best if best.tag in ("article", "main") else _widened(best, page)
+
+
+def _widened(best: Element, page: list[Block]) -> Element:
+    """The highest element up from ``best`` to which each step adds text, not mostly links."""
+    text: dict[int, int] = defaultdict(int)
+    links: dict[int, int] = defaultdict(int)
+    for block in page:
+        at = block.of
+        while at is not None:
+            text[at.number] += len(block.text)
+            links[at.number] += block.links
+            at = at.parent
+    at = best.parent
+    while at is not None and 2 * (links[at.number] - links[best.number]) <= text[at.number] - text[best.number]:
+        if text[at.number] > text[best.number]:
+            best = at
+        at = at.parent
     return best
 
 
@@ -168,8 +189,10 @@ def main_text(page: str, path: str | None) -> str:
     """The text under ``path``, else under the page's own best container, else of the whole page."""
     found = blocks(page)
     chosen = [b for b in found if path and _under(b, lambda e: e.path == path)]
-    if not chosen and (own := best_container(found)):
-        chosen = [b for b in found if _under(b, lambda e: e.number == own.number)]
+    if (not chosen or not _ARTICLE.search(path)) and (own := best_container(found)):
+        whole = [b for b in found if _under(b, lambda e: e.number == own.number)]
+        if 2 * sum(len(b.text) for b in chosen) < sum(len(b.text) for b in whole):
+            chosen = whole
     return "\n\n".join(b.text for b in chosen or found)
 
 

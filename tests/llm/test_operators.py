@@ -346,3 +346,14 @@ def test_page_text(spark):
     assert sorted(got[9])[0].startswith("T9 & co") and sorted(got[9])[1] == "plain"  # the host's path wins over the page's own best
     assert got[10] == got[11] == [""] and got[12] == ["cut"]
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_page_text_outside_one_container(spark):
+    lead, body = "Lead words of it. " * 3, "Body words of it. " * 20
+    post = "<body><nav>menu</nav><div class=wrap><div class=post><h1>Head {0}</h1><div class=lead><p>{1}</div><div class=body><p>{2}</div></div><div class=box><p>{3}<a href=x>{4}</a></div></div></body>"
+    rows = [(k, "http://h.example/", post.format(k, lead, body, "", "some other page to read " * 9)) for k in range(5)]
+    other = "<body><div class=wrap><div class=post><p>small box</div></div><div class=story><h2>Story</h2><p>{0}</div></body>"
+    rows.append((9, "http://h.example/", other.format(body)))
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "\n\n".join(["Head 3", lead.strip(), body.strip()])
+    assert "Story" in got[9] and body.strip() in got[9]

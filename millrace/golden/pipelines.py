@@ -269,6 +269,10 @@ def batch_step(spark: SparkSession, sf: str) -> DataFrame:
 )
 def chained_enrichment(spark: SparkSession, sf: str) -> DataFrame:
     """A detail response for every large line item, three datasets side by side."""
+    return _details(spark, load(spark, sf, "lineitem").filter("l_quantity >= 25"), product_responses(spark, sf)).result()
+
+
+def _details(spark: SparkSession, lines: DataFrame, responses: DataFrame):
     spec = {
         "workflow_id": "details",
         "steps": [
@@ -277,7 +281,7 @@ def chained_enrichment(spark: SparkSession, sf: str) -> DataFrame:
                 "driver": "xml",
                 "mode": "chained_loop",
                 "endpoint": "catalogue/detail",
-                "inputs": ["large_lines"],
+                "inputs": ["lines"],
                 "variables": {"datasets": {"ds_condition": [{"product_id": "{{ loop_row.l_partkey }}"}]}},
                 "response": {"join": {"datasets": _PRODUCT_COLUMNS, "on": ["product_id"]}},
                 "error_handling": {"code_field": "ErrorCode", "msg_field": "ErrorMsg", "on_error": "skip_row"},
@@ -285,12 +289,33 @@ def chained_enrichment(spark: SparkSession, sf: str) -> DataFrame:
             }
         ],
     }
-    return run_pipeline(
-        spark,
-        spec,
-        tables={"large_lines": load(spark, sf, "lineitem").filter("l_quantity >= 25")},
-        responses={"catalogue/detail": product_responses(spark, sf)},
-    ).result()
+    return run_pipeline(spark, spec, tables={"lines": lines}, responses={"catalogue/detail": responses})
+
+
+def _all_details(spark: SparkSession, sf: str):
+    """All line items; one part in ten has no response."""
+    return _details(spark, load(spark, sf, "lineitem"), product_responses(spark, sf).filter("product_id % 10 <> 3"))
+
+
+@golden(
+    "chained_enrichment_all",
+    """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name, p_brand AS brand,
+              CAST(p_size AS VARCHAR) AS stock_quantity,
+              CASE WHEN p_size <= 40 THEN CAST(p_size AS VARCHAR) END AS sale_price
+       FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 10 <> 3""",
+)
+def chained_enrichment_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _all_details(spark, sf).result()
+
+
+@golden(
+    "chained_enrichment_errors",
+    """SELECT DISTINCT l_partkey AS product_id, 'transport' AS outcome, 'no response' AS err_msg
+       FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE p_partkey IS NULL OR p_partkey % 10 = 3""",
+)
+def chained_enrichment_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts that were asked for and have no response."""
+    return _all_details(spark, sf).errors["details"].select("product_id", "outcome", "err_msg")
 
 
 @golden(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, chat, html_text, mixing, near_copies, quality, repeats, secret_scan, token_counts, vector_search
+from millrace.llm import bpe, chat, html_text, mixing, near_copies, quality, repeats, secret_scan, token_counts, vector_search, word_bpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tool_calls": chat.op8,
     "op9_jaccard_join": near_copies.op9,
     "op10_html_text": html_text.op10,
+    "op13_word_bpe": word_bpe.op13,
 }
 
 SQL: dict[str, str] = {"op2_kd_tree_top_k": vector_search.OP2_SQL}

@@ -36,6 +36,7 @@ class RunContext:
         inputs: dict[str, Any] | None = None,
         session: dict[str, Any] | None = None,
         responses: dict[str, DataFrame] | None = None,
+        fetchers: dict[str, Callable] | None = None,
         functions: dict[str, Callable] | None = None,
         history_root: str | None = None,
     ):
@@ -45,6 +46,7 @@ class RunContext:
         self.inputs = inputs or {}
         self.session = session or {}
         self.responses = responses or {}
+        self.fetchers = fetchers or {}
         self.functions = functions or {}
         self.history_root = history_root
         self.tables: dict[str, DataFrame] = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -265,11 +267,11 @@ def batch_step(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT CAST(p_partkey AS VARCHAR) AS product_id, p_name AS product_name, p_brand AS brand,
               CAST(p_size AS VARCHAR) AS stock_quantity,
               CASE WHEN p_size <= 40 THEN CAST(p_size AS VARCHAR) END AS sale_price
-       FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 25""",
+       FROM lineitem JOIN part ON l_partkey = p_partkey""",
 )
 def chained_enrichment(spark: SparkSession, sf: str) -> DataFrame:
-    """A detail response for every large line item, three datasets side by side."""
-    return _details(spark, load(spark, sf, "lineitem").filter("l_quantity >= 25"), product_responses(spark, sf)).result()
+    """A detail response for every line item, three datasets side by side."""
+    return _details(spark, load(spark, sf, "lineitem"), product_responses(spark, sf)).result()
 
 
 def _details(spark: SparkSession, lines: DataFrame, responses: DataFrame):
@@ -318,6 +320,87 @@ def chained_enrichment_errors(spark: SparkSession, sf: str) -> DataFrame:
     return _all_details(spark, sf).errors["details"].select("product_id", "outcome", "err_msg")
 
 
+def _stock(requests: list[dict]) -> list[tuple[int, str]]:
+    """Stands for a remote service: it knows parts by number and answers from that alone."""
+    if any(r["part"] % 10 == 3 for r in requests):
+        raise ConnectionError("service does not know this part")
+    replies = []
+    for r in requests:
+        status = 503 if r["part"] % 10 == 7 else 200
+        body = {"code": 404 if r["part"] % 10 == 9 else 200, "message": "sold out", "data": [{"part": r["part"], "stock": r["part"] * 7 % 90}]}
+        replies.append((status, json.dumps(body)))
+    return replies
+
+
+def _fetched_stock(spark: SparkSession, sf: str):
+    spec = {
+        "workflow_id": "stock",
+        "steps": [
+            {
+                "step_id": "stock",
+                "driver": "json",
+                "mode": "chained_loop",
+                "endpoint": "stock",
+                "inputs": ["lines"],
+                "variables": {"parameters": {"part": "{{ loop_row.l_partkey }}"}},
+                "response": {"columns": {"part": "bigint", "stock": "bigint"}},
+                "error_handling": {"code_field": "code", "msg_field": "message", "on_error": "skip_row"},
+                "output_dataset": "ds_stock",
+            }
+        ],
+    }
+    return run_pipeline(spark, spec, tables={"lines": load(spark, sf, "lineitem")}, fetchers={"stock": _stock})
+
+
+@golden(
+    "chained_fetch_hook",
+    """SELECT l_partkey AS part, l_partkey * 7 % 90 AS stock FROM lineitem WHERE l_partkey % 10 NOT IN (3, 7, 9)""",
+)
+def chained_fetch_hook(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line item with what a function of the caller fetched for its part."""
+    return _fetched_stock(spark, sf).result()
+
+
+@golden(
+    "chained_fetch_errors",
+    """SELECT DISTINCT l_partkey AS part, CASE l_partkey % 10 WHEN 9 THEN 'business' ELSE 'transport' END AS outcome,
+              CASE l_partkey % 10 WHEN 7 THEN '503' WHEN 9 THEN '404' END AS err_code,
+              CASE l_partkey % 10 WHEN 3 THEN 'ConnectionError: service does not know this part' WHEN 9 THEN 'sold out' END AS err_msg
+       FROM lineitem WHERE l_partkey % 10 IN (3, 7, 9)""",
+)
+def chained_fetch_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """The parts whose fetching failed, each once."""
+    return _fetched_stock(spark, sf).errors["stock"].select("part", "outcome", "err_code", "err_msg")
+
+
+@golden(
+    "batch_step_errors",
+    """SELECT DISTINCT l_partkey AS product_id, 'transport' AS outcome, 'no response' AS err_msg
+       FROM lineitem WHERE l_partkey % 10 = 3""",
+)
+def batch_step_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch request for the parts of all line items: the ids that nobody answered."""
+    spec = {
+        "workflow_id": "lookup",
+        "steps": [
+            {
+                "step_id": "lookup",
+                "driver": "xml",
+                "endpoint": "catalogue/detail",
+                "variables": {
+                    "ds_search": {"type": "dataset", "columns": [{"field": "lines.l_partkey", "alias": "product_id"}]}
+                },
+                "response": {"columns": ["product_id", "product_name"]},
+                "error_handling": {"code_field": "ErrorCode", "msg_field": "ErrorMsg", "on_error": "skip_row"},
+                "output_dataset": "ds_found",
+            }
+        ],
+    }
+    answered = product_responses(spark, sf).filter("product_id % 10 <> 3")
+    run = run_pipeline(spark, spec, tables={"lines": load(spark, sf, "lineitem")}, responses={"catalogue/detail": answered})
+    return run.errors["lookup"].select("product_id", "outcome", "err_msg")
+
+
 @golden(
     "condition_branch",
     """SELECT o_orderpriority AS bucket, count(*) AS n FROM orders GROUP BY 1""",

@@ -188,6 +188,7 @@ def run_pipeline(
     session: dict[str, Any] | None = None,
     tables: dict[str, DataFrame] | None = None,
     responses: dict[str, DataFrame] | None = None,
+    fetchers: dict[str, Callable] | None = None,
     functions: dict[str, Callable] | None = None,
     history_root: str | None = None,
     run_id: str | None = None,
@@ -199,6 +200,7 @@ def run_pipeline(
     ``materialize``.
 
     ``tables`` are given step tables, ``responses`` captured responses by endpoint,
+    ``fetchers`` functions that fetch responses by endpoint (``sources.fetching``),
     ``functions`` Python functions for ``python_script``. With ``audit`` each step's rows
     are counted as they pass, at the price of filters no longer moving between steps.
     """
@@ -213,6 +215,7 @@ def run_pipeline(
         inputs=_with_defaults(spec.inputs, inputs or {}),
         session=session,
         responses=responses,
+        fetchers=fetchers,
         functions=functions,
         history_root=history_root,
     )

@@ -24,6 +24,8 @@ NO_MESSAGE = "Unknown error"
 NO_RESPONSE = "no response"
 UNREADABLE_CODE = -1
 STRATEGIES = ("pause_for_manual", "skip_row", "continue", "fail")
+#: Strategies that look for an error before going on.
+LOOKS_FIRST = ("fail", "pause_for_manual")
 
 
 def _tag(df: DataFrame, delivered: Column, readable: Column, failed: Column, code: Column, message: Column) -> DataFrame:
@@ -108,7 +110,7 @@ def split_errors(tagged: DataFrame, strategy: str = "pause_for_manual") -> Split
     ok = tagged.filter(F.col("outcome") == "ok")
     errors = tagged.filter(F.col("outcome") != "ok")
     paused = False
-    if strategy in ("fail", "pause_for_manual"):
+    if strategy in LOOKS_FIRST:
         found = (
             errors.select("outcome", "err_code", "err_msg").orderBy(F.desc("outcome")).limit(1).collect()
         )  # a delivery failure sorts before a business error

@@ -130,6 +130,34 @@ def xml_dataset_rows(spark: SparkSession, sf: str) -> DataFrame:
     return envelope_rows(parsed, "ds_part", ["id", "name", "brand", "undeclared"], keep=["p_partkey"])
 
 
+@golden(
+    "xml_any_depth",
+    """SELECT s_suppkey, s_name AS message, v.dataset, CAST(v.n AS INTEGER) AS n_rows,
+              CASE v.dataset WHEN 'ds_top' THEN s_name WHEN 'ds_low' THEN CAST(s_nationkey AS VARCHAR) ELSE '<Dataset id="ds_none">' || s_suppkey END AS last
+       FROM supplier, (VALUES ('ds_top', 1), ('ds_mid', 2), ('ds_low', 1)) v(dataset, n)""",
+)
+def xml_any_depth(spark: SparkSession, sf: str) -> DataFrame:
+    """Datasets at three depths beside parameters of the root, with comments and CDATA that hold tags."""
+    bodies = load(spark, sf, "supplier").select(
+        "s_suppkey",
+        _xml(
+            '<Root><Parameters><Parameter id="ErrorMsg">',
+            _text("s_name"),
+            '</Parameter></Parameters><!-- <Dataset id="ds_none"/> --><Dataset id="ds_top"><Rows><Row>',
+            *_cell("v", "s_name"),
+            '</Row></Rows></Dataset><Body><Dataset id="ds_mid"><Rows><Row/><Row><Col id="v"><![CDATA[<Dataset id="ds_none">',
+            _text("s_suppkey"),
+            ']]></Col></Row></Rows></Dataset><Page><Part><Dataset id="ds_low"><Block><Rows><Row>',
+            *_cell("v", "s_nationkey"),
+            "</Row></Rows></Block></Dataset></Part></Page></Body></Root>",
+        ),
+    )
+    parsed = envelope_parameters(parse_xml_envelope(bodies))
+    sets = parsed.select("s_suppkey", F.try_element_at("parameters", F.lit("ErrorMsg")).alias("message"), F.explode("envelope.Dataset").alias("d"))
+    last = F.try_element_at(F.col("d.Rows.Row"), F.lit(-1)).getField("Col")
+    return sets.select("s_suppkey", "message", F.col("d._id").alias("dataset"), F.size("d.Rows.Row").alias("n_rows"), F.try_element_at(last, F.lit(-1)).getField("_VALUE").alias("last"))
+
+
 @golden(
     "xml_primary_dataset",
     """SELECT c_custkey, c_name AS name FROM customer""",

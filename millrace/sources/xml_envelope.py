@@ -7,6 +7,8 @@ Shape::
     Root / Dataset[@id] / Rows / Row / Col[@id]
 
 ``Parameters``, ``ColumnInfo`` and ``Rows`` may be repeated; their contents are one list.
+Any of these elements may stand deeper, below elements of other names: ``Parameter`` and
+``Dataset`` anywhere in the document, ``ColumnInfo`` and ``Rows`` anywhere in a dataset.
 
 Every value is text. An empty element is ``""``; an absent ``Col`` is NULL.
 """
@@ -38,37 +40,36 @@ ENVELOPE = "envelope"
 def parse_xml_envelope(df: DataFrame, body: str = "body", wrapper: Sequence[str] = ()) -> DataFrame:
     """Add column ``envelope``: ``struct<readable, Parameters, Dataset>``.
 
-    A malformed, empty or NULL body is not ``readable``, nor is one whose parameters and
-    datasets are all elsewhere. ``wrapper`` names elements between ``Root`` and the
-    parameters and datasets, outermost first.
+    Documents are parsed by the shape above. Where that finds fewer parameters, datasets
+    and rows than the text has tags for, they stand deeper: they are lifted out of what is
+    around them, in the order of the document, and parsed again. ``wrapper`` names elements
+    known to be around them, outermost first, which saves the second parse.
+
+    A malformed, empty or NULL body is not ``readable``, nor is one with a dataset inside
+    another.
     """
     content = f"Parameters: {_PARAMETERS}, Dataset: {_DATASETS}"
+    wrapped = content
     for element in reversed(wrapper):
-        content = f"{element}: struct<{content}>"
-    parsed = F.from_xml(
-        F.col(body),
-        f"struct<{content}, {_BAD}: string>",
-        {
-            "ignoreNamespace": "true",
-            "ignoreSurroundingSpaces": "false",
-            "mode": "PERMISSIVE",
-            "columnNameOfCorruptRecord": _BAD,
-        },
-    )
+        wrapped = f"{element}: struct<{wrapped}>"
     # Taking the parsed struct out of a one-element array makes it a row of its own, so
     # later filters and columns read it instead of parsing the body again.
-    once = df.select("*", F.explode(F.array(parsed)).alias("__xml"))
+    once = df.select("*", F.explode(F.array(_parsed(F.col(body), wrapped))).alias("__xml"))
     inside = F.col("__xml")
     for element in wrapper:
         inside = inside.getField(element)
-    parameters, datasets = inside.getField("Parameters"), inside.getField("Dataset")
-    elsewhere = parameters.isNull() & datasets.isNull() & F.col(body).rlike(r"<(\w+:)?(Dataset|Parameter)\b")
-    readable = F.col("__xml").isNotNull() & F.col("__xml").getField(_BAD).isNull() & ~elsewhere
+    parts = [inside.getField("Parameters"), inside.getField("Dataset")]
+    direct = F.struct(parts[0].alias("Parameters"), parts[1].alias("Dataset"), F.col("__xml").getField(_BAD).alias(_BAD))
+    sound = F.col("__xml").isNotNull() & F.col("__xml").getField(_BAD).isNull()
+    missed = sound & (F.regexp_count(F.col(body), F.lit(_TAGS)) > _found(*parts))
+    chosen = F.when(missed, _parsed(_lifted(F.col(body)), content)).when(sound, direct)
+    once = once.select("*", F.explode(F.array(chosen)).alias("__chosen"))
+    readable = F.col("__chosen").isNotNull() & F.col("__chosen").getField(_BAD).isNull()
     envelope = F.struct(
         readable.alias("readable"),
-        _joined(parameters, "Parameters", "Parameter"),
+        _joined(F.col("__chosen").getField("Parameters"), "Parameters", "Parameter"),
         F.transform(
-            datasets,
+            F.col("__chosen").getField("Dataset"),
             lambda d: F.struct(
                 d.getField("_id").alias("_id"),
                 _joined(d.getField("ColumnInfo"), "ColumnInfo", "Column"),
@@ -76,7 +77,71 @@ def parse_xml_envelope(df: DataFrame, body: str = "body", wrapper: Sequence[str]
             ),
         ).alias("Dataset"),
     )
-    return once.select("*", F.explode(F.array(envelope)).alias(ENVELOPE)).drop("__xml")
+    return once.select("*", F.explode(F.array(envelope)).alias(ENVELOPE)).drop("__xml", "__chosen")
+
+
+def _parsed(text: Column, content: str) -> Column:
+    return F.from_xml(
+        text,
+        f"struct<{content}, {_BAD}: string>",
+        {
+            "ignoreNamespace": "true",
+            "ignoreSurroundingSpaces": "false",
+            "mode": "PERMISSIVE",
+            "columnNameOfCorruptRecord": _BAD,
+        },
+    )
+
+
+_TAGS = r"<(?:[\w.-]+:)?(?:Dataset|Parameter|Row)[\s/>]"
+
+
+def _found(parameters: Column, datasets: Column) -> Column:
+    """How many parameters, datasets and rows have been parsed."""
+
+    def total(lists: Column, size: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.coalesce(lists, F.array()), F.lit(0), lambda n, x: n + size(x))
+
+    def length(items: Column) -> Column:
+        return F.coalesce(F.size(items), F.lit(0))
+
+    rows = total(datasets, lambda d: total(d.getField("Rows"), lambda r: length(r.getField("Row"))))
+    return length(datasets) + rows + total(parameters, lambda p: length(p.getField("Parameter")))
+
+
+def _element(name: str) -> Column:
+    """A pattern for a whole element that does not hold another of its name."""
+    prefix, attributes = r"(?:[\w.-]+:)?", r"""(?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*\s*"""
+    return F.lit(rf"(?s)<{prefix}{name}{attributes}(?:/>|>.*?</{prefix}{name}\s*>)")
+
+
+def _lifted(text: Column) -> Column:
+    """The document with its parameters and datasets directly below the root; NULL if one is inside another."""
+    # Comments go; what stands in CDATA becomes plain text, so tags in it are none.
+    text = F.regexp_replace(text, r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?-->|<\?.*?\?>", "$1")
+    parts = F.split(text, r"<!\[CDATA\[")
+
+    def plain(part: Column, at: Column) -> Column:
+        inner = F.substring_index(part, "]]>", 1)
+        escaped = F.replace(F.replace(F.replace(inner, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        return F.when(at == 0, part).otherwise(F.concat(escaped, F.substr(part, F.length(inner) + 4)))
+
+    text = F.array_join(F.transform(parts, plain), "")
+    # prefixes were declared further up
+    text = F.regexp_replace(text, r"<(/?)[\w.-]+:([\w.-]+)", "<$1$2")
+
+    def all_of(name: str, within: Column) -> Column:
+        return F.regexp_extract_all(within, _element(name), F.lit(0))
+
+    def dataset(d: Column) -> Column:
+        opening = F.regexp_extract(d, r"""^<Dataset(?:\s+[\w:.-]+\s*=\s*(?:"[^"]*"|'[^']*'))*""", 0)
+        inside = F.concat(all_of("ColumnInfo", d), all_of("Rows", d))
+        return F.concat(opening, F.lit(">"), F.array_join(inside, ""), F.lit("</Dataset>"))
+
+    parameters, datasets = all_of("Parameter", text), all_of("Dataset", text)
+    whole = F.size(parameters) + F.size(datasets) == F.regexp_count(text, F.lit(r"<(?:Dataset|Parameter)[\s/>]"))
+    listed = [F.array_join(parameters, ""), F.lit("</Parameters>"), F.array_join(F.transform(datasets, dataset), "")]
+    return F.when(whole, F.concat(F.lit("<Root><Parameters>"), *listed, F.lit("</Root>")))
 
 
 def _joined(blocks: Column, name: str, item: str) -> Column:

@@ -273,3 +273,36 @@ def test_workbook_files(spark, tmp_path):
     out = scan_spreadsheets(books, ["ma_sp", "unnamed_1", "active", "qty"]).orderBy("row_no").collect()
     assert [tuple(r)[2:] for r in out] == [("Rich text", None, "true", "12.5"), (None, None, None, "3")]
     assert set(scan_spreadsheets(books).first().cells) == {"ma_sp", "unnamed_1", "active", "qty"}
+
+
+DEEP = [
+    '<Root><Parameters><Parameter id="ErrorCode">0</Parameter></Parameters><Body><Dataset id="a"><Rows><Row><Col id="x">1</Col></Row></Rows></Dataset></Body></Root>',
+    """<n:Root xmlns:n="u" xmlns:o="v"><n:A><n:B><n:Dataset id="first" o:t="q>r"><n:ColumnInfo><n:Column id="x"/></n:ColumnInfo>
+    <n:W><n:Rows><n:Row><n:Col id="x"><![CDATA[<Dataset id="no">&amp;]]></n:Col><n:Col id="y">undeclared</n:Col></n:Row></n:Rows></n:W></n:Dataset>
+    <!-- <Dataset id="commented"/> --></n:B><n:Dataset id="second"/><n:Parameter id="p">v</n:Parameter></n:A>
+    <n:Dataset id="third"><n:Rows><n:Row><n:Col id="x"> 3 </n:Col></n:Row><n:Row/></n:Rows></n:Dataset></n:Root>""",
+    '<Root><Dataset id="a"><Dataset id="b"/></Dataset></Root>',
+    '<Root><A><Dataset id="a"></A></Root>',
+    '<Root><A><B><C><D><Dataset><Rows><Row><Col id="x">9</Col></Row></Rows></Dataset></D></C></B></A><Parameters><Parameter id="q"/></Parameters></Root>',
+    '<Root><!-- <Dataset id="commented"> --><Dataset id="a"><Rows><Row><Col id="x">7</Col></Row></Rows></Dataset></Root>',
+]
+
+
+def test_elements_at_any_depth(spark):
+    parsed = xe.envelope_parameters(xe.parse_xml_envelope(spark.createDataFrame(list(enumerate(DEEP)), "k int, body string")))
+    found = {r.k: r for r in parsed.select("k", "envelope.readable", "parameters", F.expr("envelope.Dataset._id").alias("ids")).collect()}
+    assert [found[k].readable for k in range(6)] == [True, True, False, False, True, True]
+    assert (found[0].ids, found[0].parameters) == (["a"], {"ErrorCode": "0"})
+    assert (found[1].ids, found[1].parameters) == (["first", "second", "third"], {"p": "v"})
+    assert (found[4].ids, found[4].parameters) == ([None], {"q": ""})
+    rows = lambda dataset: sorted((r.k, r.x) for r in xe.envelope_rows(parsed, dataset, ["x"], keep=["k"]).collect() if r.x is not None)
+    assert rows(None) == [(0, "1"), (1, '<Dataset id="no">&amp;'), (4, "9"), (5, "7")]
+    assert rows("third") == [(1, " 3 ")]
+    assert rows("commented") == rows("no") == []
+
+
+def test_known_wrapper_needs_no_second_parse(spark):
+    body = '<Root><A><Parameters><Parameter id="p">1</Parameter></Parameters><Dataset id="d"><Rows><Row><Col id="x">5</Col></Row></Rows></Dataset></A></Root>'
+    for wrapper in (["A"], [], ["B"]):
+        parsed = xe.parse_xml_envelope(spark.createDataFrame([(body,)], "body string"), wrapper=wrapper)
+        assert [r.x for r in xe.envelope_rows(parsed, "d", ["x"]).collect()] == ["5"]

@@ -22,17 +22,15 @@ from millrace.llm.bpe import _public, encoder, read_ranks
 from millrace.llm.shared import table
 
 
-def token_starts(ids: list[str], size: dict[str, int], data: np.ndarray) -> np.ndarray:
-    """The character, counted from 0, that holds each token's first byte."""
-    sizes = np.fromiter((size[i] for i in ids), np.int64, len(ids))
-    starts = np.cumsum(sizes) - sizes
-    return (np.cumsum((data & 0xC0) != 0x80) - 1)[starts]
+def characters(data: np.ndarray) -> np.ndarray:
+    """For each byte of a text, how many characters have begun up to it."""
+    return np.cumsum((data & 0xC0) != 0x80)
 
 
-def sections(text: str) -> np.ndarray:
+def sections(data: np.ndarray, begun: np.ndarray) -> np.ndarray:
     """The first character of each section."""
-    ends = np.array([i + 1 for i, c in enumerate(text) if c == "\n"] if "\n" in text else [], np.int64)
-    return np.r_[0, ends[ends < len(text)]].astype(np.int64)
+    ends = np.flatnonzero(data == 10)
+    return np.r_[0, begun[ends[ends + 1 < len(data)]]].astype(np.int64)
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -45,15 +43,19 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary.value, pattern)
-        size = {i: len(b) for i, b in e.vocabulary.items()}
+        size = np.zeros(1 + max(map(int, e.vocabulary)), np.int64)
+        for i, b in e.vocabulary.items():
+            size[int(i)] = len(b)
         names = ["doc_id", "section", "first_char", "n_chars", "n_tokens", "n_crossing"]
         for batch in batches:
             rows, parts = [], []
             for row, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
-                first = sections(text)
-                ids = e.encode(text).split(" ") if text else []
-                tokens = token_starts(ids, size, np.frombuffer(text.encode(), np.uint8))
+                data = np.frombuffer(text.encode(), np.uint8)
+                begun = characters(data)
+                first = sections(data, begun)
+                ends = np.cumsum(size[np.fromstring(e.encode(text), np.int64, sep=" ")])
+                tokens = begun[np.r_[0, ends[:-1]]] - 1 if len(ends) else ends
                 last = np.r_[tokens[1:], len(text)] - 1 if len(tokens) else tokens
                 home = np.searchsorted(first, tokens, side="right") - 1
                 crossing = np.searchsorted(first, np.maximum(last, tokens), side="right") - 1 > home

@@ -25,7 +25,7 @@ from millrace.llm.shared import cut, table, union
 
 #: Vectors of a shard, of a leaf and of a block of queries, about.
 SHARD, LEAF, BLOCK = 8192, 256, 256
-_HIT = "query_id long, vec_id long, score long"
+_HIT = "query_id long, vec_id long, score long, copies long"
 
 
 @dataclass
@@ -33,20 +33,21 @@ class Node:
     low: np.ndarray
     high: np.ndarray
     ids: np.ndarray | None = None
+    copies: np.ndarray | None = None
     vectors: np.ndarray | None = None
     left: Node | None = None
     right: Node | None = None
 
 
-def tree(ids: np.ndarray, vectors: np.ndarray) -> Node:
+def tree(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray) -> Node:
     node = Node(vectors.min(axis=0), vectors.max(axis=0))
     side = int(np.argmax(node.high - node.low)) if vectors.shape[1] else 0
     if len(ids) <= LEAF or not vectors.shape[1] or node.low[side] == node.high[side]:
-        node.ids, node.vectors = ids, vectors
+        node.ids, node.copies, node.vectors = ids, copies, vectors
         return node
     order = np.argsort(vectors[:, side], kind="stable")
     half = len(ids) // 2
-    node.left, node.right = (tree(ids[part], vectors[part]) for part in (order[:half], order[half:]))
+    node.left, node.right = (tree(ids[part], copies[part], vectors[part]) for part in (order[:half], order[half:]))
     return node
 
 
@@ -55,10 +56,10 @@ def bound(node: Node, up: np.ndarray, down: np.ndarray) -> int:
     return int(up @ node.high + down @ node.low)
 
 
-def search(root: Node, query_id: int, query: np.ndarray, k: int, least: int | None) -> list[tuple[int, int]]:
-    """The k best (score, -vec_id), less those that score below ``least``."""
+def search(root: Node, query_id: int, query: np.ndarray, k: int, least: int | None) -> list[tuple[int, int, int]]:
+    """The k best (score, -vec_id, copies), less those that score below ``least``."""
     up, down = np.maximum(query, 0), np.minimum(query, 0)
-    best: list[tuple[int, int]] = []  # a heap, the worst first
+    best: list[tuple[int, int, int]] = []  # a heap, the worst first
     queue, turn = [(-bound(root, up, down), 0, root)], 0
     while queue:
         top, _, node = heapq.heappop(queue)
@@ -76,7 +77,7 @@ def search(root: Node, query_id: int, query: np.ndarray, k: int, least: int | No
             good &= scores >= floor
         at = np.flatnonzero(good)
         at = at[np.lexsort((node.ids[at], -scores[at]))[:k]]
-        for hit in zip(scores[at].tolist(), (-node.ids[at]).tolist(), strict=True):
+        for hit in zip(scores[at].tolist(), (-node.ids[at]).tolist(), node.copies[at].tolist(), strict=True):
             if len(best) < k:
                 heapq.heappush(best, hit)
             elif hit > best[0]:
@@ -95,48 +96,51 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best rows for each id divisible by ``every``.
 
     Ties go to the smaller vec_id. A row whose id equals the query's is its own and no
-    candidate; queries repeated under one id and vector are asked once. Fewer candidates
-    give fewer rows.
+    candidate. Repeated rows are candidates as often as they come: they are searched once,
+    with their number, and repeated before the rank is cut; a repeated query counts each
+    of its pairs as often. Fewer candidates give fewer rows, an empty table none. Other
+    columns are ignored.
     """
-    rows = cut(whole_vectors(vectors).distinct())
+    rows = cut(whole_vectors(vectors).groupBy("vec_id", "vector").agg(F.count("*").alias("copies")))
     count, length = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     shards = max(1, -(-count // SHARD))
     queries = rows.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-queries.count() // BLOCK))
-    packed = F.collect_list(F.struct("vec_id", "vector"))
+    packed = F.collect_list(F.struct("vec_id", "vector", "copies"))
     shard_rows = rows.groupBy(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard")).agg(packed.alias("rows"))
     block_rows = queries.groupBy(F.pmod(F.xxhash64("vector", "vec_id"), F.lit(blocks)).alias("block")).agg(packed.alias("rows"))
 
-    def matrix(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    def matrix(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = cell.values.field("vec_id").to_numpy()
         lists = cell.values.field("vector")
         sizes = np.diff(lists.offsets.to_numpy())
         out = np.zeros((len(ids), length), np.int64)
         out[np.repeat(np.arange(len(ids)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy()
-        return ids, out
+        return ids, cell.values.field("copies").to_numpy(), out
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (shard's rows, block's rows, kth scores so far)."""
         for batch in batches:
             for cell, block, so_far in zip(*(batch.column(i) for i in range(3)), strict=True):
                 root = tree(*matrix(cell))
-                ids, asked = matrix(block)
+                ids, times, asked = matrix(block)
                 kth = dict(so_far.as_py() or [])
-                hits = [(i, -v, s) for i, q in zip(ids.tolist(), asked, strict=True) for s, v in search(root, i, q, k, kth.get(i))]
-                yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
+                hits = [(i, -v, s, n * m) for i, n, q in zip(ids.tolist(), times.tolist(), asked, strict=True) for s, v, m in search(root, i, q, k, kth.get(i))]
+                yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], pa.int64()) for c in range(4)], ["query_id", "vec_id", "score", "copies"])
 
     home = F.pmod(F.col("block"), F.lit(shards))
     asked = block_rows.select("block", F.col("rows").alias("asked"))
     none = F.lit(None).cast("map<long,long>")
     first = asked.withColumn("shard", home).join(shard_rows, "shard").select("rows", "asked", none.alias("kth")).mapInArrow(ask, _HIT)
+    repeated = F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k))))
     first = cut(first)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score")
+    kth = first.withColumn("copy", repeated).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score")
     of_block = queries.select(F.col("vec_id").alias("query_id"), F.pmod(F.xxhash64("vector", "vec_id"), F.lit(blocks)).alias("block")).join(kth, "query_id")
     of_block = of_block.groupBy("block").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("query_id", "score")))).alias("kth"))
     others = asked.join(of_block, "block", "left").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).where(F.col("shard") != home)
     rest = others.join(shard_rows, "shard").select("rows", "asked", "kth").mapInArrow(ask, _HIT)
-    best = union([first, rest]).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = union([first, rest]).withColumn("copy", repeated).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
 
 

@@ -11,6 +11,8 @@ left, documents are ranked by random odds over inclusion odds, u/(1-u) / (p/(1-p
 the sample of fixed size, in words, is the head of that order; the document at its edge
 is taken or not, whichever ends nearer to the target, and then one more document is
 taken or left out if that brings the sum nearer still. Only whole documents are taken.
+Equal rows share a rank and are counted together; of those at the edge as many are taken
+as come nearest.
 
 The order is cut by counting words in ever finer stretches of the rank, so no source is
 sorted in one task. Random numbers are hashes of the id and text, so reruns agree.
@@ -95,7 +97,9 @@ def mix(docs: DataFrame, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
     """Rows (row, size, source_size, target, taken): each row of ``docs`` whole, as a struct.
 
     ``docs`` has doc_id, text and source. NULL or empty text has size 0 and is never taken.
-    Equal rows take part one by one, equal in rank. ``copies`` is taken / size.
+    Equal rows (doc_id, text and source) are documents of their own; where some of them
+    are taken and some not, they are numbered by input partition. An empty table gives an
+    empty one.
     """
     random = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.md5("text"), F.lit("-"))))
     rows = docs.select(
@@ -107,9 +111,10 @@ def mix(docs: DataFrame, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
         F.pmod(F.conv(F.substring(random, 20, 8), 16, 10).cast("long"), F.lit(SALTS)).cast("int").alias("salt"),
         F.conv(F.substring(random, 14, 13), 16, 10).cast("long").alias("tie"),
     )
-    light = cut(rows.select("missing", "source", "size", "draw", "tie", "salt", F.length(F.bin("size")).alias("class")))
-    goal = cut(targets(light.select(F.when(~F.col("missing"), F.col("source")).alias("source"), "size"), share, limit))
-    held = light.where("size > 0").groupBy("missing", "source", "class").agg(F.sum("size").alias("held"))
+    light = rows.groupBy("missing", "source", "size", "draw", "tie", "salt").agg(F.count("*").alias("n"))
+    light = cut(light.withColumn("class", F.length(F.bin("size"))).withColumn("all", F.col("size") * F.col("n")))
+    goal = cut(targets(light.select(F.when(~F.col("missing"), F.col("source")).alias("source"), F.col("all").alias("size")), share, limit))
+    held = light.where("size > 0").groupBy("missing", "source", "class").agg(F.sum("all").alias("held"))
     figures = goal.join(_levels(held.join(goal, ["missing", "source"]), limit), ["missing", "source"], "left")
 
     def planned(df: DataFrame) -> DataFrame:
@@ -122,15 +127,15 @@ def mix(docs: DataFrame, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
             "rank", F.when((F.col("size") > 0) & (p > 0), F.floor(odds / (1 + odds) * (1 << 48)).cast("long"))
         )
 
-    plan = cut(planned(_with(light, figures)).select("missing", "source", "size", "sure", "rank", "tie", "salt", "target"))
-    state = plan.groupBy("missing", "source").agg(F.first("target").alias("target"), F.sum(F.col("sure") * F.col("size")).alias("sure_words"))
+    plan = cut(planned(_with(light, figures)).select("missing", "source", "size", "n", "all", "sure", "rank", "tie", "salt", "target"))
+    state = plan.groupBy("missing", "source").agg(F.first("target").alias("target"), F.sum(F.col("sure") * F.col("all")).alias("sure_words"))
     state = cut(state.select("missing", "source", (F.col("target") - F.col("sure_words")).alias("left"), F.lit(0).cast("long").alias("low")))
     step = STRETCHES
     for turn in range(3):
         # words of each stretch between the borders; the one in which the target lies goes on
         size = (1 << 48) // step ** (turn + 1)
         inside = _with(plan.where("rank IS NOT NULL"), state).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.lit(size * step)))
-        words = inside.groupBy("missing", "source", F.floor((F.col("rank") - F.col("low")) / size).alias("at")).agg(F.sum("size").alias("held"))
+        words = inside.groupBy("missing", "source", F.floor((F.col("rank") - F.col("low")) / size).alias("at")).agg(F.sum("all").alias("held"))
         upto = F.sum("held").over(Window.partitionBy("missing", "source").orderBy("at"))
         edge = (
             words.withColumn("upto", upto)
@@ -149,35 +154,64 @@ def mix(docs: DataFrame, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
             )
         )
     last = (1 << 48) // step**3
-    # the few rows of the last stretch, in order; then the row that closes best
+    # the few rows of the last stretch, in order; the first to reach the target is the edge
     few = _with(plan.where("rank IS NOT NULL"), state).where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + last))
     order = Window.partitionBy("missing", "source").orderBy("rank", "tie", "size")
-    edge = few.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("2 * upto - size <= 2 * left")
-    edge = edge.groupBy("missing", "source").agg(F.max("upto").alias("upto"), F.max(F.struct("rank", "tie", "size")).alias("edge"))
+    row = F.struct("rank", "tie", "size")
+    reached = few.withColumn("upto", F.sum("all").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("missing", "source").agg(
+        F.max("upto").alias("upto"),
+        F.min(F.when(F.col("upto") >= F.col("left"), F.struct("rank", "tie", "size", "n", (F.col("upto") - F.col("all")).alias("before")))).alias("edge"),
+    )
+    some = F.greatest(F.lit(0), F.least(F.col("edge.n"), F.round((F.col("left") - F.col("edge.before")) / F.col("edge.size")).cast("long")))
+    # where nothing reaches the target the whole stretch is taken
     state = cut(
-        state.join(edge, ["missing", "source"], "left").select(
-            "missing", "source", "low", (F.col("left") - F.coalesce("upto", F.lit(0))).alias("left"), F.col("edge.rank").alias("e_rank"), F.col("edge.tie").alias("e_tie"), F.col("edge.size").alias("e_size")
+        state.join(reached, ["missing", "source"], "left").withColumn("m", some).select(
+            "missing", "source", "low",
+            (F.col("left") - F.coalesce(F.col("edge.before") + F.col("m") * F.col("edge.size"), "upto", F.lit(0))).alias("left"),
+            F.struct("edge.rank", "edge.tie", "edge.size").alias("edge"), F.col("edge").isNull().alias("whole"), F.col("edge.n").alias("e_n"), "m",
         )
-    )
-    taken = (F.col("rank") < F.col("low")) | (
-        (F.col("rank") >= F.col("low")) & F.coalesce(F.struct("rank", "tie", "size") <= F.struct(F.col("e_rank").alias("rank"), F.col("e_tie").alias("tie"), F.col("e_size").alias("size")), F.lit(False))
-    )
-    taken = F.coalesce(taken & F.col("rank").isNotNull(), F.lit(False))
-    change = F.when(taken, -F.col("size")).otherwise(F.col("size"))
+    )
+    at_edge = F.coalesce(row == F.col("edge"), F.lit(False)) & ~F.col("whole")
+    full = F.coalesce((F.col("rank") < F.col("low")) | ((F.col("rank") < F.col("low") + last) & (F.col("whole") | (row < F.col("edge")))), F.lit(False))
+    # one document more, or one less, if that comes nearer
+    taken = F.when(full, F.col("n")).when(at_edge, F.col("m")).otherwise(0)
+    more = F.when(taken < F.col("n"), F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), F.lit(1).alias("by")))
+    less = F.when(taken > 0, F.struct(F.abs(F.col("left") + F.col("size")).alias("off"), F.lit(-1).alias("by")))
     closing = (
         _with(plan.where("rank IS NOT NULL"), state)
-        .withColumn("off", F.abs(F.col("left") - change))
-        .where(F.col("off") < F.abs("left"))
+        .withColumn("best", F.least(more, less))
+        .where(F.col("best.off") < F.abs("left"))
         .groupBy("missing", "source")
-        .agg(F.min(F.struct("off", "rank", "tie", "size")).alias("c"))
+        .agg(F.min(F.struct("best.off", "rank", "tie", "size", "n", (taken + F.col("best.by")).alias("quota"))).alias("c"))
     )
     state = state.join(closing, ["missing", "source"], "left").select(
-        "missing", "source", "low", "e_rank", "e_tie", "e_size", F.col("c.rank").alias("c_rank"), F.col("c.tie").alias("c_tie"), F.col("c.size").alias("c_size")
+        "missing", "source", "low", "edge", "whole", "e_n", "m", F.struct("c.rank", "c.tie", "c.size").alias("closing"), F.col("c.n").alias("c_n"), F.col("c.quota").alias("c_quota")
     )
     state = cut(figures.join(state, ["missing", "source"]))
-    closes = F.coalesce((F.col("rank") == F.col("c_rank")) & (F.col("tie") == F.col("c_tie")) & (F.col("size") == F.col("c_size")), F.lit(False))
-    copies = F.col("sure") + (taken != closes).cast("long")
-    return planned(_with(rows, state)).select("row", "size", F.col("words").alias("source_size"), "target", (copies * F.col("size")).cast("long").alias("taken"))
+    closes = F.coalesce(row == F.col("closing"), F.lit(False)) & F.col("c_n").isNotNull()
+    n = F.when(closes, F.col("c_n")).when(at_edge, F.col("e_n")).otherwise(1)
+    quota = F.when(closes, F.col("c_quota")).when(at_edge, F.col("m")).otherwise(full.cast("long"))
+    out = planned(_with(rows, state)).withColumn("n", n).withColumn("quota", quota)
+
+    def finished(df: DataFrame, chosen: Column) -> DataFrame:
+        copies = F.col("sure") + chosen.cast("long")
+        return df.select("row", "size", F.col("words").alias("source_size"), "target", (copies * F.col("size")).cast("long").alias("taken"))
+
+    parted = F.coalesce(((F.col("c_quota") > 0) & (F.col("c_quota") < F.col("c_n"))) | ((F.col("m") > 0) & (F.col("m") < F.col("e_n"))), F.lit(False))
+    if state.where(parted).isEmpty():
+        return finished(out, F.col("quota") > 0)
+    split = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
+    equal = _numbered(out.where(split), ["missing", "source", "rank", "tie", "size"])
+    return finished(out.where(~split), F.col("quota") > 0).unionByName(finished(equal, F.col("number") <= F.col("quota")))
+
+
+def _numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``number``, from 1 among those of equal ``keys``: partition after partition, so none gathers them."""
+    parts = cut(rows.withColumn("part", F.spark_partition_id()))
+    sizes = parts.groupBy(*keys, "part").agg(F.count("*").alias("held"))
+    before = sizes.withColumn("before", F.sum("held").over(Window.partitionBy(*keys).orderBy("part")) - F.col("held")).drop("held")
+    inner = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(F.lit(0)))
+    return parts.withColumn("inner", inner).join(before, [*keys, "part"]).withColumn("number", F.col("before") + F.col("inner")).drop("inner", "before", "part")
 
 
 def op7(spark, sf_dir) -> DataFrame:

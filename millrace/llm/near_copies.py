@@ -6,8 +6,9 @@ is one row per document with the smallest id reachable over links.
 
 1. Every document becomes a set of hashed shingles, named by a hash of the set, so copies
    are one set from here on.
-2. Each shingle is sent once to a task that tells whether another set has it too. A set
-   of which fewer than ``percent`` hundredths are shared can have no link and leaves.
+2. Each shingle is sent once to a task that tells whether another set has it too, and
+   answers one row to each bucket of sets. A set of which fewer than ``percent`` hundredths
+   are shared can have no link and leaves.
 3. Similar sets are partitioned into groups: three times, sets with the same least shingle
    under another hash are compared to one of them, the centre. Connected sets form a group.
    Sets that are still alone are grouped by their least shingle.
@@ -39,21 +40,20 @@ SLICE = 1 << 14
 BLOCK = 64
 
 
-def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, set names, set sizes, distinct shingles, their rows) by block."""
-    for a, b, data, offsets in tb.blocks(texts):
-        data = tb.lower(data)
-        w = tb.words(data, offsets)
-        token, row = tb.shingles(tb.word_hashes(data, w), w, size)
-        order = np.lexsort((token, row))
-        token, row = token[order], row[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
-        token, row = token[new], row[new]
-        n = np.bincount(row, minlength=b - a)
-        name = np.zeros(b - a, np.uint64)
-        np.add.at(name, row, tb.mix(token + np.uint64(1)))
-        yield a, b, tb.mix(name + n.astype(np.uint64)), n, token, row
+def _set_names(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set names, set sizes, distinct shingles, their rows) of the texts in ``data``."""
+    data = tb.lower(data)
+    w = tb.words(data, offsets)
+    token, row = tb.shingles(tb.word_hashes(data, w), w, size)
+    order = np.lexsort((token, row))
+    token, row = token[order], row[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
+    token, row = token[new], row[new]
+    n = np.bincount(row, minlength=len(offsets) - 1)
+    name = np.zeros(len(offsets) - 1, np.uint64)
+    np.add.at(name, row, tb.mix(token + np.uint64(1)))
+    return tb.mix(name + n.astype(np.uint64)), n, token, row
 
 
 def _pieces(key: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -70,7 +70,8 @@ def shingle_sets(docs: DataFrame, size: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            for a, b, name, n, _, _ in _sets(batch.column(1), size):
+            for a, b, data, offsets in tb.blocks(batch.column(1)):
+                name, n, _, _ = _set_names(data, offsets, size)
                 ids = batch.column(0).slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(name.view(np.int64))], ["doc_id", "n_shingles", "set_id"])
 
@@ -81,38 +82,37 @@ _PACKED = "p int, sets binary, sizes binary, counts binary, tokens binary"
 
 
 def _shared_tokens(docs: DataFrame, size: int, ways: int) -> DataFrame:
-    """(set_id, n, tokens): a set's shingles that another set has too, over several rows.
+    """(bucket, sets, sizes, counts, tokens): the shingles of a bucket's sets that another set has too, over several rows.
+
+    Sets are dealt into ``ways`` buckets by name. Whoever counts a part of the shingles
+    answers one row to each bucket, however many sets it has.
 
     A block of documents sends each shingle once. Those that several of its own sets have
     need no answer: they go on with a part number of ``ways`` or more, so a shingle that
     every document has is at most one entry a block where shingles are counted.
     """
 
-    def pack(p: np.ndarray, of: np.ndarray, token: np.ndarray, name: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((of, p))
-        p, of, token = p[order], of[order], token[order]
-        rows = []
-        for part, at in _pieces(p):
-            runs = list(_pieces(of[at]))
-            who = np.array([k for k, _ in runs])
-            known = who < 0
-            rows.append(
-                (
-                    part,
-                    np.where(known, 0, name[who]).astype(np.uint64).tobytes(),
-                    np.where(known, 0, n[who]).astype(np.int32).tobytes(),
-                    np.array([r.stop - r.start for _, r in runs], np.int32).tobytes(),
-                    token[at].tobytes(),
-                )
-            )
-        if rows:
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["p", "sets", "sizes", "counts", "tokens"])
+    def packed(key: np.ndarray, of: np.ndarray, n: np.ndarray, token: np.ndarray, name: str) -> pa.RecordBatch:
+        """A row for each key, from rows sorted by key and set: each set once, with the number of its shingles."""
+        run = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])]) if len(key) else np.empty(0, np.int64)
+        counts = np.diff(np.r_[run, len(key)]).astype(np.int32)
+        keys, start = np.unique(key, return_index=True)
+        ends = np.r_[start[1:], len(key)] if len(key) else start
+        lo, hi = np.searchsorted(run, start), np.searchsorted(run, ends)
+        columns = [
+            pa.array(keys.astype(np.int32)),
+            pa.array([of[run[a:b]].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
+            pa.array([n[run[a:b]].astype(np.int32).tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
+            pa.array([counts[a:b].tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
+            pa.array([token[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [name, "sets", "sizes", "counts", "tokens"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            for _, _, name, n, token, row in _sets(batch.column(0), size):
+            for _, _, data, offsets in tb.blocks(batch.column(0)):
+                name, n, token, row = _set_names(data, offsets, size)
                 _, once = np.unique(name, return_index=True)
                 keep = np.zeros(len(name), bool)
                 keep[once] = True
@@ -126,8 +126,11 @@ def _shared_tokens(docs: DataFrame, size: int, ways: int) -> DataFrame:
                 part = ((token >> np.uint64(40)) % np.uint64(ways)).astype(np.int64)
                 mark = starts[times > 1]
                 p = np.r_[part[~many], part[mark], ways + (name[row[many]] % np.uint64(ways)).astype(np.int64)]
-                of = np.r_[row[~many], np.full(len(mark), -1), row[many]]
-                yield from pack(p, of, np.r_[token[~many], token[mark], token[many]], name, n)
+                of = np.r_[name[row[~many]], np.zeros(len(mark), np.uint64), name[row[many]]]
+                sizes = np.r_[n[row[~many]], np.zeros(len(mark), np.int64), n[row[many]]]
+                token = np.r_[token[~many], token[mark], token[many]]
+                order = np.lexsort((token, of, p))
+                yield packed(p[order], of[order], sizes[order], token[order], "p")
 
     def answer(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         sets, sizes, counts, tokens = (
@@ -147,20 +150,12 @@ def _shared_tokens(docs: DataFrame, size: int, ways: int) -> DataFrame:
             keep = shared & (of != 0)
             keep[1:] &= ~(same & (of[1:] == of[:-1]))
             tokens, of, n = tokens[keep], of[keep], n[keep]
-        order = np.argsort(of, kind="stable")
-        tokens, of, n = tokens[order], of[order], n[order]
-        runs = [at for _, at in _pieces(of)]
-        start = [at.start for at in runs]
-        return pa.table(
-            {
-                "set_id": pa.array(of[start].view(np.int64)),
-                "n": pa.array(n[start].astype(np.int64)),
-                "tokens": pa.array([tokens[at].tobytes() for at in runs], pa.binary()),
-            }
-        )
+        bucket = (of % np.uint64(ways)).astype(np.int64)
+        order = np.lexsort((tokens, of, bucket))
+        return pa.Table.from_batches([packed(bucket[order], of[order], n[order], tokens[order], "bucket")])
 
     sent = docs.select(F.col("text").cast("string")).mapInArrow(send, _PACKED)
-    return sent.groupBy("p").applyInArrow(answer, "set_id long, n long, tokens binary")
+    return sent.groupBy("p").applyInArrow(answer, _PACKED.replace("p int", "bucket int"))
 
 
 def _similar(x: np.ndarray, nx: int, y: np.ndarray, ny: int, percent: int) -> bool:
@@ -173,22 +168,33 @@ def _tokens(blob: bytes) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(set_id, n, tokens): sets that share enough shingles with others to have a link."""
+    """(set_id, n, tokens, least): sets that share enough shingles with others to have a link."""
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, n, parts = (batch.column(i).to_pylist() for i in range(3))
-            rows = [(i, m, np.unique(np.concatenate([_tokens(b) for b in p]))) for i, m, p in zip(ids, n, parts, strict=True)]
-            rows = [(i, m, t) for i, m, t in rows if 100 * len(t) >= percent * m]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([int(r[2][0].view(np.int64)) for r in rows], pa.int64())],
-                ["set_id", "n", "tokens", "least"],
-            )
+    def gather(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        sets, sizes, counts, tokens = (
+            np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("sets", np.uint64), ("sizes", np.int32), ("counts", np.int32), ("tokens", np.uint64))
+        )
+        of, n = np.repeat(sets, counts), np.repeat(sizes, counts)
+        order = np.lexsort((tokens, of))
+        of, n, tokens = of[order], n[order], tokens[order]
+        # a set that several blocks hold comes from each of them
+        new = np.r_[True, (of[1:] != of[:-1]) | (tokens[1:] != tokens[:-1])] if len(of) else np.empty(0, bool)
+        of, n, tokens = of[new], n[new].astype(np.int64), tokens[new]
+        start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+        ends = np.r_[start[1:], len(of)] if len(of) else start
+        enough = 100 * (ends - start) >= percent * n[start]
+        start, ends = start[enough], ends[enough]
+        return pa.table(
+            {
+                "set_id": pa.array(of[start].view(np.int64)),
+                "n": pa.array(n[start]),
+                "tokens": pa.array([tokens[a:b].tobytes() for a, b in zip(start, ends, strict=True)], pa.binary()),
+                "least": pa.array(tokens[start].view(np.int64)),
+            }
+        )
 
-    ways = width(docs.sparkSession)
-    found = _shared_tokens(docs, size, ways).groupBy("set_id").agg(F.first("n").alias("n"), F.collect_list("tokens").alias("parts"), F.sum(F.octet_length("tokens")).alias("bytes"))
-    found = found.where(F.lit(100) * F.col("bytes") >= F.lit(8 * percent) * F.col("n"))
-    return cut(found.select("set_id", "n", "parts").mapInArrow(gather, "set_id long, n long, tokens binary, least long"))
+    shared = _shared_tokens(docs, size, width(docs.sparkSession))
+    return cut(shared.groupBy("bucket").applyInArrow(gather, "set_id long, n long, tokens binary, least long"))
 
 
 def _centre_links(sets: DataFrame, turn: int, percent: int) -> DataFrame:
@@ -349,7 +355,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that agree in doc_id and text are one document. Texts without words are linked
     with nothing and stay.
     """
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "text"))
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), F.struct("*").alias("_all"))
+    classes = jaccard_classes(rows.select(F.col("_row").alias("doc_id"), "_all.text"))
     kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select("_all.*")

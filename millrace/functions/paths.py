@@ -86,16 +86,3 @@ def _step(column: Column, dtype: T.DataType, part: str) -> tuple[Column, T.DataT
                 T.ArrayType(inner.valueType),
             )
     return F.lit(None), T.NullType()
-
-
-def json_path(column: Column | str, path: str) -> Column:
-    """First match of a JSONPath in JSON text; no match, JSON null or a bad path give NULL."""
-    column = F.col(column) if isinstance(column, str) else column
-    first, *rest = path.split("[*]")
-    if not rest:
-        return F.get_json_object(column, path)
-    found = F.try_variant_get(F.try_parse_json(column), first, "array<variant>")
-    for part in rest[:-1]:
-        found = F.flatten(F.transform(found, lambda x, part=part: F.coalesce(F.try_variant_get(x, f"${part}", "array<variant>"), F.array().cast("array<variant>"))))
-    texts = F.transform(found, lambda x: F.try_variant_get(x, f"${rest[-1]}", "string"))
-    return F.get(F.filter(texts, lambda x: x.isNotNull()), F.lit(0))

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.paths import json_path, nested_column
+from millrace.functions.json_paths import json_matches, json_path
+from millrace.functions.paths import nested_column
 from millrace.golden.catalog import context, fresh_folder, golden, load
 from millrace.golden.enveloped import _PRODUCT_COLUMNS, product_responses
 from millrace.operators.sql import sql_transform
@@ -578,6 +579,38 @@ def json_paths(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@golden(
+    "json_path_full",
+    """WITH o AS (SELECT l_orderkey, list_sort(list({'n': l_linenumber, 'part': l_partkey, 'qty': l_quantity})) AS lines FROM lineitem GROUP BY 1)
+       SELECT l_orderkey, array_to_string([l.part FOR l IN lines IF l.qty > 25], '|') AS filtered,
+              array_to_string([l.part FOR l IN lines IF l.qty > 10 AND l.qty <= 40 AND l.n != 2], '|') AS both,
+              array_to_string([l.n FOR l IN lines[2:3]], '|') AS sliced, array_to_string([l.n FOR l IN lines[-2:]], '|') AS tail,
+              array_to_string([l.n FOR l IN list_concat(lines[1:1], lines[3:3])], '|') AS united,
+              lines[-1].part::VARCHAR AS last, array_to_string([l.part FOR l IN list_concat(lines[1:1], lines)], '|') AS everywhere,
+              array_to_string([l.part FOR l IN lines], '|') AS members, NULL::VARCHAR AS bad
+       FROM o""",
+)
+def json_path_full(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters, slices, unions and descent over a document for every order."""
+    lines = load(spark, sf, "lineitem").select(
+        "l_orderkey", F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty")).alias("line")
+    )
+    listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    head = F.struct(F.struct(F.get("lines", F.lit(0)).getField("part").alias("part")).alias("line")).alias("head")
+    docs = listed.select("l_orderkey", F.to_json(F.struct(head, "lines")).alias("doc"))
+    joined = {
+        "filtered": "$.lines[?(@.qty > 25)].part",
+        "both": "$.lines[?(@.qty > 10 & @.qty <= 40 & @.n != 2)].part",
+        "sliced": "$.lines[1:3].n",
+        "tail": "$.lines[-2:].n",
+        "united": "$.lines[0,2].n",
+        "everywhere": "$..part",
+        "members": "$['lines'][*]['part']",
+    }
+    found = [F.array_join(json_matches("doc", path), "|").alias(name) for name, path in joined.items()]
+    return docs.select("l_orderkey", *found, json_path("doc", "$.lines[-1].part").alias("last"), json_path("doc", "$.lines[?").alias("bad"))
+
+
 # -- streaming ---------------------------------------------------------------------------
 
 

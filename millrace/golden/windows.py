@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.golden.catalog import golden, load
+from millrace.plans.interval_joins import inequality_join, overlap_join
 from millrace.plans.ordered import (
     asof_join,
     first_value,
@@ -99,3 +100,39 @@ def asof(spark: SparkSession, sf: str) -> DataFrame:
         "bought_at",
         ["purchase_id", "purchase_value"],
     ).drop("ts")
+
+
+@golden(
+    "sql_overlap_join",
+    """WITH spans AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, min(epoch_us(o_orderdate)) AS lo, max(epoch_us(o_orderdate)) AS hi FROM orders GROUP BY 1
+                      UNION ALL SELECT 'all', min(epoch_us(o_orderdate)), max(epoch_us(o_orderdate)) FROM orders),
+            stays AS (SELECT l_quantity, epoch_us(l_shipdate) AS lo, epoch_us(l_shipdate) + CAST(l_quantity AS BIGINT) * 86400000000 AS hi FROM lineitem)
+       SELECT month, count(*) AS n_lines, CAST(sum(l_quantity) AS DOUBLE) AS quantity
+       FROM spans JOIN stays ON spans.lo <= stays.hi AND stays.lo <= spans.hi GROUP BY 1""",
+)
+def sql_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines in store for a day per piece, against months of orders and one span over all of them."""
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    orders = load(spark, sf, "orders")
+    ends = [F.min(at).alias("lo"), F.max(at).alias("hi")]
+    spans = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(*ends)
+    spans = spans.unionByName(orders.agg(*ends).withColumn("month", F.lit("all")))
+    shipped = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    stays = load(spark, sf, "lineitem").select(
+        "l_quantity", shipped.alias("lo"), (shipped + F.col("l_quantity").cast("bigint") * 86_400_000_000).alias("hi")
+    )
+    pairs = overlap_join(spans, stays, ("lo", "hi"), ("lo", "hi"))
+    return pairs.groupBy("left.month").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("right.l_quantity").alias("quantity"))
+
+
+@golden(
+    "sql_inequality_join",
+    """SELECT s_suppkey, count(*) AS n_richer, max(c_custkey) AS last_customer
+       FROM supplier JOIN customer ON s_acctbal < c_acctbal AND s_nationkey <> c_nationkey GROUP BY 1""",
+)
+def sql_inequality_join(spark: SparkSession, sf: str) -> DataFrame:
+    """For each supplier the customers of other nations with a higher balance."""
+    suppliers = load(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
+    customers = load(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
+    pairs = inequality_join(suppliers, customers, ("s_acctbal", "<", "c_acctbal")).filter("left.s_nationkey <> right.c_nationkey")
+    return pairs.groupBy("left.s_suppkey").agg(F.count(F.lit(1)).alias("n_richer"), F.max("right.c_custkey").alias("last_customer"))

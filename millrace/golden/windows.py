@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.golden.catalog import golden, load
+from millrace.plans.closure import reachable
+from millrace.plans.frames import row_frames
 from millrace.plans.interval_joins import inequality_join, overlap_join
 from millrace.plans.ordered import (
     asof_join,
@@ -136,3 +138,43 @@ def sql_inequality_join(spark: SparkSession, sf: str) -> DataFrame:
     customers = load(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
     pairs = inequality_join(suppliers, customers, ("s_acctbal", "<", "c_acctbal")).filter("left.s_nationkey <> right.c_nationkey")
     return pairs.groupBy("left.s_suppkey").agg(F.count(F.lit(1)).alias("n_richer"), F.max("right.c_custkey").alias("last_customer"))
+
+
+@golden(
+    "sql_row_frames",
+    """SELECT event_id, event_type, CAST(sum(cents) OVER w AS BIGINT) AS sum_cents, count(*) OVER w AS n, first_value(event_id) OVER w AS first_event
+       FROM (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM events)
+       WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 5 FOLLOWING)""",
+)
+def sql_row_frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames of rows over five types that hold all events."""
+    events = load(spark, sf, "events").select("event_id", "event_type", "ts", F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    outputs = {"sum_cents": F.sum("cents"), "n": F.count(F.lit(1)), "first_event": F.first("event_id")}
+    return row_frames(events, ["event_type"], ["ts", "event_id"], outputs, 20, 5).drop("ts", "cents")
+
+
+@golden(
+    "sql_sliding_extremes",
+    """SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_quantity, min(l_extendedprice) OVER w AS low, max(l_extendedprice) OVER w AS high
+       FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity ROWS 99 PRECEDING)""",
+)
+def sql_sliding_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    """Least and greatest price of the last hundred lines; one flag holds a third of them."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
+    lines = load(spark, sf, "lineitem").select("l_returnflag", *order, "l_extendedprice")
+    outputs = {"low": F.min("l_extendedprice"), "high": F.max("l_extendedprice")}
+    return row_frames(lines, ["l_returnflag"], order, outputs, 99).drop("l_shipdate", "l_extendedprice")
+
+
+@golden(
+    "sql_recursive_closure",
+    """WITH RECURSIVE edges AS (SELECT c_custkey AS a, lead(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS b FROM customer),
+            paths AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT p.a, e.b FROM paths p JOIN edges e ON p.b = e.a WHERE e.b IS NOT NULL)
+       SELECT a AS c_custkey, count(*) AS n_later, max(b) AS last_customer FROM paths GROUP BY 1""",
+)
+def sql_recursive_closure(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in chains by segment, hundreds long: how many come after each, and the last."""
+    customers = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    edges = with_measures(customers, ["c_mktsegment"], ["c_custkey"], {"next": lead("c_custkey")})
+    paths = reachable(edges, "c_custkey", "next")
+    return paths.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_later"), F.max("next").alias("last_customer"))

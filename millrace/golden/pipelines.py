@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.errors import MissingTable
 from millrace.functions.json_paths import json_matches, json_path
 from millrace.functions.paths import nested_column
 from millrace.golden.catalog import context, fresh_folder, golden, load
@@ -198,18 +199,41 @@ def pipeline_flagship(spark: SparkSession, sf: str) -> DataFrame:
     return _flagship_run(spark, sf).result()
 
 
-@golden(
-    "step_audit",
-    """WITH priced AS (SELECT c_mktsegment, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey
+_AUDIT_SQL = """WITH priced AS (SELECT c_mktsegment, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey
                        WHERE o_orderdate >= TIMESTAMP '1996-01-01'),
             settled AS (SELECT * FROM priced WHERE o_orderstatus <> 'P')
        SELECT 0::INTEGER AS step_no, 'join_customers' AS step_id, 'priced' AS output_dataset, 'success' AS status,
-              count(*) AS rows_processed FROM priced
-       UNION ALL SELECT 1, 'settled_only', 'settled', 'success', count(*) FROM settled
-       UNION ALL SELECT 2, 'by_segment', 'report', 'success', count(DISTINCT c_mktsegment) FROM settled""",
+              count(*) AS rows_processed, true AS timed, NULL::VARCHAR AS error FROM priced
+       UNION ALL SELECT 1, 'settled_only', 'settled', 'success', count(*), true, NULL FROM settled"""
+
+
+def _timed(audit: DataFrame) -> DataFrame:
+    return audit.select("step_no", "step_id", "output_dataset", "status", "rows_processed", (F.col("started") <= F.col("ended")).alias("timed"), "error")
+
+
+@golden(
+    "step_audit",
+    _AUDIT_SQL + " UNION ALL SELECT 2, 'by_segment', 'report', 'success', count(DISTINCT c_mktsegment), true, NULL FROM settled",
 )
 def step_audit(spark: SparkSession, sf: str) -> DataFrame:
-    return _flagship_run(spark, sf).audit()
+    """Counts taken while the last step's rows are computed, from one scan of each table."""
+    tables = {name: load(spark, sf, name) for name in ("orders", "customer")}
+    return _timed(run_pipeline(spark, FLAGSHIP, tables=tables, audit=True).audit())
+
+
+@golden(
+    "step_audit_failed",
+    _AUDIT_SQL + " UNION ALL SELECT 2, 'ask', 'ds_answers', 'failed', NULL, true, 'MissingTable: no captured responses for ''nowhere'''",
+)
+def step_audit_failed(spark: SparkSession, sf: str) -> DataFrame:
+    """A run whose last step fails leaves a row for it."""
+    tables = {name: load(spark, sf, name) for name in ("orders", "customer")}
+    ask = {"step_id": "ask", "driver": "json", "endpoint": "nowhere", "output_dataset": "ds_answers"}
+    try:
+        run_pipeline(spark, {**FLAGSHIP, "steps": [*FLAGSHIP["steps"][:2], ask]}, tables=tables, audit=True)
+    except MissingTable as error:
+        return _timed(error.run.audit())
+    raise AssertionError("the step has no responses and must fail")
 
 
 @golden("passthrough", "SELECT n_nationkey, n_name, n_regionkey FROM nation")

@@ -6,7 +6,8 @@ import json
 import logging
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
+from datetime import datetime, timezone
 from functools import reduce
 from typing import Any
 
@@ -132,6 +133,34 @@ def resolve_scalar(ctx: RunContext, path: str, default: Any = None, order_by: li
 # -- runs ---------------------------------------------------------------------------
 
 
+@dataclass
+class StepRecord:
+    """What is known of a step of a run: ``status`` is success, paused or failed."""
+
+    step_no: int
+    step_id: str
+    output_dataset: str
+    status: str = "success"
+    rows_processed: int | None = None
+    started: datetime | None = None
+    ended: datetime | None = None
+    error: str | None = None
+
+    def failed(self, error: Exception) -> None:
+        lines = str(error).strip().splitlines()
+        self.status, self.ended, self.rows_processed = "failed", _now(), None
+        self.error = f"{type(error).__name__}: {lines[0] if lines else ''}"
+
+
+_RECORD = (
+    "step_no int, step_id string, output_dataset string, status string, rows_processed bigint, started timestamp, ended timestamp, error string"
+)
+
+
+def _now() -> datetime:
+    return datetime.now(timezone.utc)
+
+
 @dataclass
 class PipelineRun:
     """What a run composed: lazy tables by name, error rows by step, and the route taken."""
@@ -143,8 +172,8 @@ class PipelineRun:
     output_configs: dict[str, dict | None] = field(default_factory=dict)
     paused_at: str | None = None
     last_output: str | None = None
+    records: list[StepRecord] = field(default_factory=list)
     _observed: dict[str, Observation] = field(default_factory=dict)
-    _outputs: dict[str, str] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
         return self.context.table(name)
@@ -157,24 +186,29 @@ class PipelineRun:
         return present(self.table(name), self.output_configs.get(name))
 
     def audit(self) -> DataFrame:
-        """Row counts per step, from one aggregate per step output.
+        """One row for each step on the route, a failed one included.
 
-        Lazy, and planned by Spark together with whatever the caller does next.
+        With ``audit=True`` rows are counted while they pass: what has been computed since
+        is not computed again, and a step that nobody asked for yet runs now, the last one
+        first, which takes those before it along. Otherwise every output is counted by
+        itself. A step starts when it is put together and ends when its rows have been
+        counted; one whose rows cannot be computed counts as failed.
         """
-        counts = [
-            self.table(output)
-            .agg(F.count(F.lit(1)).alias("rows_processed"))
-            .select(F.lit(step).alias("step_id"), "rows_processed")
-            for step, output in self._outputs.items()
-        ]
-        listed = self.context.spark.createDataFrame(
-            [(i, s, o) for i, (s, o) in enumerate(self._outputs.items())],
-            "step_no int, step_id string, output_dataset string",
-        )
-        status = F.when(F.col("step_id") == F.lit(self.paused_at), "paused").otherwise("success")
-        return listed.join(union_by_name(counts), "step_id").select(
-            "step_no", "step_id", "output_dataset", status.alias("status"), "rows_processed"
-        )
+        waiting = [r for r in self.records if r.status != "failed" and r.rows_processed is None]
+        for record in reversed(waiting):
+            watch = self._observed.get(record.step_id)
+            try:
+                if watch is None:
+                    record.rows_processed = self.table(record.output_dataset).count()
+                else:
+                    if not watch._jo.future().isCompleted():
+                        self.table(record.output_dataset).write.format("noop").mode("overwrite").save()
+                    record.rows_processed = watch.get["rows"]
+                record.ended = _now()
+            except Exception as error:
+                record.failed(error)
+        rows = [tuple(getattr(r, f.name) for f in fields(StepRecord)) for r in self.records]
+        return self.context.spark.createDataFrame(rows, _RECORD)
 
     def observed(self) -> dict[str, int]:
         """Rows that passed each step during the last action, when run with ``audit=True``."""
@@ -197,7 +231,8 @@ def run_pipeline(
     """Compose the steps of ``spec`` into lazy DataFrames.
 
     Jobs run only for routing conditions, error checks, history writes and steps marked
-    ``materialize``.
+    ``materialize``. When a step fails, the exception's ``run`` holds what came before it
+    and the step's record.
 
     ``tables`` are given step tables, ``responses`` captured responses by endpoint,
     ``fetchers`` functions that fetch responses by endpoint (``sources.fetching``),
@@ -231,9 +266,17 @@ def run_pipeline(
     while index < len(spec.steps):
         step = spec.steps[index]
         run.route.append(step.step_id)
-        paused = _run_step(step, run, audit)
+        record = StepRecord(len(run.records), step.step_id, step.output_dataset, started=_now())
+        run.records.append(record)
+        try:
+            paused = _run_step(step, run, audit)
+        except Exception as error:
+            record.failed(error)
+            run.status = "failed"
+            error.run = run
+            raise
         if paused:
-            run.status, run.paused_at = "paused", step.step_id
+            run.status, run.paused_at, record.status = "paused", step.step_id, "paused"
             break
         target = NEXT
         if step.routing and step.routing.next_step and holds(ctx, step.routing.condition):
@@ -296,7 +339,6 @@ def _run_step(step: Step, run: PipelineRun, audit: bool) -> bool:
         run._observed[step.step_id] = watch
     ctx.register(step.output_dataset, written_table(rows) if step.materialize else rows)
     run.output_configs[step.output_dataset] = step.output_config
-    run._outputs[step.step_id] = step.output_dataset
     run.last_output = step.output_dataset
     return paused
 

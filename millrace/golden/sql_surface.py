@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace.golden.catalog import context, golden, load
 from millrace.operators.sql import sql_transform
 from millrace.plans.ordered import exact_quantiles, range_join
+from millrace.plans.sketches import build_sketches, read_sketches
+from millrace.session import written_table
 
 
 def _through_sql(name: str, tables: str, spark_sql: str, oracle: str | None) -> None:
@@ -326,3 +328,24 @@ def sql_range_join(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy("month")
         .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("quantity"))
     )
+
+
+@golden(
+    "sql_sketch_merge",
+    """SELECT l_returnflag, count(*) AS n_rows, true AS parts_near, true AS middle_near FROM lineitem GROUP BY 1""",
+)
+def sql_sketch_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches by flag and day are stored, merged by flag, and held against exact answers.
+
+    A count may be off by four relative standard errors, a quantile by 3 percent of ranks.
+    """
+    lines = load(spark, sf, "lineitem").select("l_returnflag", F.to_date("l_shipdate").alias("day"), "l_partkey", "l_extendedprice")
+    stored = written_table(build_sketches(lines, ["l_returnflag", "day"], ["l_partkey"], ["l_extendedprice"]))
+    found = read_sketches(stored, ["l_returnflag"], {"middle": 0.5})
+    parts = lines.select("l_returnflag", "l_partkey").distinct().groupBy("l_returnflag").agg(F.count("l_partkey").alias("parts"))
+    below, upto = F.count_if(F.col("l_extendedprice") < F.col("middle")), F.count_if(F.col("l_extendedprice") <= F.col("middle"))
+    middles = found.select("l_returnflag", F.col("l_extendedprice_middle").alias("middle"))
+    n = F.count(F.lit(1))
+    ranks = lines.join(middles, "l_returnflag").groupBy("l_returnflag").agg(((below <= n * 0.53 + 1) & (upto >= n * 0.47 - 1)).alias("middle_near"))
+    near = F.abs(F.col("distinct_l_partkey") - F.col("parts")) <= F.greatest(F.lit(1.0), 4 * 1.04 / 64 * F.col("parts"))
+    return found.join(parts, "l_returnflag").join(ranks, "l_returnflag").select("l_returnflag", "n_rows", near.alias("parts_near"), "middle_near")

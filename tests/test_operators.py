@@ -26,24 +26,23 @@ def values(df, column):
 
 
 @pytest.fixture
-def people(spark):
-    return spark.createDataFrame(
-        [(1, "Alice", "a@x"), (2, "Bob", None), (3, None, "c@x"), (4, "Dan", "d@x")], "id int, name string, email string"
-    )
+def vessels(spark):
+    rows = [(21, "north", None), (22, None, 3.1), (23, "south", 4.5), (24, None, None), (25, "east", 2.0)]
+    return spark.createDataFrame(rows, "id int, berth string, draught double")
 
 
 @pytest.mark.parametrize("params", [{"action": "drop"}, {"strategy": "drop"}, {}])
-def test_nulls_in_any_column(people, params):
-    assert values(op("handle_nulls", people, params), "id") == [1, 4]
+def test_nulls_in_any_column(vessels, params):
+    assert values(op("handle_nulls", vessels, params), "id") == [23, 25]
 
 
-def test_nulls_in_a_subset(people):
-    assert values(op("handle_nulls", people, {"action": "drop", "subset": ["email"]}), "id") == [1, 3, 4]
+def test_nulls_in_a_subset(vessels):
+    assert values(op("handle_nulls", vessels, {"action": "drop", "subset": ["draught"]}), "id") == [22, 23, 25]
 
 
-def test_unknown_null_strategy(people):
+def test_unknown_null_strategy(vessels):
     with pytest.raises(PipelineError):
-        op("handle_nulls", people, {"strategy": "fill"})
+        op("handle_nulls", vessels, {"strategy": "fill"})
 
 
 def test_group_by_average(spark):
@@ -65,22 +64,22 @@ def test_group_by_several_columns_and_functions(spark):
     assert out.select("loads_SUM").count() == 4
 
 
-def test_group_by_unknown_function(people):
+def test_group_by_unknown_function(vessels):
     with pytest.raises(PipelineError):
-        op("group_by", people, {"by": "id", "agg": {"name": "MODE"}})
+        op("group_by", vessels, {"by": "id", "agg": {"berth": "MODE"}})
 
 
-def test_load_stamp(spark, people):
-    stamped = op("add_date_column", people, {"target_column": "created_date"})
+def test_load_stamp(spark, vessels):
+    stamped = op("add_date_column", vessels, {"target_column": "created_date"})
     times = {r.created_date for r in stamped.collect()}
     assert len(times) == 1 and isinstance(times.pop(), dt.datetime)
 
 
 def test_deduplicate(spark):
-    df = spark.createDataFrame([("A", 1), ("A", 2), ("B", 3)], "user_id string, score int")
-    assert values(op("deduplicate", df, {"subset": ["user_id"]}), "user_id") == ["A", "B"]
-    best = op("deduplicate", df, {"subset": "user_id", "order_by": "score DESC"})
-    assert values(best, "score") == [2, 3]
+    df = spark.createDataFrame([("ebb", 4), ("flow", 7), ("ebb", 9), ("slack", 1), ("flow", 2)], "tide string, metres int")
+    assert values(op("deduplicate", df, {"subset": ["tide"]}), "tide") == ["ebb", "flow", "slack"]
+    best = op("deduplicate", df, {"subset": "tide", "order_by": "metres DESC"})
+    assert values(best, "metres") == [1, 7, 9]
 
 
 def test_latest_puts_nulls_last_and_groups_null_keys(spark):
@@ -197,28 +196,28 @@ def test_values_normalise_like_headers(spark, texts):
 # -- Python --------------------------------------------------------------------------
 
 
-def test_python_step_gets_the_frame(spark, people):
-    out = op("python_script", people, {"function": lambda df, ctx: df.filter("id > 2")})
-    assert values(out, "id") == [3, 4]
+def test_python_step_gets_the_frame(spark, vessels):
+    out = op("python_script", vessels, {"function": lambda df, ctx: df.filter("id > 23")})
+    assert values(out, "id") == [24, 25]
 
 
-def test_python_step_by_name(spark, people):
+def test_python_step_by_name(spark, vessels):
     from millrace.context import RunContext
 
     ctx = RunContext(spark, functions={"transform_data": lambda df, c: df.limit(0)})
-    assert op("python_script", people, {}, ctx).count() == 0
+    assert op("python_script", vessels, {}, ctx).count() == 0
     with pytest.raises(PipelineError):
-        op("python_script", people, {"function": "gone"}, ctx)
+        op("python_script", vessels, {"function": "gone"}, ctx)
 
 
-def test_python_step_must_return_a_frame(people):
+def test_python_step_must_return_a_frame(vessels):
     with pytest.raises(PipelineError):
-        op("python_script", people, {"function": lambda df, ctx: None})
+        op("python_script", vessels, {"function": lambda df, ctx: None})
 
 
-def test_script_text_is_refused(people):
+def test_script_text_is_refused(vessels):
     with pytest.raises(PipelineError):
-        op("python_script", people, {"script": "def transform_data(df, c): return df"})
+        op("python_script", vessels, {"script": "def transform_data(df, c): return df"})
 
 
 def test_reduce_groups_with_a_hot_and_a_null_key(spark):

@@ -32,9 +32,11 @@ PLAIN = "".join(plain * len(accented) for plain, accented in ACCENTS.items())
 
 
 def _workbook(frame: pd.DataFrame) -> bytes:
-    """A one-sheet workbook: header and text cells inline, numbers as numbers."""
+    """A one-sheet workbook: header and text cells inline, numbers as numbers, dates as styled numbers of days."""
 
     def cell(value) -> str:
+        if isinstance(value, pd.Timestamp):
+            return f'<c s="1"><v>{(value - pd.Timestamp("1899-12-30")) / pd.Timedelta(days=1)!r}</v></c>'
         if isinstance(value, str):
             return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
         return f"<c><v>{value!r}</v></c>"
@@ -49,6 +51,7 @@ def _workbook(frame: pd.DataFrame) -> bytes:
         "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/'
         f'relationships"><Relationship Id="rId1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/>'
         "</Relationships>",
+        "xl/styles.xml": f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="22"/></cellXfs></styleSheet>',
         "xl/worksheets/sheet1.xml": f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>",
     }
     buffer = io.BytesIO()
@@ -84,6 +87,22 @@ def spreadsheet_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@golden(
+    "spreadsheet_dates",
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ordered FROM orders",
+)
+def spreadsheet_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that are numbers styled as dates."""
+
+    def books(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"path": [f"book-{frame.iloc[0, 0]}"], "content": [_workbook(frame.astype(object))]})
+
+    orders = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz"))
+    rows = scan_spreadsheets(orders.mapInPandas(books, "path string, content binary"), ["o_orderkey", "o_orderdate"])
+    return rows.select(F.col("o_orderkey").cast("bigint"), F.col("o_orderdate").alias("ordered"))
+
+
 @golden(
     "header_standardize",
     "SELECT p_partkey AS part_key, p_name AS ten_san_pham, p_brand AS ten_san_pham_2, p_type AS loai,"

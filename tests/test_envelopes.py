@@ -236,14 +236,14 @@ def test_split_strategies(spark):
 # -- spreadsheets --------------------------------------------------------------------
 
 
-def workbook(rows: str, shared: str | None = None) -> bytes:
+def workbook(rows: str, shared: str | None = None, styles: str | None = None, about: str = "") -> bytes:
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as book:
         book.writestr(
             "xl/workbook.xml",
-            f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="b" sheetId="2" r:id="rId7"/>'
+            f'<workbook {main} xmlns:r="{rel}">{about}<sheets><sheet name="b" sheetId="2" r:id="rId7"/>'
             '<sheet name="a" sheetId="1" r:id="rId1"/></sheets></workbook>',
         )
         book.writestr(
@@ -256,9 +256,28 @@ def workbook(rows: str, shared: str | None = None) -> bytes:
         book.writestr("xl/worksheets/sheet2.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
         if shared:
             book.writestr("xl/sharedStrings.xml", f"<sst {main}>{shared}</sst>")
+        if styles:
+            book.writestr("xl/styles.xml", f"<styleSheet {main}>{styles}</styleSheet>")
     return buffer.getvalue()
 
 
+def test_date_cells(spark):
+    styles = (
+        '<numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="[h]:mm"/>'
+        '<numFmt numFmtId="166" formatCode="0.0 &quot;days&quot;"/><numFmt numFmtId="167" formatCode="[Red]hh:mm"/></numFmts>'
+        "<cellXfs>" + "".join(f'<xf numFmtId="{n}"/>' for n in (0, 14, 164, 165, 166, 167, 22)) + "</cellXfs>"
+    )
+    head = "<row>" + "".join(f'<c t="inlineStr"><is><t>c{k}</t></is></c>' for k in range(7)) + "</row>"
+    line = lambda *values: "<row>" + "".join(f'<c s="{k}"><v>{v}</v></c>' for k, v in enumerate(values)) + "</row>"
+    rows = head + line(45000, 45000, 45000.25, 1.5, 3, 0.75, 59) + line(1, 61, 0, 2, 2, 45000.999999, "text")
+    books = [("a", workbook(rows, None, styles)), ("b", workbook(rows, None, styles, '<workbookPr date1904="1"/>')), ("c", workbook(rows))]
+    got = {(r.path, r.row_no): list(r)[2:] for r in scan_spreadsheets(spark.createDataFrame(books, "path string, content binary"), [f"c{k}" for k in range(7)]).collect()}
+    assert got["a", 0] == ["45000", "2023-03-15 00:00:00", "2023-03-15 06:00:00", "1.5", "3", "18:00:00", "1900-02-28 00:00:00"]
+    assert got["a", 1] == ["1", "1900-03-01 00:00:00", "00:00:00", "2", "2", "2023-03-16 00:00:00", "text"]
+    assert got["b", 0][1] == "2027-03-16 00:00:00"
+    assert got["c", 0] == ["45000", "45000", "45000.25", "1.5", "3", "0.75", "59"]
+
+
 def test_workbook_files(spark, tmp_path):
     shared = "<si><t>Mã SP</t></si><si><r><t>Rich </t></r><r><t>text </t></r></si><si><t>Active?</t></si>"
     rows = (

@@ -88,6 +88,8 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.next.clear()  # states lead to each other; apart, they are freed at once
         # a way: (trie node, token before the open one); the last way is the one between tokens
         self.states: dict[tuple, _State] = {}
         self.start = _State(((0, -1),))
@@ -268,6 +270,13 @@ class Encoder:
         return " ".join([self._ids(p) for p in parts if p])
 
 
+    def close(self) -> None:
+        """Give back what is remembered."""
+        self.known.clear()
+        self.transducer.forget()
+        self.transducer.fit.clear()
+
+
 _STARTS = regex.compile(r" (?=\S)")
 
 
@@ -338,6 +347,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     digest.update(part.encode())
                 text_hash.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        # functions travel by value, so the next task of this worker makes an encoder of its own
+        e.close()
+        _ENCODERS.clear()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

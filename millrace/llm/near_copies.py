@@ -167,6 +167,12 @@ def _tokens(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.uint64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """One row after the other, so that the shingles of a single one are in memory twice."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _candidates(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(set_id, n, tokens, least): sets that share enough shingles with others to have a link."""
 
@@ -211,7 +217,7 @@ def _centre_links(sets: DataFrame, turn: int, percent: int) -> DataFrame:
         for batch in batches:
             found = [
                 (r["set_id"], r["c"])
-                for r in batch.to_pylist()
+                for r in _rows(batch)
                 if _similar(_tokens(r["tokens"]), r["n"], _tokens(r["c_tokens"]), r["c_n"], percent)
             ]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -261,7 +267,7 @@ def _matrix_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
                     up[x] = x = up[up[x]]
                 return x
 
-            for r in batch.to_pylist():
+            for r in _rows(batch):
                 members = r["members"]
                 sizes = np.array([m["n"] for m in members])
                 parts = [_tokens(m["tokens"]) for m in members]

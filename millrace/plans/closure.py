@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.errors import PipelineError
-from millrace.session import shared_folder
+from millrace.session import shared_folder, written_table
 
 Step = Callable[[DataFrame, DataFrame], DataFrame]
 
+#: Nodes of a block.
+BLOCK = 4096
+
 
 def fixpoint(seed: DataFrame, step: Step, max_rounds: int | None = None) -> DataFrame:
     """All rows that follow from ``seed``, as with ``WITH RECURSIVE ... UNION``.
@@ -44,16 +47,105 @@ def fixpoint(seed: DataFrame, step: Step, max_rounds: int | None = None) -> Data
 
 
 def reachable(edges: DataFrame, start: str, end: str) -> DataFrame:
-    """(start, end) for every pair connected by a path of one edge or more.
+    """(start, end) once for every pair connected by a path of one edge or more.
 
-    A path found in the last round is put before and after all paths known, so a chain of
-    n edges takes about log n rounds. NULL ends belong to no edge.
+    Nodes that only lead on to one another form chains; a node reaches all that come later
+    in its chain. What is left of the graph connects whole chains, and its closure says
+    which chain reaches all of which. Both are kept in blocks of nodes, and pairs are only
+    put together, block by block, as they are read: they are neither shuffled nor written.
+    NULL ends belong to no edge.
+    """
+    given = edges.select(F.col(start).alias("start"), F.col(end).alias("end")).dropna().distinct()
+    kind = given.select("start").union(given.select("end")).schema[0].dataType
+    given = written_table(given.select(*[F.col(c).cast(kind).alias(c) for c in given.columns]))
+    # An edge from a node to itself adds that one pair, whatever else there is.
+    loops, ahead = given.filter("start = end"), given.filter("start <> end")
+    one_out = ahead.groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("end")).filter("n = 1")
+    one_in = ahead.groupBy("end").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start")).filter("n = 1")
+    links = one_out.select("start", "end").intersect(one_in.select("start", "end"))
+    placed = _placed(ahead, links)
+    head_of = placed.select("node", "head")
+    between = ahead.join(links, ["start", "end"], "left_anti")
+    for side in ("start", "end"):
+        between = between.withColumnRenamed(side, "node").join(head_of, "node").drop("node").withColumnRenamed("head", side)
+    rings = placed.filter("ring").select(F.col("head").alias("start"), F.col("head").alias("end"))
+    chains = _closed(between.union(rings.select(*between.columns)))
+    in_ring = chains.filter("start = end").select(F.col("start").alias("head"))
+
+    blocks = written_table(
+        placed.groupBy("head", F.floor(F.col("place") / BLOCK).alias("block"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("listed"))
+        .select("head", "block", F.col("listed.node").alias("nodes"))
+    )
+    keys = blocks.select("head", "block")
+    counts = keys.groupBy("head").agg(F.max("block").alias("last"))
+    later = keys.join(counts.join(in_ring, "head", "left_anti"), "head").select(
+        "head", "block", F.col("head").alias("to_head"), F.explode(F.sequence("block", "last")).alias("to_block"), F.lit(True).alias("onward")
+    )
+    whole = (
+        chains.withColumnRenamed("start", "head").join(keys, "head")
+        .join(keys.select(F.col("head").alias("end"), F.col("block").alias("to_block")), "end")
+        .select("head", "block", F.col("end").alias("to_head"), "to_block", F.lit(False).alias("onward"))
+    )
+    ends = blocks.select(F.col("head").alias("to_head"), F.col("block").alias("to_block"), F.col("nodes").alias("to_nodes"))
+    both = later.union(whole).join(blocks, ["head", "block"]).join(ends, ["to_head", "to_block"])
+    # A number of its own: by their few bytes, AQE would put all blocks into one task.
+    width = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(width, "head", "block", "to_head", "to_block")
+    each = both.select("to_nodes", (F.col("onward") & (F.col("block") == F.col("to_block"))).alias("own"), F.posexplode("nodes").alias("at", "start"))
+    reached = F.when(F.col("own"), F.slice("to_nodes", F.col("at") + 2, F.lit(BLOCK))).otherwise(F.col("to_nodes"))
+    pairs = each.select("start", F.explode(reached).alias("end"))
+    alone = loops.join(placed.join(in_ring, "head").select(F.col("node").alias("start")), "start", "left_anti").select("start", "end")
+    return pairs.union(alone).select(*[F.col(c).cast(edges.schema[n].dataType).alias(n) for c, n in (("start", start), ("end", end))])
+
+
+def _placed(edges: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, head, place, ring) of every node: its chain along ``links``, by the node the chain
+    starts with, and how many links it comes after that. A closed ring starts with its least node.
+
+    Each round doubles how far back a node looks, so there are about log n of them.
     """
-    pairs = edges.select(F.col(start).alias("start"), F.col(end).alias("end")).dropna()
+    nodes = edges.select(F.col("start").alias("node")).union(edges.select("end")).distinct()
+    back = links.select(F.col("end").alias("node"), F.col("start").alias("up"))
+    here = F.struct("node", F.lit(0).cast("long").alias("far"))
+    first = F.when(F.col("up").isNull(), here).otherwise(F.least(here, F.struct(F.col("up").alias("node"), F.lit(1).cast("long").alias("far"))))
+    looked = written_table(
+        nodes.join(back, "node", "left").select(
+            "node", F.coalesce("up", "node").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("far"),
+            F.col("up").isNull().alias("done"), first.alias("least"),
+        )
+    )
+    for _ in range(looked.count().bit_length()):
+        going = looked.filter("NOT done")
+        if going.isEmpty():
+            break
+        further = looked.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"), F.col("done").alias("done2"), F.col("least").alias("least2"))
+        beyond = F.struct(F.col("least2.node").alias("node"), (F.col("least2.far") + F.col("far")).alias("far"))
+        moved = going.join(further, "up").select(
+            "node", F.col("up2").alias("up"), (F.col("far") + F.col("far2")).alias("far"), F.col("done2").alias("done"), F.least("least", beyond).alias("least")
+        )
+        looked = written_table(looked.filter("done").union(moved))
+    # Who still has no start after looking back over as many links as there are nodes went round a ring.
+    return looked.select(
+        "node", F.when(F.col("done"), F.col("up")).otherwise(F.col("least.node")).alias("head"),
+        F.when(F.col("done"), F.col("far")).otherwise(F.col("least.far")).alias("place"), (~F.col("done")).alias("ring"),
+    )
+
+
+def _closed(edges: DataFrame) -> DataFrame:
+    """The closure of any graph, with (start, end) once for every pair.
+
+    Every shortest path of more than ``reach`` edges, and no more than twice as many, is one
+    of just ``reach`` edges and one that is known; so on a tree a pair is found once.
+    """
+    reach = 1
 
     def step(fresh: DataFrame, known: DataFrame) -> DataFrame:
-        after = fresh.select("start", F.col("end").alias("mid")).join(known.select(F.col("start").alias("mid"), "end"), "mid")
-        before = known.select("start", F.col("end").alias("mid")).join(fresh.select(F.col("start").alias("mid"), "end"), "mid")
-        return after.select("start", "end").union(before.select("start", "end"))
-
-    return fixpoint(pairs, step).toDF(start, end)
+        nonlocal reach
+        first = fresh.filter(F.col("steps") == reach).select("start", F.col("end").alias("mid"), "steps")
+        second = known.select(F.col("start").alias("mid"), "end", F.col("steps").alias("more"))
+        reach *= 2
+        found = first.join(second, "mid").groupBy("start", "end").agg(F.min(F.col("steps") + F.col("more")).alias("steps"))
+        return found.join(known, ["start", "end"], "left_anti")
+
+    return fixpoint(edges.select("start", "end", F.lit(1).cast("long").alias("steps")), step).select("start", "end")

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace import session
 from millrace.errors import PipelineError
-from millrace.plans import frames
+from millrace.plans import closure, frames
 from millrace.plans.closure import fixpoint, reachable
 from millrace.plans.frames import row_frames
 
@@ -24,6 +25,36 @@ def test_long_chain_and_cycle(spark):
     assert reachable(edges.limit(0), "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_closure_of_any_graph_once_per_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(closure, "BLOCK", block)
+    rng = random.Random(block)
+    tree = [(rng.randrange(k), k) for k in range(1, 25)]
+    mesh = [(100 + rng.randrange(12), 100 + rng.randrange(12)) for _ in range(14)]
+    chain = [(k, k + 1) for k in range(200, 220)]
+    ring = [(300 + k, 300 + (k + 1) % 9) for k in range(9)]
+    loops = [(400, 400), (205, 205), (303, 303), (219, 219), (500, 501), (501, 500)]
+    edges = [*tree, *mesh, *chain, *ring, *loops, *chain[:3], (210, 303), (3, 200)]
+    want = set(edges)
+    while True:
+        more = want | {(a, d) for a, b in want for c, d in edges if b == c}
+        if more == want:
+            break
+        want = more
+    got = reachable(spark.createDataFrame(edges, "a int, b long"), "a", "b")
+    assert got.dtypes == [("a", "int"), ("b", "bigint")]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_pairs_of_a_chain_are_not_written(spark, monkeypatch, tmp_path):
+    for module in (closure, session):
+        monkeypatch.setattr(module, "shared_folder", lambda _: str(tmp_path))
+    pairs = reachable(spark.range(2000).selectExpr("id a", "id + 1 b"), "a", "b")
+    n = 2000 * 2001 // 2
+    assert pairs.count() == n
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < n  # less than a byte for each
+
+
 def test_steps_of_the_callers_own(spark):
     seed = spark.createDataFrame([(1, None), (1, None)], "n int, x string")
     got = fixpoint(seed, lambda fresh, known: fresh.select(((F.col("n") * 2) % 11).alias("n"), "x"))

@@ -149,7 +149,8 @@ def _asked_for(step: Step, request: Request, table: DataFrame, keys: list[str])
             asked = asked.withColumn(_ROW + n, F.col(_ROW + n).cast("string"))
             table = table.withColumn(n, F.col(n).cast("string"))
     match = reduce(lambda a, b: a & b, [F.col(_ROW + n) == F.col(n) for n in shared])
-    joined = asked.join(table.withColumn(_ANSWERED, F.lit(True)), match, "left")
+    # Bodies are of any length, which Spark's estimate does not see: a broadcast would hold them all.
+    joined = asked.join(table.withColumn(_ANSWERED, F.lit(True)).hint("merge"), match, "left")
     named = [F.coalesce(F.col(n), F.col(_ROW + n)).alias(n) if n in shared else F.col(f"`{n}`") for n in table.columns]
     return joined.select(*named, F.coalesce(_ANSWERED, F.lit(False)).alias(_ANSWERED))
 

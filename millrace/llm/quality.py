@@ -6,9 +6,9 @@ documents (labelled good and not toxic). A document's score is the mean over its
 log p_target - log p_raw. It passes if the score reaches one threshold, which is the same
 for all: the ``quantile`` of scores of trusted documents that were not counted.
 
-At most ``TRUSTED`` trusted documents, those of least hashed id, are used; half of them
-are counted, half set the threshold. The raw counts, and all else, cover every document.
-Without trusted documents only the base rules decide.
+All trusted documents are used: in the order of their hashed ids every other one is counted,
+the rest set the threshold. The raw counts, and all else, cover every document. Without
+trusted documents only the base rules decide.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 
 from millrace.llm import textbytes as tb
 from millrace.llm.shared import table
+from millrace.plans.ordered import row_number, running_sum, with_measures
+from millrace.session import written_table
 
 BUCKETS = 1 << 16
-TRUSTED = 20_000
 QUANTILE = 0.002
 _CHUNK = 1 << 11
 
@@ -101,15 +102,14 @@ def _scores(hashes: np.ndarray, w: tb.Words, ratio: np.ndarray, texts: int) -> n
     return np.round(np.bincount(text, weights=ratio[bucket], minlength=texts) / np.maximum(n, 1), 9)
 
 
-def _count(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
-    """Counts per bucket: row 0 over all documents, row 1 over those with a trusted id."""
+def _count(docs: DataFrame) -> np.ndarray:
+    """Counts per bucket: row 0 over all rows of ``docs`` (counted, text), row 1 over those that are ``counted``."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy()
-            chosen = np.isin(ids, trusted) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            chosen = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in tb.blocks(batch.column(1)):
                 w = tb.words(data, offsets)
                 bucket, text = _grams(tb.word_hashes(data, w), w)
@@ -126,7 +126,7 @@ def _count(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
     schema = "chunk int, counts binary"
     out = np.zeros((2, BUCKETS), np.int64)
     # one row for each of a fixed number of chunks of buckets
-    for row in docs.select("doc_id", "text").mapInArrow(local, schema).groupBy("chunk").applyInArrow(add, schema).collect():
+    for row in docs.mapInArrow(local, schema).groupBy("chunk").applyInArrow(add, schema).collect():
         out[:, row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
     return out
 
@@ -134,12 +134,12 @@ def _count(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[np.ndarray, float] | None:
     """The log ratio of each bucket and the threshold; None without trusted documents."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
-    picked = [r["doc_id"] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).collect()]
-    counted, held = np.array(picked[::2], np.int64), np.array(picked[1::2], np.int64)
-    if not len(held):
-        return None
+    hashed = good.withColumn("__hash", F.xxhash64("doc_id"))
+    placed = with_measures(hashed, [], ["__hash", "doc_id"], {"__no": row_number()})
+    # a table of its own, whose size Spark knows when it picks the joins
+    halves = written_table(placed.select("doc_id", (F.col("__no") % 2 == 1).alias("counted")))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    raw, target = _count(docs, counted).astype(float)
+    raw, target = _count(docs.join(halves, "doc_id", "left").select(F.coalesce("counted", F.lit(False)).alias("counted"), "text")).astype(float)
     if not target.sum():
         return None
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
@@ -147,14 +147,22 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            batch = batch.filter(pa.array(np.isin(batch.column(0).fill_null(-1).to_numpy(), held)))
-            for a, b, data, offsets in tb.blocks(batch.column(1)):
+            for a, b, data, offsets in tb.blocks(batch.column(0)):
                 w = tb.words(data, offsets)
                 scores = _scores(tb.word_hashes(data, w), w, ratio, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(scores[np.diff(w.first) >= 50])], ["llr"])
 
-    at = docs.where("doc_id IS NOT NULL").mapInArrow(score, "llr double").agg(F.expr(f"percentile_disc({quantile}) WITHIN GROUP (ORDER BY llr)")).first()[0]
-    return None if at is None else (ratio, float(at))
+    held = docs.join(halves.where("NOT counted"), "doc_id", "left_semi").select("text")
+    at = _least_reaching(held.mapInArrow(score, "llr double"), "llr", quantile)
+    return None if at is None else (ratio, at)
+
+
+def _least_reaching(df: DataFrame, column: str, share: float) -> float | None:
+    """The least value up to which at least this share of the rows lie; None without rows."""
+    values = df.groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    placed = written_table(with_measures(values, [], [column], {"__upto": running_sum("__n")}))
+    total = placed.agg(F.max("__upto")).first()[0]
+    return None if total is None else placed.where(F.col("__upto") >= F.lit(total * share)).agg(F.min(column)).first()[0]
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import table
 
 #: Remembered pieces and states; when full, they are forgotten and made again.
-PIECES, STATES = 3 << 18, 1 << 16
+PIECES, PARTS, STATES = 3 << 18, 1 << 18, 1 << 16
 #: Bytes of a piece for which states are made, and bytes after which a long piece is settled.
 REACH, SETTLE = 5, 512
 #: Bytes of a short piece.
@@ -59,6 +59,7 @@ class Transducer:
         self.token: list[int] = [-1]
         self.depth: list[int] = [0]
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.length = {i: len(b) for b, i in ranks.items()}
         for word, rank in ranks.items():
             at = 0
             for byte in word:
@@ -186,21 +187,23 @@ class Transducer:
 
     def _last(self, piece: bytes, lasts: list[int], end: int) -> int:
         """The last token of the piece's first ``end`` bytes."""
-        ended, node, at, back = [], 0, end, self.back
+        back, back_token, fit = self.back, self.back_token, self.fit
+        ended, node, at = [], 0, end
         while at:
             node = back[node].get(piece[at - 1])
             if node is None:
                 break
             at -= 1
-            if (found := self.back_token[node]) >= 0:
+            if (found := back_token[node]) >= 0:
                 ended.append((found, at))
-        for found, at in reversed(ended):  # the longest first
+        while ended:  # the longest first
+            found, at = ended.pop()
             if at == 0:
                 break
             before = lasts[at - 1]
             if before < 0:
                 before = self._last(piece, lasts, at)
-            fits = self.fit.get(before << 20 | found)
+            fits = fit.get(before << 20 | found)
             if fits or (fits is None and self.follows(before, found)):
                 break
         lasts[end - 1] = found
@@ -208,10 +211,10 @@ class Transducer:
 
     def _back(self, lasts: list[int], end: int) -> list[int]:
         """The tokens of what was read up to ``end``, which is between tokens."""
-        out = []
+        out, length = [], self.length
         while end > 0:
             out.append(token := lasts[end - 1])
-            end -= len(self.bytes_of[token])
+            end -= length[token]
         out.reverse()
         return out
 
@@ -240,10 +243,22 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.loose_blank = regex.compile(r" (?=\s|$)").search
         self.vocabulary = {str(i): b for b, i in ranks.items()}
-        self.known: dict[str, str] = {}
+        self.decimal = {i: str(i) for i in ranks.values()}
+        self.known: dict[str, str] = {}  # by word
+        self.parts: dict[str, str] = {}  # by piece, which words with different ends share
 
     def _ids(self, text: str) -> str:
-        return " ".join([str(i) for p in self.pieces(text) for i in self.transducer.encode(p.encode())])
+        get, make = self.parts.get, self._part
+        return " ".join([get(p) or make(p) for p in self.pieces(text)])
+
+    def _part(self, piece: str) -> str:
+        decimal = self.decimal
+        ids = " ".join([decimal[i] for i in self.transducer.encode(piece.encode())])
+        if len(piece) < 40:
+            if len(self.parts) >= PARTS:
+                self.parts.clear()
+            self.parts[piece] = ids
+        return ids
 
     def _word(self, word: str) -> str:
         ids = self._ids(" " + word)
@@ -273,6 +288,7 @@ class Encoder:
     def close(self) -> None:
         """Give back what is remembered."""
         self.known.clear()
+        self.parts.clear()
         self.transducer.forget()
         self.transducer.fit.clear()
 

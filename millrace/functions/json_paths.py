@@ -48,6 +48,11 @@ def _unquoted(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text[1:-1])
 
 
+def _bound(value: Column, to: Callable[[Column], Column]) -> Column:
+    """``to(value)`` with ``value`` worked out once, however often ``to`` and lambdas in it use it."""
+    return F.get(F.transform(F.array(value), to), F.lit(0))
+
+
 def _list(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", _NONE), F.array().cast(_NONE))
 
@@ -73,9 +78,11 @@ def _slice(text: str) -> Nodes:
         return F.lit(int(place)) if int(place) >= 0 else F.greatest(size + int(place), F.lit(0))
 
     def nodes(v: Column) -> Column:
-        items = _list(v)
-        low, high = at(first, F.size(items), F.lit(0)), at(last, F.size(items), F.size(items))
-        return F.filter(items, lambda x, i: (i >= low) & (i < high) & ((i - low) % stride == 0))
+        return _bound(_list(v), cut)
+
+    def cut(items: Column) -> Column:
+        ends = F.struct(at(first, F.size(items), F.lit(0)).alias("low"), at(last, F.size(items), F.size(items)).alias("high"))
+        return _bound(ends, lambda e: F.filter(items, lambda x, i: (i >= e["low"]) & (i < e["high"]) & ((i - e["low"]) % stride == 0)))
 
     return nodes
 
@@ -83,7 +90,7 @@ def _slice(text: str) -> Nodes:
 def _place(place: int) -> Callable[[Column], Column]:
     if place >= 0:
         return lambda v: F.try_variant_get(v, f"$[{place}]", "variant")
-    return lambda v: F.get(_list(v), F.size(_list(v)) + place)
+    return lambda v: _bound(_list(v), lambda items: F.get(items, F.size(items) + place))
 
 
 def _condition(text: str) -> Callable[[Column], Column]:
@@ -184,42 +191,52 @@ def _descendants(v: Column, depth: Column) -> Column:
 
     def deeper(s: Column, _: Column) -> Column:
         front = F.flatten(F.transform(s["front"], below)).cast(kind)
-        return F.struct(front.alias("front"), F.concat(s["all"], front).alias("all"))
+        return _bound(front, lambda f: F.struct(f.alias("front"), F.concat(s["all"], f).alias("all")))
+
+    def in_order(nodes: Column) -> Column:
+        places = F.sort_array(F.transform(nodes, lambda x, i: F.struct(x["place"].alias("place"), i.alias("no"))))
+        return F.transform(places, lambda p: F.get(nodes, p["no"])["v"])
 
     root = F.array(F.struct(F.array().cast("array<int>").alias("place"), v.alias("v"))).cast(kind)
     found = F.aggregate(F.sequence(F.lit(0), depth), F.struct(root.alias("front"), root.alias("all")), deeper, lambda s: s["all"])
-    ordered = F.array_sort(found, lambda a, b: F.when(a["place"] < b["place"], -1).when(a["place"] > b["place"], 1).otherwise(0))
-    return F.transform(ordered, lambda x: x["v"])
+    return _bound(found, in_order)
 
 
-def json_nodes(text: Column, path: str) -> Column:
-    """All matches of ``path`` in JSON text as variants, in order; NULL for a bad path or text that is not JSON."""
+def json_nodes(text: Column, path: str, parsed: Column | None = None) -> Column:
+    """All matches of ``path`` in JSON text as variants, in order; NULL for a bad path or text that is not JSON.
+
+    ``parsed`` is a column that holds the text's ``try_parse_json`` already, for several paths over one text.
+    """
     try:
         steps = parse_path(path)
     except ValueError as error:
         log.warning("no JSON path: %s (%s)", path, error)
         return F.lit(None).cast(_NONE)
-    found = F.when(F.try_parse_json(text).isNotNull(), F.array(F.try_parse_json(text)))
-    for deep, nodes in steps:
-        if deep:
-            found = _each(found, lambda v: _descendants(v, _depth(text)))
-        found = _each(found, nodes)
-    return found
+
+    def matches(root: Column) -> Column:
+        found = F.array(root)
+        for deep, nodes in steps:
+            if deep:
+                found = _each(found, lambda v: _bound(_depth(text), lambda depth: _descendants(v, depth)))
+            found = _each(found, nodes)
+        return F.when(root.isNotNull(), found)
+
+    return _bound(F.try_parse_json(text) if parsed is None else parsed, matches)
 
 
 def _each(found: Column, nodes: Nodes) -> Column:
     return F.flatten(F.transform(found, lambda v: nodes(v)))
 
 
-def json_matches(column: Column | str, path: str) -> Column:
-    """All matches of a JSONPath as text; JSON null is NULL."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.transform(json_nodes(column, path), lambda x: F.try_variant_get(x, "$", "string"))
+def json_matches(column: Column | str, path: str, parsed: Column | str | None = None) -> Column:
+    """All matches of a JSONPath as text; JSON null is NULL. ``parsed``: see ``json_nodes``."""
+    column, parsed = (F.col(c) if isinstance(c, str) else c for c in (column, parsed))
+    return F.transform(json_nodes(column, path, parsed), lambda x: F.try_variant_get(x, "$", "string"))
 
 
-def json_path(column: Column | str, path: str) -> Column:
+def json_path(column: Column | str, path: str, parsed: Column | str | None = None) -> Column:
     """First match of a JSONPath in JSON text; no match, JSON null or a bad path give NULL."""
     column = F.col(column) if isinstance(column, str) else column
     if re.fullmatch(r"\$(\.\w+|\[\d+\])*", path):
         return F.get_json_object(column, path)
-    return F.get(json_matches(column, path), F.lit(0))
+    return F.get(json_matches(column, path, parsed), F.lit(0))

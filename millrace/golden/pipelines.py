@@ -621,7 +621,7 @@ def json_path_full(spark: SparkSession, sf: str) -> DataFrame:
     )
     listed = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     head = F.struct(F.struct(F.get("lines", F.lit(0)).getField("part").alias("part")).alias("line")).alias("head")
-    docs = listed.select("l_orderkey", F.to_json(F.struct(head, "lines")).alias("doc"))
+    docs = listed.select("l_orderkey", F.to_json(F.struct(head, "lines")).alias("doc")).withColumn("parsed", F.try_parse_json("doc"))
     joined = {
         "filtered": "$.lines[?(@.qty > 25)].part",
         "both": "$.lines[?(@.qty > 10 & @.qty <= 40 & @.n != 2)].part",
@@ -631,8 +631,8 @@ def json_path_full(spark: SparkSession, sf: str) -> DataFrame:
         "everywhere": "$..part",
         "members": "$['lines'][*]['part']",
     }
-    found = [F.array_join(json_matches("doc", path), "|").alias(name) for name, path in joined.items()]
-    return docs.select("l_orderkey", *found, json_path("doc", "$.lines[-1].part").alias("last"), json_path("doc", "$.lines[?").alias("bad"))
+    found = [F.array_join(json_matches("doc", path, "parsed"), "|").alias(name) for name, path in joined.items()]
+    return docs.select("l_orderkey", *found, json_path("doc", "$.lines[-1].part", "parsed").alias("last"), json_path("doc", "$.lines[?").alias("bad"))
 
 
 # -- streaming ---------------------------------------------------------------------------

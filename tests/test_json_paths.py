@@ -103,3 +103,13 @@ def test_descent_of_a_deep_document(spark):
     odd = json.dumps({"s": '[[[{"k": 1}', "t\\": [{"k": 2}]})
     got = spark.createDataFrame([(deep,), (odd,)], "j string").select(json_matches("j", "$..k"), F.lit(1)).collect()
     assert [r[0] for r in got] == [["7"], ["2"]]
+
+
+def test_text_parsed_beforehand_gives_the_same(spark):
+    texts = ['{"a":[{"b":1},{"b":[2,{"b":null}]}],"c":{"b":"x"}}', "[]", "7", "no json", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "doc string").withColumn("parsed", F.try_parse_json("doc"))
+    for path in ["$..b", "$.a[-1:].b", "$.a[-1].b", "$..*", "$.a[?(@.b == 1)].b", "$['c']['b']", "$"]:
+        found = rows.select(json_matches("doc", path).alias("own"), json_matches("doc", path, "parsed").alias("given")).collect()
+        assert [r["own"] for r in found] == [r["given"] for r in found]
+    first = rows.select(json_matches("doc", "$..b", "parsed").alias("m")).first()["m"]
+    assert first == ["1", '[2,{"b":null}]', None, "x"]

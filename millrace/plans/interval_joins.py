@@ -17,16 +17,22 @@ from millrace.plans.ordered import row_number, running_sum, with_measures
 
 #: Points of a cell.
 CELL = 256
+#: Points up to which a range reaches few cells, and listed ranges up to which Spark may broadcast them.
+FEW, LISTED = 16 * CELL, 1 << 18
 _AT, _SIDE, _ROW = "__at", "__side", "__row"
 
 
-def _with_counts(points: DataFrame, rows: DataFrame, bound: Column, after_equals: bool, out: str) -> DataFrame:
-    """``rows`` (a struct each) with the number of points before ``bound``, or up to it."""
+def _with_counts(points: DataFrame, rows: DataFrame, bound: str, after_equals: bool, out: str) -> DataFrame:
+    """``rows`` with the number of points before their ``bound``, or up to it.
+
+    Equal points and equal bounds are counted together before anything is sorted.
+    """
     side = 2 if after_equals else 0
-    asked = rows.select(bound.alias(_AT), F.lit(side).alias(_SIDE), F.lit(0).alias("__one"), _ROW, *[c for c in rows.columns if c != _ROW])
-    placed = points.select(_AT, F.lit(1).alias(_SIDE), F.lit(1).alias("__one")).unionByName(asked, allowMissingColumns=True)
-    counted = with_measures(placed, [], [_AT, _SIDE], {out: running_sum("__one")})
-    return counted.filter(F.col(_SIDE) == side).select(*rows.columns, F.coalesce(out, F.lit(0)).alias(out))
+    asked = rows.select(F.col(bound).alias(_AT)).distinct().select(_AT, F.lit(side).alias(_SIDE), F.lit(0).cast("long").alias("__n"))
+    placed = points.groupBy(_AT).agg(F.count(F.lit(1)).alias("__n")).withColumn(_SIDE, F.lit(1)).unionByName(asked)
+    counted = with_measures(placed, [], [_AT, _SIDE], {out: running_sum("__n")})
+    counts = counted.filter(F.col(_SIDE) == side).select(_AT, F.coalesce(out, F.lit(0)).alias(out))
+    return rows.join(counts, F.col(bound) == F.col(_AT)).select(*rows.columns, out)
 
 
 def points_in_ranges(
@@ -42,14 +48,15 @@ def points_in_ranges(
     rows = ranges.select(F.struct("*").alias(_ROW), (F.lit(None) if low is None else low).alias("__low"), (F.lit(None) if high is None else high).alias("__high"))
     rows = rows.filter(" AND ".join([f"__{n} IS NOT NULL" for n, bound in (("low", low), ("high", high)) if bound is not None] or ["true"]))
     only = numbered.select(_AT)
-    rows = rows.withColumn("__from", F.lit(0).cast("long")) if low is None else _with_counts(only, rows, F.col("__low"), open_low, "__from")
-    if high is None:
-        rows = rows.withColumn("__to", F.lit(only.count()).cast("long"))
-    else:
-        rows = _with_counts(only, rows, F.col("__high"), not open_high, "__to")
-    reached = rows.filter("__from < __to").withColumn(
-        "__cell", F.explode(F.sequence(F.floor(F.col("__from") / CELL), F.floor((F.col("__to") - 1) / CELL)))
-    )
+    rows = rows.withColumn("__from", F.lit(0).cast("long")) if low is None else _with_counts(only, rows, "__low", open_low, "__from")
+    n = only.count()
+    rows = rows.withColumn("__to", F.lit(n).cast("long")) if high is None else _with_counts(only, rows, "__high", not open_high, "__to")
+    first, last = F.floor(F.col("__from") / CELL), F.floor((F.col("__to") - 1) / CELL)
+    rows = rows.filter("__from < __to")
+    reached = rows.withColumn("__cell", F.explode(F.sequence(first, last)))
+    # Spark's estimate does not see how often a range is listed: a broadcast would hold all of it.
+    if n > FEW and (rows.agg(F.sum(last - first + 1)).first()[0] or 0) > LISTED:
+        reached = reached.hint("merge")
     placed = with_measures(numbered, [], [_AT], {"__no": row_number()}).withColumn("__cell", F.floor((F.col("__no") - 1) / CELL))
     pairs = placed.join(reached, "__cell").filter((F.col("__no") > F.col("__from")) & (F.col("__no") <= F.col("__to")))
     return pairs.select("points", F.col(_ROW).alias("ranges"))

@@ -61,3 +61,31 @@ def test_open_ends_and_empty_sides(spark, ranges):
     assert inequality_join(frame, frame.limit(0), ("lo", "<", "hi")).count() == 0
     with pytest.raises(ValueError):
         inequality_join(frame, frame, ("lo", "<>", "hi"))
+
+
+def test_listed_ranges_are_not_broadcast(spark, monkeypatch):
+    """Spark's estimate is of the ranges before they are listed by cell."""
+    monkeypatch.setattr(interval_joins, "FEW", 100, raising=False)
+    monkeypatch.setattr(interval_joins, "LISTED", 100, raising=False)
+    points = spark.range(2000).withColumnRenamed("id", "b")
+    ranges = spark.range(0, 2000, 20).withColumnRenamed("id", "a")
+    pairs = interval_joins.inequality_join(ranges, points, ("a", "<", "b"))
+    pairs.write.format("noop").mode("overwrite").save()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan.split("explode")[0]
+    assert pairs.count() == sum(1999 - a for a in range(0, 2000, 20))
+
+
+def test_equal_bounds_are_counted_together(spark, monkeypatch):
+    sizes = []
+    measured = interval_joins.with_measures
+
+    def spy(df, *rest):
+        sizes.append(df.count())
+        return measured(df, *rest)
+
+    monkeypatch.setattr(interval_joins, "with_measures", spy)
+    left = spark.createDataFrame([(1, 5), (None, 4), (7, 7)], "lo int, hi int")
+    right = spark.createDataFrame([(2, 3)] * 500 + [(6, 9)] * 3 + [(None, 1)], "lo int, hi int")
+    assert interval_joins.overlap_join(left, right, ("lo", "hi"), ("lo", "hi")).count() == 503
+    assert sorted(sizes)[-2:] == [4, 503]  # only the numbering of the points sees every row

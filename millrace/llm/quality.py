@@ -28,6 +28,8 @@ from millrace.session import written_table
 
 BUCKETS = 1 << 16
 QUANTILE = 0.002
+#: Bits for hashed ids, which keep other texts out of a shuffle.
+SLOTS = 1 << 25
 _CHUNK = 1 << 11
 
 _FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, llr double, kept boolean"
@@ -102,19 +104,18 @@ def _scores(hashes: np.ndarray, w: tb.Words, ratio: np.ndarray, texts: int) -> n
     return np.round(np.bincount(text, weights=ratio[bucket], minlength=texts) / np.maximum(n, 1), 9)
 
 
-def _count(docs: DataFrame) -> np.ndarray:
-    """Counts per bucket: row 0 over all rows of ``docs`` (counted, text), row 1 over those that are ``counted``."""
+def _count(docs: DataFrame, counted: DataFrame) -> np.ndarray:
+    """Counts per bucket: row 0 over all rows of ``docs``, row 1 over those of ``counted``, both (text)."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         counts = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            chosen = batch.column(0).to_numpy(zero_copy_only=False)
+            of = batch.column(0).to_numpy()
             for a, b, data, offsets in tb.blocks(batch.column(1)):
                 w = tb.words(data, offsets)
                 bucket, text = _grams(tb.word_hashes(data, w), w)
-                counts[0] += np.bincount(bucket, minlength=BUCKETS)
-                counts[1] += np.bincount(bucket[chosen[a:b][text]], minlength=BUCKETS)
+                counts += np.bincount(of[a:b][text] * BUCKETS + bucket, minlength=2 * BUCKETS).reshape(2, -1)
         parts = range(BUCKETS // _CHUNK)
         cells = [counts[:, k * _CHUNK : (k + 1) * _CHUNK].tobytes() for k in parts]
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(cells, pa.binary())], ["chunk", "counts"])
@@ -125,12 +126,29 @@ def _count(docs: DataFrame) -> np.ndarray:
 
     schema = "chunk int, counts binary"
     out = np.zeros((2, BUCKETS), np.int64)
+    both = docs.select(F.lit(0).cast("long").alias("of"), "text").unionAll(counted.select(F.lit(1).cast("long"), "text"))
     # one row for each of a fixed number of chunks of buckets
-    for row in docs.mapInArrow(local, schema).groupBy("chunk").applyInArrow(add, schema).collect():
+    for row in both.mapInArrow(local, schema).groupBy("chunk").applyInArrow(add, schema).collect():
         out[:, row["chunk"] * _CHUNK : (row["chunk"] + 1) * _CHUNK] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
     return out
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text) of the rows of ``docs`` (doc_id, text) whose id is among ``ids`` (doc_id, each once).
+
+    Where the ids are too many to broadcast, the join shuffles texts. Bitmaps of hashed
+    ids, of a size that does not grow, first drop most rows that would find no id.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)) + 1
+    at, bit = F.bitmap_bucket_number(slot).alias("__map"), F.bitmap_bit_position(slot)
+    maps = ids.groupBy(at).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(bit, F.lit(8)).cast("int"))) != 0
+    likely = docs.withColumn("__map", at).join(F.broadcast(maps), "__map").where(hit).select("doc_id", "text")
+    # not a semi-join, which Spark would put before the other
+    return likely.join(ids.select("doc_id"), "doc_id").select("text")
+
+
 def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[np.ndarray, float] | None:
     """The log ratio of each bucket and the threshold; None without trusted documents."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
@@ -139,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple
     # a table of its own, whose size Spark knows when it picks the joins
     halves = written_table(placed.select("doc_id", (F.col("__no") % 2 == 1).alias("counted")))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    raw, target = _count(docs.join(halves, "doc_id", "left").select(F.coalesce("counted", F.lit(False)).alias("counted"), "text")).astype(float)
+    raw, target = _count(docs, _texts_of(docs, halves.where("counted"))).astype(float)
     if not target.sum():
         return None
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
@@ -152,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple
                 scores = _scores(tb.word_hashes(data, w), w, ratio, b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(scores[np.diff(w.first) >= 50])], ["llr"])
 
-    held = docs.join(halves.where("NOT counted"), "doc_id", "left_semi").select("text")
+    held = _texts_of(docs, halves.where("NOT counted"))
     at = _least_reaching(held.mapInArrow(score, "llr double"), "llr", quantile)
     return None if at is None else (ratio, at)
 

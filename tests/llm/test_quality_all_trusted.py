@@ -31,3 +31,24 @@ def test_least_value_that_reaches_a_share(spark):
     for share, least in ((0.0, 1.0), (0.2, 1.0), (0.21, 2.0), (0.5, 3.0), (1.0, 9.0)):
         assert quality._least_reaching(rows, "v", share) == least
     assert quality._least_reaching(rows.where("v > 10"), "v", 0.5) is None
+
+
+def test_texts_without_a_trusted_id_are_not_shuffled(spark):
+    docs, _ = _tables(spark, 2000)
+    ids = spark.createDataFrame([(i,) for i in range(0, 2000, 50)] + [(2001,), (9999,)], "doc_id long")
+    found = quality._texts_of(docs, ids)
+    # id 0 has two rows; id 2001 has a NULL text
+    plain = docs.join(ids, "doc_id", "left_semi").select("text")
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty() and found.count() == 42
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = quality._texts_of(docs, ids)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r[0] or "" for r in joined.collect()) == sorted(r[0] or "" for r in plain.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # the exchange of the texts lies above the join with the bitmaps
+    above = plan[: plan.index("BroadcastHashJoin")]
+    assert "SortMergeJoin" in above and "Exchange hashpartitioning(doc_id" in above

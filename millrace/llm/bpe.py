@@ -31,10 +31,14 @@ from millrace.llm.shared import table
 
 #: Remembered pieces and states; when full, they are forgotten and made again.
 PIECES, PARTS, STATES = 3 << 18, 1 << 18, 1 << 16
+#: Remembered beginnings and endings of pieces; when full, they are forgotten and made again.
+HEADS, TAILS = 1 << 16, 1 << 17
 #: Bytes of a piece for which states are made, and bytes after which a long piece is settled.
 REACH, SETTLE = 5, 512
-#: Bytes of a short piece.
-SHORT = 64
+#: Words decoded at a time.
+BLOCK = 1 << 14
+#: Bytes of a short piece, and of the stretch at its end whose tokens are remembered.
+SHORT, TAIL = 64, 5
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -86,6 +90,7 @@ class Transducer:
         self.fit: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.spines: dict[tuple[int, int], list[tuple[bytes, int]]] = {}
+        self.tails: dict[bytes, tuple[tuple[tuple[int, int], ...], int | None]] = {}
         self.forget()
 
     def forget(self) -> None:
@@ -94,6 +99,9 @@ class Transducer:
         # a way: (trie node, token before the open one); the last way is the one between tokens
         self.states: dict[tuple, _State] = {}
         self.start = _State(((0, -1),))
+        # by a piece's first bytes: the state after them and the last token at each place
+        self.heads: dict[bytes, tuple[_State, list[int]]] = {}
+        self.tails.clear()
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge gives ``token``; None for a single byte."""
@@ -158,23 +166,15 @@ class Transducer:
         return on, last
 
     def encode(self, piece: bytes) -> list[int]:
-        state, lasts = self.start, []
-        for byte in piece[:REACH]:
-            step = state.next.get(byte)
-            if step is None:
-                if len(self.states) > STATES:
-                    self.forget()
-                ways, last = self._read(state.ways, byte)
-                ways = tuple(ways)
-                step = state.next[byte] = self.states.setdefault(ways, _State(ways)), last
-            state, last = step
-            lasts.append(last)
         n = len(piece)
+        state, lasts = self.heads.get(piece[:REACH]) or self._head(piece[:REACH])
+        if n <= REACH:
+            return self._back(lasts, n)
         if n <= SHORT:
-            lasts += [-1] * (n - len(lasts))
-            if n > REACH:
-                self._last(piece, lasts, n)
+            lasts = lasts + [-1] * (n - REACH)
+            self._last(piece, lasts, n)
             return self._back(lasts, n)
+        lasts = lasts.copy()
         ways, out, read = state.ways, [], self._read
         for byte in piece[REACH:]:
             ways, last = read(ways, byte)
@@ -185,19 +185,57 @@ class Transducer:
                 del lasts[:settled]
         return out + self._back(lasts, len(lasts))
 
-    def _last(self, piece: bytes, lasts: list[int], end: int) -> int:
-        """The last token of the piece's first ``end`` bytes."""
-        back, back_token, fit = self.back, self.back_token, self.fit
-        ended, node, at = [], 0, end
-        while at:
-            node = back[node].get(piece[at - 1])
+    def _head(self, head: bytes) -> tuple[_State, list[int]]:
+        """The state after a piece's first bytes, and the last token at each place."""
+        if len(self.states) > STATES or len(self.heads) >= HEADS:
+            self.forget()
+        state, lasts = self.start, []
+        for byte in head:
+            step = state.next.get(byte)
+            if step is None:
+                ways, last = self._read(state.ways, byte)
+                ways = tuple(ways)
+                step = state.next[byte] = self.states.setdefault(ways, _State(ways)), last
+            state, last = step
+            lasts.append(last)
+        self.heads[head] = state, lasts
+        return state, lasts
+
+    def _tail(self, tail: bytes) -> tuple[tuple[tuple[int, int], ...], int | None]:
+        """The tokens that ``tail`` ends with, the longest first, each with its length, and the place in ``back`` after it."""
+        back, back_token, ended, node = self.back, self.back_token, [], 0
+        for length, byte in enumerate(reversed(tail), 1):
+            node = back[node].get(byte)
             if node is None:
                 break
-            at -= 1
             if (found := back_token[node]) >= 0:
-                ended.append((found, at))
-        while ended:  # the longest first
-            found, at = ended.pop()
+                ended.append((found, length))
+        if len(self.tails) >= TAILS:
+            self.tails.clear()
+        # a tail is shorter than TAIL only where the piece begins, and nothing lies before that
+        self.tails[tail] = known = tuple(reversed(ended)), node if node is not None and back[node] else None
+        return known
+
+    def _last(self, piece: bytes, lasts: list[int], end: int) -> int:
+        """The last token of the piece's first ``end`` bytes."""
+        at = end - TAIL if end > TAIL else 0
+        tail = piece[at:end]
+        ended, node = self.tails.get(tail) or self._tail(tail)
+        if at and node is not None:  # longer tokens may end here
+            back, back_token, longer = self.back, self.back_token, []
+            while at:
+                node = back[node].get(piece[at - 1])
+                if node is None:
+                    break
+                at -= 1
+                if (found := back_token[node]) >= 0:
+                    longer.append((found, end - at))
+            if longer:
+                longer.reverse()
+                ended = (*longer, *ended)
+        fit = self.fit
+        for found, length in ended:  # the longest first
+            at = end - length
             if at == 0:
                 break
             before = lasts[at - 1]
@@ -241,15 +279,15 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern).findall
-        self.loose_blank = regex.compile(r" (?=\s|$)").search
         self.vocabulary = {str(i): b for b, i in ranks.items()}
         self.decimal = {i: str(i) for i in ranks.values()}
-        self.known: dict[str, str] = {}  # by word
+        self.known: dict[str, tuple[str, bytes]] = {}  # by word
         self.parts: dict[str, str] = {}  # by piece, which words with different ends share
 
-    def _ids(self, text: str) -> str:
+    def _run(self, text: str) -> tuple[str, bytes]:
         get, make = self.parts.get, self._part
-        return " ".join([get(p) or make(p) for p in self.pieces(text)])
+        ids = " ".join([get(p) or make(p) for p in self.pieces(text)])
+        return ids, b"".join(map(self.vocabulary.__getitem__, ids.split(" ")))
 
     def _part(self, piece: str) -> str:
         decimal = self.decimal
@@ -260,30 +298,37 @@ class Encoder:
             self.parts[piece] = ids
         return ids
 
-    def _word(self, word: str) -> str:
-        ids = self._ids(" " + word)
+    def _word(self, word: str) -> tuple[str, bytes]:
+        if _LOOSE(word):
+            raise _LooseBlank
+        run = self._run(" " + word)
         if len(word) < 40:
             if len(self.known) >= PIECES:
                 self.known.clear()
-            self.known[word] = ids
-        return ids
+            self.known[word] = run
+        return run
 
-    def encode(self, text: str) -> str:
-        """The ids of ``text``."""
+    def runs(self, text: str) -> list[tuple[str, bytes]]:
+        """The ids of ``text`` in runs of one or more, each with the bytes that its ids decode to."""
         if not text:
-            return ""
-        if not self.loose_blank(text):
-            first, *rest = text.split(" ")
-            get, make = self.known.get, self._word
-            ids = [get(w) or make(w) for w in rest]
-            return " ".join([self._ids(first), *ids]) if first else " ".join(ids)
+            return []
+        first, *rest = text.split(" ")
+        get, make = self.known.get, self._word
+        try:
+            found = [get(w) or make(w) for w in rest]
+            return [self._run(first), *found] if first else found
+        except _LooseBlank:
+            pass
         start, parts = 0, []
         for m in _STARTS.finditer(text):  # loose blanks stay with what precedes them
             parts.append(text[start : m.start()])
             start = m.start()
         parts.append(text[start:])
-        return " ".join([self._ids(p) for p in parts if p])
+        return [self._run(p) for p in parts if p]
 
+    def encode(self, text: str) -> str:
+        """The ids of ``text``."""
+        return " ".join([ids for ids, _ in self.runs(text)])
 
     def close(self) -> None:
         """Give back what is remembered."""
@@ -294,6 +339,11 @@ class Encoder:
 
 
 _STARTS = regex.compile(r" (?=\S)")
+_LOOSE = regex.compile(r"\s|$").match
+
+
+class _LooseBlank(Exception):
+    """A blank before white space or the end."""
 
 
 class Utf8Stream:
@@ -324,9 +374,14 @@ class Utf8Stream:
 
 def decode(ids: Sequence[str], vocabulary: dict[str, bytes], block: int = 1 << 15) -> Iterator[str]:
     """The text of decimal ``ids``, a stretch at a time."""
+    return joined((b"".join(map(vocabulary.__getitem__, ids[at : at + block])) for at in range(0, len(ids), block)))
+
+
+def joined(parts: Iterable[bytes]) -> Iterator[str]:
+    """The text of ``parts``, which may end inside a character."""
     stream = Utf8Stream()
-    for at in range(0, len(ids), block):
-        yield stream.feed(b"".join([vocabulary[i] for i in ids[at : at + block]]))
+    for part in parts:
+        yield stream.feed(part)
     yield stream.end()
 
 
@@ -354,12 +409,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             n, ids_hash, text_hash = [], [], []
             for text in batch.column(1):
-                joined = e.encode(text.as_py() or "")
-                ids = joined.split(" ") if joined else []
-                n.append(len(ids))
-                ids_hash.append(hashlib.sha256(joined.encode()).hexdigest())
+                runs = e.runs(text.as_py() or "")
+                ids = " ".join([r[0] for r in runs])
+                n.append(ids.count(" ") + 1 if ids else 0)
+                ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
                 digest = hashlib.sha256()
-                for part in decode(ids, e.vocabulary):
+                for part in joined(b"".join([r[1] for r in runs[at : at + BLOCK]]) for at in range(0, len(runs), BLOCK)):
                     digest.update(part.encode())
                 text_hash.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

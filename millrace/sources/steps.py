@@ -174,7 +174,8 @@ def _enrich(step: Step, request: Request, rows: DataFrame, keys: list[str]) -> D
             asked = asked.withColumn(_ROW + n, F.col(_ROW + n).cast("string"))
             rows = rows.withColumn(f"__key_{n}", F.col(f"__key_{n}").cast("string"))
     match = reduce(lambda a, b: a & b, [F.col(_ROW + n) == F.col(f"__key_{n}") for n in shared])
-    return asked.join(rows, match).drop(*[_ROW + n for n in shared])
+    # Spark's estimate sees neither how many rows a body has nor how far files are compressed: no side is broadcast by it.
+    return asked.join(rows.hint("merge"), match).drop(*[_ROW + n for n in shared])
 
 
 def _split(step: Step, tagged: DataFrame, answers: Answers, strategy: str) -> outcomes.Split:

@@ -45,3 +45,11 @@ def test_driving_and_parsed_rows_are_not_broadcast(looped):
     rows = looped.result().select("v")
     assert "Broadcast" not in _plan_as_run(rows)
     assert sorted(int(r["v"]) for r in rows.collect()) == sorted(k for k in ASKED if k in KNOWN)
+
+
+def test_bodies_are_not_broadcast_for_errors(looped):
+    errors = looped.errors["s"].select("q", "outcome", "err_msg")
+    assert "Broadcast" not in _plan_as_run(errors)
+    found = errors.collect()
+    assert len(found) == len({*ASKED} - KNOWN) and {r["q"] for r in found} == {*ASKED} - KNOWN
+    assert {(r["outcome"], r["err_msg"]) for r in found} == {("transport", "no response")}

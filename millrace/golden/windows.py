@@ -9,6 +9,7 @@ from millrace.golden.catalog import golden, load
 from millrace.plans.closure import reachable
 from millrace.plans.frames import row_frames
 from millrace.plans.interval_joins import inequality_join, overlap_join
+from millrace.plans.merging import counted, greatest
 from millrace.plans.ordered import (
     asof_join,
     first_value,
@@ -176,5 +177,5 @@ def sql_recursive_closure(spark: SparkSession, sf: str) -> DataFrame:
     """Customers in chains by segment, hundreds long: how many come after each, and the last."""
     customers = load(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     edges = with_measures(customers, ["c_mktsegment"], ["c_custkey"], {"next": lead("c_custkey")})
-    paths = reachable(edges, "c_custkey", "next")
-    return paths.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_later"), F.max("next").alias("last_customer"))
+    paths = reachable(edges, "c_custkey", "next", {"n_later": counted(), "last_customer": greatest("next")})
+    return paths.groupBy("c_custkey").agg(F.sum("n_later").alias("n_later"), F.max("last_customer").alias("last_customer"))

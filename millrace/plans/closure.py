@@ -5,10 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.errors import PipelineError
+from millrace.plans.merging import Merged, merged, taken
 from millrace.session import shared_folder, written_table
 
 Step = Callable[[DataFrame, DataFrame], DataFrame]
@@ -46,7 +47,7 @@ def fixpoint(seed: DataFrame, step: Step, max_rounds: int | None = None) -> Data
     return known()
 
 
-def reachable(edges: DataFrame, start: str, end: str) -> DataFrame:
+def reachable(edges: DataFrame, start: str, end: str, measures: dict[str, Merged] | None = None) -> DataFrame:
     """(start, end) once for every pair connected by a path of one edge or more.
 
     Nodes that only lead on to one another form chains; a node reaches all that come later
@@ -54,6 +55,10 @@ def reachable(edges: DataFrame, start: str, end: str) -> DataFrame:
     which chain reaches all of which. Both are kept in blocks of nodes, and pairs are only
     put together, block by block, as they are read: they are neither shuffled nor written.
     NULL ends belong to no edge.
+
+    With ``measures`` of ``end``, pairs are put together where blocks are: ``start`` comes once for
+    its own block and once for all others it reaches, with the measures of those pairs. Every pair
+    counts in one of these rows, so they are to be merged again by ``start``.
     """
     given = edges.select(F.col(start).alias("start"), F.col(end).alias("end")).dropna().distinct()
     kind = given.select("start").union(given.select("end")).schema[0].dataType
@@ -71,6 +76,13 @@ def reachable(edges: DataFrame, start: str, end: str) -> DataFrame:
     rings = placed.filter("ring").select(F.col("head").alias("start"), F.col("head").alias("end"))
     chains = _closed(between.union(rings.select(*between.columns)))
     in_ring = chains.filter("start = end").select(F.col("start").alias("head"))
+    alone = loops.join(placed.join(in_ring, "head").select(F.col("node").alias("start")), "start", "left_anti").select("start", "end")
+    names, types = (start, end), [edges.schema[n].dataType for n in (start, end)]
+    if measures is not None:
+        # A node that only starts edges may not be of the type of an end, and is part of no pair as such.
+        typed = [frame.withColumn(end, F.col(c).try_cast(types[1])) for frame, c in ((placed, "node"), (alone, "end"))]
+        at_end = _measured(typed[0], chains, in_ring, measures).unionByName(typed[1].groupBy("start").agg(*taken(measures)))
+        return at_end.select(F.col("start").cast(types[0]).alias(start), *measures)
 
     blocks = written_table(
         placed.groupBy("head", F.floor(F.col("place") / BLOCK).alias("block"))
@@ -95,8 +107,28 @@ def reachable(edges: DataFrame, start: str, end: str) -> DataFrame:
     each = both.select("to_nodes", (F.col("onward") & (F.col("block") == F.col("to_block"))).alias("own"), F.posexplode("nodes").alias("at", "start"))
     reached = F.when(F.col("own"), F.slice("to_nodes", F.col("at") + 2, F.lit(BLOCK))).otherwise(F.col("to_nodes"))
     pairs = each.select("start", F.explode(reached).alias("end"))
-    alone = loops.join(placed.join(in_ring, "head").select(F.col("node").alias("start")), "start", "left_anti").select("start", "end")
-    return pairs.union(alone).select(*[F.col(c).cast(edges.schema[n].dataType).alias(n) for c, n in (("start", start), ("end", end))])
+    return pairs.union(alone).select(*[F.col(c).cast(kind).alias(n) for c, n, kind in zip(("start", "end"), names, types, strict=True)])
+
+
+def _measured(placed: DataFrame, chains: DataFrame, in_ring: DataFrame, measures: dict[str, Merged]) -> DataFrame:
+    """(start, measures) of the nodes that come later in ``start``'s block, and of all in other blocks it reaches."""
+    placed = placed.withColumn("__block", F.floor(F.col("place") / BLOCK))
+    by_block = written_table(placed.groupBy("head", "__block").agg(*taken(measures)))
+
+    def later(rows: DataFrame, keys: list[str], order: str, of: dict[str, Column]) -> DataFrame:
+        """``rows`` outside rings with ``of`` over those that come later; the last of ``keys`` has none."""
+        back = Window.partitionBy(*keys).orderBy(F.desc(order))
+        past = {out: m.over(back.rowsBetween(Window.unboundedPreceding, -1)) for out, m in of.items()}
+        return rows.join(in_ring, "head", "left_anti").withColumns({"__turn": F.row_number().over(back)} | past).filter("__turn > 1")
+
+    inside = later(placed, ["head", "__block"], "place", {out: m.of for out, m in measures.items()}).select(F.col("node").alias("start"), *measures)
+    onward = later(by_block, ["head"], "__block", {out: m.again(out) for out, m in measures.items()})
+    by_chain = by_block.groupBy(F.col("head").alias("end")).agg(*merged(measures))
+    whole = chains.join(by_chain, "end").groupBy(F.col("start").alias("head")).agg(*merged(measures))
+    whole = by_block.select("head", "__block").join(whole, "head")
+    columns = ["head", "__block", *measures]
+    others = onward.select(*columns).union(whole.select(*columns)).groupBy("head", "__block").agg(*merged(measures))
+    return inside.union(placed.join(others, ["head", "__block"]).select(F.col("node").alias("start"), *measures))
 
 
 def _placed(edges: DataFrame, links: DataFrame) -> DataFrame:

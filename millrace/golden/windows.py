@@ -137,8 +137,10 @@ def sql_inequality_join(spark: SparkSession, sf: str) -> DataFrame:
     """For each supplier the customers of other nations with a higher balance."""
     suppliers = load(spark, sf, "supplier").select("s_suppkey", "s_acctbal", "s_nationkey")
     customers = load(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_nationkey")
-    pairs = inequality_join(suppliers, customers, ("s_acctbal", "<", "c_acctbal")).filter("left.s_nationkey <> right.c_nationkey")
-    return pairs.groupBy("left.s_suppkey").agg(F.count(F.lit(1)).alias("n_richer"), F.max("right.c_custkey").alias("last_customer"))
+    # Customers of one nation stay or go together, so each supplier meets them as one.
+    measures = {"n_richer": counted(), "last_customer": greatest("c_custkey")}
+    pairs = inequality_join(suppliers, customers, ("s_acctbal", "<", "c_acctbal"), ["c_nationkey"], measures).filter("left.s_nationkey <> right.c_nationkey")
+    return pairs.groupBy("left.s_suppkey").agg(F.sum("right.n_richer").alias("n_richer"), F.max("right.last_customer").alias("last_customer"))
 
 
 @golden(

@@ -6,6 +6,10 @@ cut into cells of fixed size; a range is listed once for each cell it reaches, s
 part as often as its matches fill cells, and an equi-join on the cell finds them. A cell
 holds few points however they are spread; a cell that many ranges reach is a skewed key on
 the side of the ranges only, which AQE splits.
+
+Where points that agree in some columns may be counted together, running measures over the
+numbers give what a range open to one side holds of each kind: work goes with what is asked
+for, ranges times kinds, not with the pairs.
 """
 
 from __future__ import annotations
@@ -13,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.ordered import row_number, running_sum, with_measures
+from millrace.plans.merging import Merged, taken
+from millrace.plans.ordered import row_number, running, running_sum, with_measures
+from millrace.session import written_table
 
 #: Points of a cell.
 CELL = 256
@@ -35,6 +41,16 @@ def _with_counts(points: DataFrame, rows: DataFrame, bound: str, after_equals: b
     return rows.join(counts, F.col(bound) == F.col(_AT)).select(*rows.columns, out)
 
 
+def _numbered_ranges(only: DataFrame, ranges: DataFrame, low: Column | None, high: Column | None, open_low: bool, open_high: bool) -> tuple[DataFrame, int]:
+    """``ranges`` that hold any of the points ``only``, as the numbers after ``__from`` up to ``__to``; and how many points there are."""
+    rows = ranges.select(F.struct("*").alias(_ROW), (F.lit(None) if low is None else low).alias("__low"), (F.lit(None) if high is None else high).alias("__high"))
+    rows = rows.filter(" AND ".join([f"__{n} IS NOT NULL" for n, bound in (("low", low), ("high", high)) if bound is not None] or ["true"]))
+    rows = rows.withColumn("__from", F.lit(0).cast("long")) if low is None else _with_counts(only, rows, "__low", open_low, "__from")
+    n = only.count()
+    rows = rows.withColumn("__to", F.lit(n).cast("long")) if high is None else _with_counts(only, rows, "__high", not open_high, "__to")
+    return rows.filter("__from < __to"), n
+
+
 def points_in_ranges(
     points: DataFrame, ranges: DataFrame, point: Column, low: Column | None, high: Column | None, open_low: bool = False, open_high: bool = False
 ) -> DataFrame:
@@ -45,14 +61,8 @@ def points_in_ranges(
     expressions must be of one type. Repeated rows are pairs of their own.
     """
     numbered = points.select(point.alias(_AT), F.struct("*").alias("points")).filter(F.col(_AT).isNotNull())
-    rows = ranges.select(F.struct("*").alias(_ROW), (F.lit(None) if low is None else low).alias("__low"), (F.lit(None) if high is None else high).alias("__high"))
-    rows = rows.filter(" AND ".join([f"__{n} IS NOT NULL" for n, bound in (("low", low), ("high", high)) if bound is not None] or ["true"]))
-    only = numbered.select(_AT)
-    rows = rows.withColumn("__from", F.lit(0).cast("long")) if low is None else _with_counts(only, rows, "__low", open_low, "__from")
-    n = only.count()
-    rows = rows.withColumn("__to", F.lit(n).cast("long")) if high is None else _with_counts(only, rows, "__high", not open_high, "__to")
+    rows, n = _numbered_ranges(numbered.select(_AT), ranges, low, high, open_low, open_high)
     first, last = F.floor(F.col("__from") / CELL), F.floor((F.col("__to") - 1) / CELL)
-    rows = rows.filter("__from < __to")
     reached = rows.withColumn("__cell", F.explode(F.sequence(first, last)))
     # Spark's estimate does not see how often a range is listed: a broadcast would hold all of it.
     if n > FEW and (rows.agg(F.sum(last - first + 1)).first()[0] or 0) > LISTED:
@@ -62,6 +72,33 @@ def points_in_ranges(
     return pairs.select("points", F.col(_ROW).alias("ranges"))
 
 
+def measures_of_ranges(
+    points: DataFrame, ranges: DataFrame, point: Column, low: Column | None, high: Column | None, is_open: bool, by: list[str], measures: dict[str, Merged]
+) -> DataFrame:
+    """The pairs of ``points_in_ranges``, those of one range whose points agree in ``by`` put together.
+
+    ``points`` is a struct of ``by`` and the ``measures`` of the points. One bound has to be None.
+    Values are numbered from that side on, so a range is its number of values and takes what the
+    values of a ``by`` come to so far. Equal points and equal ranges are looked at once.
+    """
+    kept = points.withColumn(_AT, point).filter(F.col(_AT).isNotNull()).groupBy(_AT, *by).agg(*taken(measures))
+    values = kept.select(_AT).distinct()
+    rows, n = _numbered_ranges(values, ranges, low, high, is_open, is_open)
+    up = low is None
+    rows = rows.withColumn("__reach", F.col("__to") if up else F.lit(n) - F.col("__from"))
+    numbers = with_measures(values, [], [_AT], {"__no": row_number()})
+    step = F.col("__no") if up else F.lit(n + 1) - F.col("__no")
+    met = written_table(kept.join(numbers, _AT).select(*by, step.alias("__step"), F.lit(1).alias(_SIDE), *measures))
+    # Only a range that gets as far as a by's nearest value asks for it.
+    nearest = met.groupBy(*by).agg(F.min("__step").alias("__step"))
+    asked = points_in_ranges(rows.select("__reach").distinct(), nearest, F.col("__reach"), F.col("__step"), None)
+    asked = asked.select(*[F.col("ranges")[c].alias(c) for c in by], F.col("points.__reach").alias("__step"), F.lit(2).alias(_SIDE))
+    sums = {f"__upto_{out}": running(out, m) for out, m in measures.items()}
+    swept = with_measures(met.unionByName(asked, allowMissingColumns=True), by, ["__step", _SIDE], sums).filter(F.col(_SIDE) == 2)
+    found = swept.select(F.col("__step").alias("__reach"), F.struct(*by, *[F.col(f"__upto_{out}").alias(out) for out in measures]).alias("points"))
+    return rows.join(found, "__reach").select("points", F.col(_ROW).alias("ranges"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str], right_bounds: tuple[str, str]) -> DataFrame:
     """Pairs (``left``, ``right``), a struct each, of ranges that have a value in common, ends included.
 
@@ -76,12 +113,18 @@ def overlap_join(left: DataFrame, right: DataFrame, left_bounds: tuple[str, str]
     return later.unionByName(earlier)
 
 
-def inequality_join(left: DataFrame, right: DataFrame, on: tuple[str, str, str]) -> DataFrame:
+def inequality_join(
+    left: DataFrame, right: DataFrame, on: tuple[str, str, str], by: list[str] | None = None, measures: dict[str, Merged] | None = None
+) -> DataFrame:
     """Pairs (``left``, ``right``), a struct each, for which ``on`` holds, such as ``("a", "<", "b")``.
 
     ``left.a`` stands left of the sign, ``right.b`` right of it; NULL compares with
     nothing. The work goes with the number of pairs, so further conditions filter what
     comes out and cost what they throw away.
+
+    With ``measures``, the right rows a left row meets come together where they agree in ``by``:
+    ``right`` holds ``by`` and the measures of those rows. All pairs count, but none is listed by
+    itself, so conditions may ask for ``by`` only, and the work goes with left rows times values of ``by``.
     """
     name, sign, other = on
     bound = F.col(f"`{name}`")
@@ -89,5 +132,6 @@ def inequality_join(left: DataFrame, right: DataFrame, on: tuple[str, str, str])
     if sign not in sides:
         raise ValueError(f"no inequality: {sign}")
     low, high, strict = sides[sign]
-    pairs = points_in_ranges(right, left, F.col(f"`{other}`"), low, high, strict, strict)
+    given = (right, left, F.col(f"`{other}`"), low, high, strict)
+    pairs = points_in_ranges(*given, strict) if measures is None else measures_of_ranges(*given, by or [], measures)
     return pairs.select(F.col("ranges").alias("left"), F.col("points").alias("right"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.operators.latest import row_digest
+from millrace.plans.merging import Merged
 from millrace.session import written_table
 
 _B = "__bucket"
@@ -91,6 +92,15 @@ def running_sum(column: str) -> Measure:
     return Measure(F.sum(column), lambda report, f: F.sum(report).over(f.before), row)
 
 
+def running(column: str, merged: Merged) -> Measure:
+    """What ``merged`` gave of parts, put together over the rows so far."""
+    return Measure(
+        merged.again(column),
+        lambda report, f: merged.again(report).over(f.before),
+        lambda got, w: merged.both(got, merged.again(column).over(_so_far(w))),
+    )
+
+
 def total(column: str) -> Measure:
     return Measure(F.sum(column), lambda report, f: F.sum(report).over(f.whole), lambda got, w: got)
 
